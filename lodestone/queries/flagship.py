@@ -1,0 +1,7 @@
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
