@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
 from .jaccard import jaccard_components
+from .packing import pack
+from .token_files import read_digests, write_tokens
+from .tokens import vocabulary_path
+from .unigram import count_tokens
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"))
+    return read_digests(spark, path)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +31,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
+    "op6_token_files": op6_token_files,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
