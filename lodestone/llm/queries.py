@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, table
+from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
 from .packing import pack
 from .token_files import read_digests, write_tokens
@@ -12,6 +13,10 @@ from .tokens import vocabulary_path
 from .unigram import count_tokens
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -31,6 +36,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
