@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_chat, read_back, with_control_strings
 from .common import new_path, table
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
@@ -21,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_chat(with_control_strings(table(spark, sf_dir, "conversations"))))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
@@ -38,6 +43,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
