@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .chat import format_chat, read_back, with_control_strings
 from .common import new_path, table
 from .fingerprints import edited_fingerprints
@@ -36,6 +37,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
