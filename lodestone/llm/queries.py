@@ -10,6 +10,7 @@ from .common import new_path, table
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
 from .packing import pack
+from .quality import classify
 from .token_files import read_digests, write_tokens
 from .tokens import vocabulary_path
 from .unigram import count_tokens
@@ -19,6 +20,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -47,6 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_token_counts": op5_token_counts,
