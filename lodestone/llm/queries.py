@@ -10,11 +10,15 @@ from .common import new_path, table
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
 from .packing import pack
+from .pii import pseudonymise
 from .quality import classify
 from .token_files import read_digests, write_tokens
 from .tokens import vocabulary_path
 from .unigram import count_tokens
 
+#: A production run takes its own from a secret store.
+SURROGATE_KEY = "surrogates"
+
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -46,6 +50,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
