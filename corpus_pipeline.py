@@ -1,16 +1,63 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Documents that the quality classifier rejects go, one document of each group of near duplicates
+stays, personal data are replaced, sources are mixed to target weights, and what is chosen is packed
+into training sequences.  All but the last stage return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import table
+from lodestone.llm.jaccard import one_of_each
+from lodestone.llm.mixing import Mix, mixed
+from lodestone.llm.packing import pack
+from lodestone.llm.pii import pseudonymise
+from lodestone.llm.quality import accepted
+from lodestone.llm.queries import DOMAINS, SURROGATE_KEY, WEIGHTS
+from lodestone.llm.tokens import vocabulary_path
+
+#: Four fifths of the words, no document more than once.
+MIX = Mix(WEIGHTS, DOMAINS, budget_share=0.8, max_epochs=1)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    replaced = pseudonymise(docs, SURROGATE_KEY, count=None)
+    return replaced.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else replaced
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs, MIX).drop("epoch")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, vocabulary_path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("private_data", private_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
+#: Neither the learned classifier nor the tokenizer can be said in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

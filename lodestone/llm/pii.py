@@ -207,13 +207,13 @@ def chosen_key(docs: DataFrame, key: str) -> str:
     return min(tried)[2]
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """docs with the entities in text replaced, and n_entities added.
+def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
+    """docs with the entities in text replaced, and their number added in a column named by count.
 
     All other columns stay as they are, in their order; rows stay as they come.  A null text stays
     null with no entity; texts without an entity stay the same.  An empty table gives no rows.
     """
-    return _replaced(docs, chosen_key(docs, key), "n_entities")
+    return _replaced(docs, chosen_key(docs, key), count)
 
 
 def _replaced(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:

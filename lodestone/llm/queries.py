@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .chat import format_chat, read_back, with_control_strings
 from .common import new_path, table
 from .fingerprints import edited_fingerprints
 from .jaccard import jaccard_components
+from .mixing import Mix, mixed, words
 from .packing import pack
 from .pii import pseudonymise
 from .quality import classify
@@ -19,6 +21,11 @@ from .unigram import count_tokens
 #: A production run takes its own from a secret store.
 SURROGATE_KEY = "surrogates"
 
+#: Domains of the sources, and target weights of domains and languages; sources of a language are equal.
+DOMAINS = {"src0": "web"} | {f"src{i}": "books" for i in range(1, 8)} | {f"src{i}": "forums" for i in range(8, 14)}
+WEIGHTS = {"domain": {"web": 0.3, "books": 0.4, "forums": 0.2, "other": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+MIX = Mix(WEIGHTS, DOMAINS, budget_share=1.0, max_epochs=2)
+
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -50,6 +57,11 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixed(table(spark, sf_dir, "documents"), MIX)
+    return chosen.select("doc_id", "lang", "source", "epoch", words(F.col("text")).alias("n_tokens"))
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
@@ -66,6 +78,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_source_mixing": op8_source_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
