@@ -1,8 +1,5 @@
 """Queries over the library's own operators, with the SQL they are checked against."""
 
-from __future__ import annotations
-
-from .flagship import flagship
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import metrics, retrieval  # noqa: F401
+from ._registry import ORACLE_SQL, QUERIES  # noqa: F401
+from .retrieval import flagship  # noqa: F401
