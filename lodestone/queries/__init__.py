@@ -1,5 +1,5 @@
 """Queries over the library's own operators, with the SQL they are checked against."""
 
-from . import metrics, retrieval  # noqa: F401
+from . import metrics, retrieval, voxels  # noqa: F401
 from ._registry import ORACLE_SQL, QUERIES  # noqa: F401
 from .retrieval import flagship  # noqa: F401
