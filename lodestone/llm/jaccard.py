@@ -5,12 +5,13 @@ Texts become sets of five-word shingles (see ``shingles``).  Two texts link when
 links, which needs no pair twice and never all pairs of a group of copies:
 
 1. Equal sets are one node from the start (128-bit digest).
-2. Similar nodes are partitioned into groups: nodes that share the minimal hashes of three hash
-   ranges are compared with one leader, and links found this way make the groups.
+2. Similar nodes are partitioned into groups: nodes that share the minimal hashes of two hash
+   ranges meet in blocks of bounded size, each is compared with the block's leaders (nodes that
+   linked with no leader before them), and the links found make the groups.
 3. The token-group matrix holds (token, group) for the union of each group's prefix tokens.  In any
    fixed order of tokens, two linked sets of sizes n and m share at least l tokens among their first
-   n - ceil(.8 n) + l and m - ceil(.8 m) + l; frequent tokens come last in the order, so passages
-   that many documents share stay out of the matrix.
+   n - ceil(.8 n) + l and m - ceil(.8 m) + l; tokens of many groups come last in the order, so
+   passages that many documents share stay out of the matrix.
 4. The overlap of a query with a group's union bounds its overlap with any member; only groups
    at or above the bound are opened, and their members of fitting size compared exactly.
 5. Components of the links of steps 2 and 4.
@@ -35,9 +36,16 @@ from .shingles import digest, mix, shingle_sets
 PERCENT = 80
 #: Longer prefixes ask for more common tokens: 1 + n // SLACK of them.
 SLACK = 20
-BANDS, ROWS = 4, 3
-#: Tokens that BLOCK texts hold at least LOCAL times count as candidates for the frequent ones.
-BLOCK, LOCAL, FREQUENT, MOST_FREQUENT = 4096, 4, 48, 1 << 17
+BANDS, ROWS = 2, 2
+#: Nodes of one key are dealt into blocks of about so many, with so many leaders at most.
+BLOCK, LEADERS = 1000, 64
+#: Tokens that PORTION texts hold at least LOCAL times, FREQUENT times in all such portions, and
+#: tokens in the prefixes of more than HOT groups, move to the end of the order.
+PORTION, LOCAL, FREQUENT, HOT = 4096, 3, 24, 12
+#: The order knows at most so many of them (those of most texts); it is a hint, links don't depend on it.
+MOST_HOT = 1 << 19
+#: Keys of several nodes are filtered in Python tasks up to so many, and by a join beyond.
+KEYS_SENT = 1 << 21
 
 _LIGHT = "doc_id {id}, n int, digest binary, keys array<bigint>, token bigint, held int"
 
@@ -58,18 +66,19 @@ def _band_keys(s: np.ndarray) -> list[int]:
 
 
 def _light_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows (token, held) for the tokens frequent in a block of them."""
-    kept: list[np.ndarray] = []
+    """A row for each document, and rows (token, held) for the tokens frequent in a portion of them."""
+    names = ["doc_id", "n", "digest", "keys", "token", "held"]
+    kept: dict[bytes, np.ndarray] = {}
 
     def frequent(id_type: pa.DataType) -> pa.RecordBatch:
-        tokens, held = np.unique(np.concatenate(kept), return_counts=True)
-        tokens, held = tokens[held >= LOCAL].view(np.int64), held[held >= LOCAL]
-        n = len(tokens)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(tokens), pa.array(held.astype(np.int32))], ["doc_id", "n", "digest", "keys", "token", "held"])
+        tokens, held = np.unique(np.concatenate(list(kept.values())), return_counts=True)
+        tokens, held = tokens[held >= LOCAL].view(np.int64), held[held >= LOCAL].astype(np.int32)
+        empty = [pa.nulls(len(tokens), t) for t in (id_type, pa.int32(), pa.binary(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*empty, pa.array(tokens), pa.array(held)], names)
 
     id_type = None
     for batch in batches:
-        id_type = batch.column(0).type
+        id_type, rows = batch.column(0).type, len(batch)
         n, digests, keys = [], [], []
         with np.errstate(over="ignore"):
             for s in shingle_sets(batch.column(1)):
@@ -77,46 +86,112 @@ def _light_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(digest(s) if len(s) else None)
                 keys.append(_band_keys(s) if len(s) else [])
                 if len(s):
-                    kept.append(s)
-                if len(kept) >= BLOCK:
+                    kept[digests[-1]] = s
+                if len(kept) >= PORTION:
                     yield frequent(id_type)
                     kept.clear()
-        rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())], ["doc_id", "n", "digest", "keys", "token", "held"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())], names)
     if kept:
         yield frequent(id_type)
 
 
+def _keyed_sets(several):
+    """Rows (key, digest, tokens) of the sets with a key in several (sorted; None: with any key)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if several is None else several.value
+        seen: set[bytes] = set()
+        for batch in batches:
+            out, held = [], 0
+            with np.errstate(over="ignore"):
+                for s in shingle_sets(batch.column(0)):
+                    if not len(s) or (d := digest(s)) in seen:
+                        continue
+                    for key in _band_keys(s):
+                        at = 0 if wanted is None else int(np.searchsorted(wanted, key))
+                        if wanted is None or at < len(wanted) and wanted[at] == key:
+                            if len(seen) < 1 << 18:  # repeats beyond it are passed over by the leaders
+                                seen.add(d)
+                            out.append((key, d, s.tobytes()))
+                            held += 8 * len(s)
+                    if held > 1 << 23:
+                        yield _batch(out)
+                        out, held = [], 0
+            yield _batch(out)
+
+    def _batch(out: list) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "digest", "tokens"])
+
+    return rows
+
+
+def _links(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= PERCENT * (len(x) + len(y) - same)
+
+
+def _leader_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of nodes with leaders of their block; rows (key, block, digest, tokens) come sorted."""
+    block, leaders, last = None, [], None
+    for batch in batches:
+        a, b = [], []
+        for key, salt, d, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if (key, salt) != block:
+                block, leaders, last = (key, salt), [], None
+            if d == last:
+                continue
+            last, s = d, np.frombuffer(tokens.as_buffer(), np.uint64)
+            found = [x for x, t in leaders if _links(s, t)]
+            a += [d] * len(found)
+            b += found
+            if not found and len(leaders) < LEADERS:
+                leaders.append((d, s.copy()))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
 def _short(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
-def _prefix_rows(frequent):
-    """Rows (token, node) for the first tokens of each set; node is the digest's first 8 bytes."""
+def _token_rows(hot=None, whole: bool = False):
+    """Rows (token, node) for the first tokens, or all, of each set; node is the digest's first 8 bytes.
+
+    hot holds the sorted hot tokens and their places at the end of the order.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
+        late_tokens, places = hot.value if hot is not None else (np.zeros(0, np.uint64), None)
         seen: set[bytes] = set()
         for batch in batches:
             tokens, nodes, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+
             for s in shingle_sets(batch.column(0)):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 if len(seen) < 1 << 18:  # repeats beyond it are dropped later
                     seen.add(d)
                 n = len(s)
-                length = min(n, n - -(-PERCENT * n // 100) + 1 + n // SLACK)
-                if len(common):
-                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
+                length = n if whole else min(n, n - -(-PERCENT * n // 100) + 1 + n // SLACK)
+                if len(late_tokens):
+                    at = np.minimum(np.searchsorted(late_tokens, s), len(late_tokens) - 1)
+                    late = late_tokens[at] == s
+                    s = np.concatenate([s[~late], s[late][np.argsort(places[at[late]])]])
                 tokens.append(s[:length])
                 nodes.append(np.full(length, _short(d), np.int64))
                 held += length
                 if held > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                    yield out()
                     tokens, nodes, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                yield out()
 
     return rows
 
@@ -138,33 +213,62 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the pairs (a, b, tokens_a, tokens_b), those that link."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            same = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
+        keep = [_links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """Those of the distinct pairs (a, b) of digests whose sets link.
-
-    The sets are made again from the texts of the nodes concerned; texts reach only map tasks if
-    the list of their ids is small enough to broadcast, and a shuffled join otherwise.
-    """
-    spark = pairs.sparkSession
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of digests whose sets link; the sets are made again from the texts."""
     need = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    ids = written(nodes.join(need, "digest", "left_semi").select(F.col("doc_id").alias("need_id")).distinct(), name)
-    count = ids.count()
-    if not count:
-        return pairs.select("a", "b").limit(0)
-    texts = texts.join(sized(ids, count, 64), F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
-    sets = written(texts.select("text").mapInArrow(_set_rows, "digest binary, tokens binary").dropDuplicates(["digest"]), name)
+    ids = written(nodes.join(need, "digest", "left_semi").select(F.col("doc_id").alias("need_id")).distinct(), "jaccard-ids")
+    if ids.isEmpty():
+        return pairs
+    sets = _among(texts, ids).select("text").mapInArrow(_set_rows, "digest binary, tokens binary")
+    sets = written(sets.dropDuplicates(["digest"]), "jaccard-sets")
     a, b = (sets.select(F.col("digest").alias(x), F.col("tokens").alias("tokens_" + x)) for x in "ab")
     both = pairs.hint("shuffle_merge").join(a, "a").join(b.hint("shuffle_merge"), "b").select("a", "b", "tokens_a", "tokens_b")
-    return written(both.mapInArrow(_linked, "a binary, b binary"), name)
+    return written(both.mapInArrow(_linked, "a binary, b binary"), "jaccard-links")
+
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose doc_id is among the distinct need_id of the written table ids.
+
+    A list that is small enough is broadcast; a longer one makes a shuffled join.
+    """
+    return texts.join(sized(ids, ids.count(), 64), F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
+
+
+def _shared(texts: DataFrame, node: DataFrame, count: int, hot=None) -> DataFrame:
+    """(token, digest, n, grp): the prefix tokens that more than one group has."""
+    of_token = Window.partitionBy("token")
+    prefix = texts.select("text").mapInArrow(_token_rows(hot), "token bigint, node bigint")
+    several = prefix.withColumn("lo", F.min("node").over(of_token)).withColumn("hi", F.max("node").over(of_token)).where("lo <> hi").select("token", "node")
+    placed = written(several, "jaccard-several").join(sized(node, count, 96), "node")
+    across = placed.withColumn("lo", F.min("grp").over(of_token)).withColumn("hi", F.max("grp").over(of_token)).where("lo <> hi")
+    return written(across.select("token", "digest", "n", "grp").distinct(), "jaccard-across")
+
+
+def _order(spark, held: DataFrame):
+    """A broadcast order for the tokens (token, held) that many texts have, most frequent last."""
+    top = held.orderBy(F.desc("held"), "token").limit(MOST_HOT).toArrow()
+    token, places = top["token"].to_numpy().view(np.uint64), -np.arange(len(top))
+    by_token = np.argsort(token)
+    return spark.sparkContext.broadcast((token[by_token], places[by_token]))
+
+
+def _group_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links among nodes that share a band key."""
+    spark = texts.sparkSession
+    keyed = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    several = written(keyed.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "jaccard-keys")
+    count = several.count()
+    sent = None
+    if count <= KEYS_SENT:
+        sent = spark.sparkContext.broadcast(np.sort(several.select("key").toArrow()["key"].to_numpy()))
+    sets = texts.select("text").mapInArrow(_keyed_sets(sent), "key bigint, digest binary, tokens binary")
+    dealt = sets.join(sized(several, count, 48), "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "block", "digest", "tokens").repartition("key", "block").sortWithinPartitions("key", "block", "digest")
+    return dealt.mapInArrow(_leader_links, "a binary, b binary")
 
 
 def jaccard_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,37 +278,29 @@ def jaccard_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    all_rows = written(texts.mapInArrow(_light_rows, _LIGHT.format(id=id_kind)), "jaccard-light")
-    light = all_rows.where("n is not null").select("doc_id", "n", "digest", "keys")
-    found = all_rows.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(f"held >= {FREQUENT}")
-    top = found.orderBy(F.desc("held"), "token").limit(MOST_FREQUENT).select("token")
-    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64)))
-
+    rows = written(texts.mapInArrow(_light_rows, _LIGHT.format(id=id_kind)), "jaccard-light")
+    light = rows.where("n is not null").select("doc_id", "n", "digest", "keys")
     nodes = written(light.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-nodes")
-    keyed = nodes.select("digest", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("held")).where("held > 1")
-    near = keyed.join(leaders, "key").where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
-    groups = connected_components(_verified(written(near, "jaccard-near"), texts, nodes, "jaccard-sets"), "jaccard-groups")
+    groups = connected_components(_group_links(texts, nodes), "jaccard-groups")
 
-    n_groups = groups.count()
-    node = nodes.join(sized(groups, n_groups, 128), nodes["digest"] == groups["node"], "left").select("digest", "n", F.coalesce("root", "digest").alias("grp"))
+    node = nodes.join(sized(groups, groups.count(), 128), nodes["digest"] == groups["node"], "left").select("digest", "n", F.coalesce("root", "digest").alias("grp"))
     node = written(node.mapInArrow(_with_short, "node bigint, digest binary, n int, grp binary"), "jaccard-node")
-
-    prefix = texts.select("text").mapInArrow(_prefix_rows(common), "token bigint, node bigint")
-    of_token = Window.partitionBy("token")
-    shared = prefix.withColumn("lo", F.min("node").over(of_token)).withColumn("hi", F.max("node").over(of_token)).where("lo <> hi").select("token", "node")
-    shared = written(shared, "jaccard-shared")
     count = node.count()
-    rows = shared.join(sized(node, count, 96), "node").withColumn("lo", F.min("grp").over(of_token)).withColumn("hi", F.max("grp").over(of_token)).where("lo <> hi")
-    rows = written(rows.select("token", "digest", "n", "grp").distinct(), "jaccard-cross")
-    matrix = rows.select("token", F.col("grp").alias("other")).distinct()
+    frequent = written(rows.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(f"held >= {FREQUENT}"), "jaccard-frequent")
+    shared = _shared(texts, node, count, _order(spark, frequent))
+    in_groups = shared.groupBy("token", "grp").agg(F.count("*")).groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > HOT)
+    hot = written(in_groups, "jaccard-hot")
+    if not hot.isEmpty():
+        every = frequent.union(hot).groupBy("token").agg(F.max("held").alias("held"))
+        shared = _shared(texts, node, count, _order(spark, every))
+    matrix = shared.select("token", F.col("grp").alias("other")).distinct()
     bound = F.lit(1) + F.floor(F.col("n") * PERCENT / (100 * SLACK))
-    opened = rows.join(matrix, "token").where("grp <> other").groupBy("digest", "n", "grp", "other").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= bound)
+    opened = shared.join(matrix, "token").where("grp <> other").groupBy("digest", "n", "grp", "other").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= bound)
     members = node.select(F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("other"))
     pairs = opened.select(F.col("digest").alias("a"), "n", "other").join(members, "other")
     pairs = pairs.where((F.col("n") * PERCENT <= F.col("n_b") * 100) & (F.col("n_b") * PERCENT <= F.col("n") * 100))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(written(pairs, "jaccard-pairs"), texts, nodes, "jaccard-sets")
+    links = _verified(written(pairs, "jaccard-pairs"), texts, nodes)
     more = links.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return light, connected_components(more, "jaccard-components")
 
@@ -228,3 +324,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = written(placed, "jaccard-placed")
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of their component.
+
+    Texts without words are linked with nothing and all stay.  Of rows repeated with one doc_id and
+    text, one stays.
+    """
+    found = written(jaccard_components(docs), "jaccard-found")
+    ids = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("need_id")).distinct(), "jaccard-kept")
+    kept = _among(docs, ids)
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("held")).where("held > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
