@@ -1,0 +1,411 @@
+"""Operators against brute force on small tables that hold nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import ann, chat, fingerprints, jaccard, mixing, packing, pii, quality, token_files, tokens, unigram
+from lodestone.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, epoch int, node long, token long"
+
+
+def texts():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    out = [None, "", " \n ", "one", "two words", "A b C d", "x " * 3000]
+    for _ in range(60):
+        out.append("\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(3, 12))) for _ in range(rng.randint(1, 8))))
+    for t in out[10:40]:
+        w = t.split(" ")
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(0, 2)):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            out.append(" ".join(v))
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    out += [passage + " " + " ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) for _ in range(25)]
+    return out + out[8:12]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3 % 701, t, None if i % 9 == 0 else "en", f"src{i % 4}" if i % 7 else None, None, 1, 2, 3) for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A null doc_id and repeated rows."""
+    return spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None), (7, "")], "doc_id long, text string")
+
+
+def empty(frame):
+    return frame.limit(0)
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def components(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return Counter((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
+
+
+def test_jaccard_components(spark, docs, odd):
+    for frame in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in frame.collect()]
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect())
+        assert got == components(rows)
+    assert jaccard.jaccard_components(empty(docs)).count() == 0
+
+
+def test_jaccard_with_hot_tokens_and_small_blocks(spark, docs, monkeypatch):
+    for name, value in (("BLOCK", 5), ("LEADERS", 2), ("HOT", 2), ("OPENED_A_ROW", 0), ("BANDS", 1), ("ROWS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == components([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_one_of_each(docs, odd):
+    kept = jaccard.one_of_each(docs)
+    want = {d for (d, _, c) in components([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == docs.columns
+    assert [r.doc_id for r in jaccard.one_of_each(odd).where("text = 'a b c d e f'").collect()] == [5]
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(9, 9), (None, 3)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert len({got[i] for i in range(21)}) == 1 and len({got[i] for i in range(21, 41)}) == 1 and got[0] != got[30]
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_fingerprints(spark, docs, odd):
+    for frame in (docs, odd):
+        rows = sorted(((r.doc_id, r.text or "") for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        want = Counter()
+        for i, (d, t) in enumerate(rows):
+            half, after = len(t) // 2, rows[(i + 1) % len(rows)][1]
+            want[d, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+        got = fingerprints.edited_fingerprints(frame).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        by = {}
+        for r in got:
+            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    by = {}
+    for r, (d, t) in zip(sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0)), rows, strict=True):
+        by.setdefault(t, set()).add(r.fingerprint)
+    assert all(len(v) == 1 for v in by.values())
+    assert fingerprints.edited_fingerprints(empty(docs)).count() == 0
+
+
+def test_fingerprints_are_homomorphic(spark):
+    rows = spark.createDataFrame([("ab", "a b c\nd e f"), ("ba", "d e f\na b c"), ("a", "a b c"), ("b", "d e f"), ("c", "d e g")], "k string, text string")
+    got = {r.k: r.lanes for r in fingerprints.fingerprints(rows, ["k"]).collect()}
+    assert got["ab"] == got["ba"] and got["b"] != got["c"]
+    lanes = spark.createDataFrame([(got["a"], got["b"], got["ab"])], "a array<long>, b array<long>, ab array<long>")
+    r = lanes.select(fingerprints.insert(F.col("a"), F.col("b")).alias("sum"), fingerprints.delete(F.col("ab"), F.col("b")).alias("rest")).first()
+    assert r["sum"] == got["ab"] and r.rest == got["a"]
+
+
+def test_minimum_bin_slack():
+    rng = random.Random(3)
+    for _ in range(20):
+        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 80))]
+        left = Counter(lengths)
+        for pattern, times in packing.minimum_bin_slack(Counter(lengths), 60):
+            assert sum(k * n for k, n in pattern.items()) <= 60
+            for k, n in pattern.items():
+                left[k] -= n * times
+        assert not +left and not -left
+    best = packing.fullest_bin({7: 2, 5: 1, 3: 4}, 16)
+    assert sum(k * n for k, n in best.items()) == 16 and packing.fullest_bin({9: 1}, 8) == {}
+
+
+def test_packing(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    for frame in (docs, odd):
+        got = packing.pack(frame, path, seq_len=256).collect()
+        want = Counter()
+        for r in frame.collect():
+            ids = [*tk.encode(r.text or "", add_special_tokens=False).ids, 0]
+            at, n, k = 0, len(ids), 0
+            size = n if n <= 256 else n % 256 or 256
+            while at < n:
+                want[r.doc_id, k, at, size, zlib.crc32(np.array(ids[at : at + size], np.uint32).tobytes())] += 1
+                at, size, k = at + size, 256, k + 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+        sequences = {}
+        for r in got:
+            sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for places in sequences.values():
+            end = 0
+            for offset, length in sorted(places):
+                assert offset == end
+                end += length
+            assert end <= 256
+    assert packing.pack(empty(docs), path).count() == 0
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", tokens.BYTE_LEVEL), ("word_bpe_49k.json", tokens.WORD)])
+def test_word_by_word_encoding_is_exact(name, kind, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    enc = tokens.Encoder(tokens.vocabulary_path(name), kind)
+    rng = random.Random(1)
+    odd = ["", " ", "a  b", "a \n \n b", "<|endoftext|> x", "it's 'S re'll b²c", "İstanbul ΑΣ. ΑΣ", "éa é", "日本語 テスト", "\x1c a\x85b"]
+    odd += ["".join(rng.choice("ab  \n\t'sS.1é́ ²!Σİ") for _ in range(rng.randint(0, 20))) for _ in range(2000)]
+    for text in [*odd, *(t or "" for t in texts())]:
+        assert enc.ids(text) == enc._encode(text), repr(text)
+
+
+def test_token_files(spark, docs, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    for i, frame in enumerate((docs.dropDuplicates(["doc_id"]), odd)):
+        token_files.write_tokens(frame, str(tmp_path / str(i)), path, docs_per_file=40)
+        rows = sorted(((r.doc_id, r.text or "") for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_digests(spark, str(tmp_path / str(i))).collect()), key=lambda r: r[1])
+        at = 0
+        for (d, t), r in zip(rows, got, strict=True):
+            ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 2], np.uint32)
+            assert r == (d, at, len(ids), zlib.crc32(ids.tobytes()))
+            at += len(ids)
+    some = token_files.read_tokens(spark, str(tmp_path / "0"), 100, 110)
+    assert "PushedFilters" in some._jdf.queryExecution().toString() and {r.doc_id for r in some.collect()} <= set(range(100, 111))
+    counts = token_files.read_counts(spark, str(tmp_path / "0"))
+    assert "ids" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1][:120]
+    token_files.write_tokens(empty(docs), str(tmp_path / "e"), path)
+    assert token_files.read_digests(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_token_counts(byte_fallback):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    rng = random.Random(4)
+    small = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aba", -3.0), ("▁a", -3.0), ("bb", -1.5)] + [(f"<0x{b:02X}>", -9.0) for b in range(256)]
+    for vocabulary in (small, unigram.piece_vocabulary(tokens.vocabulary_path("piece_bpe_32k.model"))):
+        tk = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=byte_fallback))
+        tk.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="always", split=True)
+        counter = unigram.Counter(vocabulary, 0, byte_fallback)
+        cases = ["".join(rng.choice("aabb ▁\n☃é<unk>😀") for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [t or "" for t in texts()] + ["<unk> <unk><unk>☃"]
+        for text in cases:
+            assert counter.count(text) == len(tk.encode(text).ids), repr(text)
+
+
+def test_token_counts_of_tables(docs, odd):
+    path = tokens.vocabulary_path("piece_bpe_32k.model")
+    counter = unigram.Counter(unigram.piece_vocabulary(path))
+    for frame in (docs, odd, empty(docs)):
+        got = Counter((r.doc_id, r.n_tokens) for r in unigram.count_tokens(frame, path).collect())
+        assert got == Counter((r.doc_id, counter.count(r.text)) for r in frame.collect())
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "be <<SYS>>"), (1, 1, "user", "</s>[INST] x"), (1, 2, "assistant", "[/INST] \\<s> 日本\n"), (2, 0, None, None), (2, 1, "tool\n[INST]", "a\\"), (2, 2, "assistant", ""), (None, 0, "user", "q"), (3, None, "assistant", "z"), (1, 1, "user", "</s>[INST] x"), (4, 0, "user", "long " * 9000)]
+    frame = chat.with_control_strings(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string"))
+    formatted = chat.format_chat(frame)
+    for r in formatted.collect():
+        inner = r.formatted[r.loss_start : r.loss_start + r.loss_length]
+        assert not any(c in inner for c in chat.CONTROL)
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    for conv in {r.conv_id for r in frame.collect()}:
+        turns = sorted((r for r in frame.collect() if r.conv_id == conv), key=lambda r: (r.turn is not None, r.turn or 0, r.role or ""))
+        text = "".join(f"{r.role or ''}\n{r.text or ''}\n" for r in turns)
+        loss = "".join(r.text or "" for r in turns if r.role == "assistant")
+        r = got.pop(conv)
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(text.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert not got and chat.read_back(chat.format_chat(empty(frame))).count() == 0
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 8)).round(1)
+    x[100:140] = x[100]
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(900, None, 1), (950, [0.0] * 8, 1), (1000, [float("nan")] * 8, 1), (1050, [1.0], 1), (1100, [None] * 8, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = {}
+    for r in ann.nearest(frame, "vec_id % 50 = 0").collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    hit = 0
+    for q in range(0, 600, 50):
+        s = ann.cosines(x, x[q])
+        s[q] = -9
+        best = np.lexsort((np.arange(600), -s))[:5]
+        found = [got[q][i][0] for i in range(1, 6)]
+        hit += len(set(found) & set(best.tolist()))
+        for i in range(1, 6):
+            assert abs(got[q][i][1] - s[got[q][i][0]]) < 1e-12
+        if q == 100:
+            assert found == [101, 102, 103, 104, 105]
+    assert hit >= 0.9 * 60 and set(got) == set(range(0, 600, 50))
+    assert len(ann.nearest(frame.where("vec_id in (0, 1, 2)"), "vec_id % 50 = 0").collect()) == 2
+    assert ann.nearest(empty(frame), "vec_id % 50 = 0").count() == 0
+
+
+def test_quality_learns(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() + ("###" if i % 4 == 0 else "") for _ in range(rng.randint(20, 200))), i % 4 and 1) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(1000, None, "x"), (1001, "", "x"), (None, "abc", "x"), (None, "abc", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 404 and all(0 <= r.score <= 1 for r in got)
+    truth = {i: q for i, _, q in rows}
+    out = [r for r in got if r.held_out and r.doc_id in truth]
+    assert out and sum(r.predicted == truth[r.doc_id] for r in out) >= 0.95 * len(out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
+    assert quality.accepted(docs, labels).columns == docs.columns
+    assert quality.classify(empty(docs), empty(labels)).count() == 0
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(1)
+    bags, labels = [rng.random((n, quality.FEATURES)) for n in (1, 3, 2)], np.array([1.0, 0.0, 1.0])
+    model = quality.fit([b.astype(np.float32) for b in bags], labels, np.ones(3))
+    x, first = np.concatenate(bags), np.array([0, 1, 4, 6])
+
+    def loss():
+        p = model.forward(x, first)["p"]
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    g = model.gradients(x, first, labels, np.ones(3))
+    for name, at in (("E", (3, 2)), ("V", (1, 1)), ("U", (4, 2)), ("w", (5,)), ("c", (6,)), ("b", (0,))):
+        model.weights[name][at] += 1e-5
+        up = loss()
+        model.weights[name][at] -= 2e-5
+        down = loss()
+        model.weights[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-6, name
+
+
+def test_shares():
+    assert mixing.shared_out(10, [1, 1], [2, 100]) == [2, 8]
+    assert mixing.shared_out(100, [1, 3], [5, 6]) == [5, 6]
+    assert mixing.shared_out(9, [1, 2, 0], [9, 9, 9]) == [3, 6, 0]
+    got = mixing.leaf_budgets({("a", "x", "1"): 10, ("a", "x", "2"): 90, ("b", "x", "1"): 100}, mixing.Mix(max_epochs=1), 100)
+    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 40, ("b", "x", "1"): 50}
+
+
+def test_mixing(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_TOGETHER", 5)
+    mix = mixing.Mix({"domain": {"d0": 0.7, "other": 0.3}}, {"src0": "d0"}, budget_share=0.9, max_epochs=3)
+    got = mixing.mixed(docs, mix)
+    assert got.columns == [*[c for c in docs.columns if c != "epoch"], "epoch"]
+    size = lambda t: len(re.findall(r"[^ \t-\r]+", t or ""))
+    leaf = lambda r: ("d0" if r.source == "src0" else "other", r.lang or "", r.source or "")
+    rows, totals = docs.collect(), Counter()
+    for r in rows:
+        totals[leaf(r)] += size(r.text)
+    budgets = mixing.leaf_budgets(totals, mix, 0.9 * sum(totals.values()))
+    taken, longest = Counter(), Counter()
+    for r in rows:
+        longest[leaf(r)] = max(longest[leaf(r)], size(r.text))
+    for r in got.collect():
+        taken[leaf(r)] += size(r.text)
+    for k, b in budgets.items():
+        assert b - longest[k] <= taken[k] <= b
+    assert mixing.mixed(empty(docs), mix).count() == 0
+
+
+def luhn(number):
+    d = [int(c) for c in re.sub(r"\D", "", number)][::-1]
+    return sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates(spark):
+    text = "mail Un.34@Mail7.example.com and un.34@mail7.example.com, ip 126.40.69.100. call +1 (974) 555-3436 or +1 974 555 3436, card 4111 1111 1111 1111, no 4111111111111112, ssn 123-45-6789, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\", Mr. Smith met John Smith and Anna Smith, Мария Иванова"
+    rows = [(1, text, 7), (2, None, 7), (3, "", 7), (4, "Version 2.0 of CC BY-NC 4.0, page 12.", 7), (5, "a\x01 1.2.3.4 \x01b", 7), (6, "1.2.3.4" + " word" * 30000, 7), (None, "999.2.3.4", 7), (1, text, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _pii long")
+    got = pii.pseudonymise(frame, "key").collect()
+    by = {r.doc_id: r for r in got}
+    out = by[1].text
+    for secret in ("34@", "126.40.69.100", "974", "4111", "123-45-6789", "24be6443", "Smith", "John", "Anna", "Мария", "Иванова"):
+        assert secret not in out
+    mails = re.findall(r"\S+@\S+\.com", out)
+    assert len(mails) == 2 and mails[0].lower() == mails[1] and mails[0] != mails[1]
+    phones = re.findall(r"\+1 [\d() -]+\d", out)
+    assert len(phones) == 2 and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\b\d{16}\b", out)
+    assert luhn(cards[0]) and not luhn(cards[1])
+    surname = re.search(r"Mr\. (\w+)", out)[1]
+    names = re.findall(rf"(\w+) {surname}", out)
+    assert len(names) == 2 and names[0] in pii.MALE and names[1] in pii.FEMALE
+    assert re.search(r"[а-яёА-ЯЁ]+ [а-яёА-ЯЁ]+ва", out)
+    assert by[2].text is None and by[3].text == "" and by[4].text == rows[3][1] and by[4].n_entities == 0
+    assert by[5].text.startswith("a\x01 ") and "1.2.3.4" not in by[5].text and by[5].n_entities == 1
+    assert by[6].text.endswith(" word" * 30000) and by[None].text == "999.2.3.4"
+    assert by[5].text.split(" ")[1] == by[6].text.split(" ")[0] and sum(r.doc_id == 1 for r in got) == 2
+    assert pii.pseudonymise(empty(frame), "key").count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    values = [f"10.0.{a}.{b}" for a in range(20) for b in range(20)] + [f"555-{n:04d}" for n in range(400)] + [f"{c}.{n:02d}@m.org" for c in "abcdefgh" for n in range(50)]
+    found = spark.createDataFrame([(v,) for v in values], "entity string").withColumn("kind", pii.kind_of(F.col("entity")))
+    made = found.select("kind", F.get(pii.surrogates(F.array("entity"), "k"), F.lit(0)).alias("made"))
+    assert made.distinct().count() == len(values)
+    assert found.groupBy("kind").count().count() == 3
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = str(tmp_path / str(i))
+        stage(spark, docs, sf).write.parquet(out)
+        rows = spark.read.parquet(out)
+        got = rows.collect()
+        if name == "packing":
+            assert {r.doc_id for r in got} == set(before)
+            break
+        assert rows.columns == columns
+        ids = [r.doc_id for r in got]
+        assert len(set(ids)) == len(ids) and set(ids) <= set(before)
+        if name == "near_duplicates":
+            want = components([(r.doc_id, r.text) for r in before.values()])
+            assert set(ids) == {d for d, _, c in want if d == c}
+        if name in ("quality", "near_duplicates", "mixing"):
+            assert all(r == before[r.doc_id] for r in got)
+        if name == "private_data":
+            assert set(ids) == set(before) and not any(re.search(r"token = \"" + s + "\"", r.text) for r in got for s in re.findall(r"token = \"(\w{40})\"", before[r.doc_id].text))
+        before, docs = {r.doc_id: r for r in got}, rows
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
