@@ -112,3 +112,36 @@ def test_evaluation(spark):
     matches, accuracy = evaluation.evaluated(preds, library, 2)
     assert matches.where("rank = 1").first().match_id == 0 and accuracy.where("k = 1").first().accuracy == 1.0
     assert evaluation.label_codes("all,x.smi") == ["train", "val", "test", "x.smi"]
+
+
+def test_fragments_of_ibuprofen(spark):
+    """CC(C)CC1=CC=C(C=C1)C(C)C(=O)O has 8 single bonds outside its ring; each end has a heavy atom."""
+    from lodestone.operators.fragments import heavy_atoms, mass, split_bonds
+
+    symbols = "CCCCCCCCCCCCCOO"
+    pairs = [(1, 2, 1), (2, 3, 1), (2, 4, 1), (4, 5, 1), (5, 6, 2), (6, 7, 1), (7, 8, 2), (8, 9, 1), (9, 10, 2), (10, 5, 1), (8, 11, 1), (11, 12, 1), (11, 13, 1), (13, 14, 2), (13, 15, 1)]
+    rows = [("m", [(i + 1, s, 0.0, 0.0, 0.0) for i, s in enumerate(symbols)], pairs), ("none", [], [])]
+    mols = spark.createDataFrame(rows, "k string, atoms array<struct<idx:int,symbol:string,x:double,y:double,z:double>>, bonds array<struct<a:int,b:int,order:int>>")
+    got = split_bonds(mols, "k").orderBy("bond").collect()
+    assert len(got) == 8 and all(sorted(r.parent + r.fragment) == list(range(1, 16)) for r in got)
+    assert [r.fragment for r in got][0] == [1] and all(len(r.fragment) <= len(r.parent) for r in got)
+    assert split_bonds(mols, "k", most_mass=20).count() == 4
+    r = mols.select(mass(F.transform("atoms", lambda a: a["symbol"])).alias("m"), heavy_atoms(F.transform("atoms", lambda a: a["symbol"])).alias("n")).first()
+    assert abs(r.m - (13 * 12 + 2 * 15.99491461956)) < 1e-9 and r.n == 15
+
+
+def test_smiles(spark):
+    from lodestone.functions import smiles
+
+    assert one(spark, smiles.decode(smiles.encode(F.lit("ClC(Br)[Si]")))) == "ClC(Br)[Si]"
+    ids = one(spark, smiles.ids(F.lit("CCl"), 6))
+    assert ids == [1, smiles.VOCABULARY["C"], smiles.VOCABULARY["L"], 2, 0, 0] and one(spark, smiles.ids(F.lit("CCCCC"), 6)) == [0] * 6
+
+
+def test_projection_is_centred(spark):
+    from lodestone.operators.projection import fitted
+
+    rows = spark.createDataFrame([(i, [float(i % 3 + 1), float(i % 5 + 1), 1.0]) for i in range(30)], "id long, vector array<double>")
+    project, explained = fitted(rows, 2)
+    means = project(rows).select(*[F.avg(F.get("components", F.lit(i))).alias(f"m{i}") for i in range(2)]).first()
+    assert abs(means.m0) < 1e-9 and abs(means.m1) < 1e-9 and 90 < sum(explained) <= 100.001
