@@ -12,8 +12,9 @@ links, which needs no pair twice and never all pairs of a group of copies:
    fixed order of tokens, two linked sets of sizes n and m share at least l tokens among their first
    n - ceil(.8 n) + l and m - ceil(.8 m) + l; tokens of many groups come last in the order, so
    passages that many documents share stay out of the matrix.
-4. The overlap of a query with a group's union bounds its overlap with any member; only groups
-   at or above the bound are opened, and their members of fitting size compared exactly.
+4. The overlap of a query with a group's union bounds its overlap with any member: only groups at or
+   above the bound, in the matrix and then in the whole union, are opened and their members compared
+   exactly, in blocks of bounded size.
 5. Components of the links of steps 2 and 4.
 
 Links within a group need no further search: its members are connected already.
@@ -36,7 +37,7 @@ from .shingles import digest, mix, shingle_sets
 PERCENT = 80
 #: Longer prefixes ask for more common tokens: 1 + n // SLACK of them.
 SLACK = 20
-BANDS, ROWS = 2, 2
+BANDS, ROWS = 3, 2
 #: Nodes of one key are dealt into blocks of about so many, with so many leaders at most.
 BLOCK, LEADERS = 1000, 64
 #: Tokens that PORTION texts hold at least LOCAL times, FREQUENT times in all such portions, and
@@ -44,6 +45,8 @@ BLOCK, LEADERS = 1000, 64
 PORTION, LOCAL, FREQUENT, HOT = 4096, 3, 24, 12
 #: The order knows at most so many of them (those of most texts); it is a hint, links don't depend on it.
 MOST_HOT = 1 << 19
+#: Where the matrix would be opened for this many rows a shared token, hot tokens are looked for again.
+OPENED_A_ROW = 8
 #: Keys of several nodes are filtered in Python tasks up to so many, and by a join beyond.
 KEYS_SENT = 1 << 21
 
@@ -210,24 +213,46 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "tokens"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the pairs (a, b, tokens_a, tokens_b), those that link."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of queries with a member of the group they open.
+
+    Rows (grp, block, asks, digest, tokens) come sorted, a block's members before its queries.  The
+    overlap with the union of the members bounds that with any of them; one link is enough, since a
+    group is connected already.
+    """
+    block, members, union = None, [], None
     for batch in batches:
-        keep = [_links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        a, b = [], []
+        for grp, part, asks, d, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            if (grp, part) != block:
+                block, members, union = (grp, part), [], None
+            s = np.frombuffer(tokens.as_buffer(), np.uint64)
+            if not asks:
+                members.append((d, s.copy()))
+            elif members:
+                union = np.unique(np.concatenate([t for _, t in members])) if union is None else union
+                within = int(np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s))
+                if 100 * within >= PERCENT * len(s) and (found := next((x for x, t in members if _links(s, t)), None)) is not None:
+                    a.append(d)
+                    b.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of digests whose sets link; the sets are made again from the texts."""
-    need = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    ids = written(nodes.join(need, "digest", "left_semi").select(F.col("doc_id").alias("need_id")).distinct(), "jaccard-ids")
-    if ids.isEmpty():
-        return pairs
-    sets = _among(texts, ids).select("text").mapInArrow(_set_rows, "digest binary, tokens binary")
-    sets = written(sets.dropDuplicates(["digest"]), "jaccard-sets")
-    a, b = (sets.select(F.col("digest").alias(x), F.col("tokens").alias("tokens_" + x)) for x in "ab")
-    both = pairs.hint("shuffle_merge").join(a, "a").join(b.hint("shuffle_merge"), "b").select("a", "b", "tokens_a", "tokens_b")
-    return written(both.mapInArrow(_linked, "a binary, b binary"), "jaccard-links")
+def _verified(asked: DataFrame, node: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of the queries (node, other) with the groups they open; sets are made again from the texts."""
+    asked = written(asked, "jaccard-asked")
+    sizes = node.join(asked.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
+    sizes = sizes.select("grp", "node", "digest")
+    many = sizes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = sizes.join(many, "grp").select("grp", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "digest")
+    blocks = many.select(F.col("grp").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    queries = asked.join(blocks, "other").join(node.select("node", "digest"), "node").select(F.col("other").alias("grp"), "block", F.lit(1).alias("asks"), "digest")
+    rows = written(members.union(queries), "jaccard-rows")
+    ids = written(nodes.join(rows.select("digest").distinct(), "digest", "left_semi").select(F.col("doc_id").alias("need_id")).distinct(), "jaccard-ids")
+    sets = _among(texts, ids).select("text").mapInArrow(_set_rows, "digest binary, tokens binary").dropDuplicates(["digest"])
+    full = rows.join(sets, "digest").select("grp", "block", "asks", "digest", "tokens")
+    dealt = full.repartition("grp", "block").sortWithinPartitions("grp", "block", "asks", "digest")
+    return dealt.mapInArrow(_opened, "a binary, b binary")
 
 
 def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -238,14 +263,14 @@ def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(sized(ids, ids.count(), 64), F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
 
 
-def _shared(texts: DataFrame, node: DataFrame, count: int, hot=None) -> DataFrame:
-    """(token, digest, n, grp): the prefix tokens that more than one group has."""
+def _shared(texts: DataFrame, groups: DataFrame, count: int, order) -> DataFrame:
+    """(token, node, grp): the prefix tokens that more than one group has."""
     of_token = Window.partitionBy("token")
-    prefix = texts.select("text").mapInArrow(_token_rows(hot), "token bigint, node bigint")
+    prefix = texts.select("text").mapInArrow(_token_rows(order), "token bigint, node bigint").repartition(F.col("token")).dropDuplicates(["token", "node"])
     several = prefix.withColumn("lo", F.min("node").over(of_token)).withColumn("hi", F.max("node").over(of_token)).where("lo <> hi").select("token", "node")
-    placed = written(several, "jaccard-several").join(sized(node, count, 96), "node")
+    placed = written(several, "jaccard-several").join(sized(groups, count, 48), "node", "left").select("token", "node", F.coalesce("grp", "node").alias("grp"))
     across = placed.withColumn("lo", F.min("grp").over(of_token)).withColumn("hi", F.max("grp").over(of_token)).where("lo <> hi")
-    return written(across.select("token", "digest", "n", "grp").distinct(), "jaccard-across")
+    return written(across.select("token", "node", "grp"), "jaccard-across")
 
 
 def _order(spark, held: DataFrame):
@@ -282,33 +307,33 @@ def jaccard_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     light = rows.where("n is not null").select("doc_id", "n", "digest", "keys")
     nodes = written(light.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-nodes")
     groups = connected_components(_group_links(texts, nodes), "jaccard-groups")
+    node = written(nodes.join(groups, nodes["digest"] == groups["node"], "left").select("digest", "n", F.coalesce("root", "digest").alias("root")).mapInArrow(_with_short, "node bigint, digest binary, n int, grp bigint"), "jaccard-node")
+    # Nodes and groups go by the first 8 bytes of their digests; a node alone is its own group.
+    moved = written(node.where("node <> grp").select("node", "grp"), "jaccard-moved")
+    count = moved.count()
 
-    node = nodes.join(sized(groups, groups.count(), 128), nodes["digest"] == groups["node"], "left").select("digest", "n", F.coalesce("root", "digest").alias("grp"))
-    node = written(node.mapInArrow(_with_short, "node bigint, digest binary, n int, grp binary"), "jaccard-node")
-    count = node.count()
     frequent = written(rows.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(f"held >= {FREQUENT}"), "jaccard-frequent")
-    shared = _shared(texts, node, count, _order(spark, frequent))
-    in_groups = shared.groupBy("token", "grp").agg(F.count("*")).groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > HOT)
-    hot = written(in_groups, "jaccard-hot")
-    if not hot.isEmpty():
+    shared = _shared(texts, moved, count, _order(spark, frequent))
+    in_groups = written(shared.groupBy("token", "grp").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows")), "jaccard-tokens")
+    opened, held = in_groups.agg(F.sum(F.col("rows") * F.col("held")), F.sum("rows")).first()
+    if (opened or 0) > OPENED_A_ROW * (held or 0):
+        hot = in_groups.where(F.col("held") > HOT).select("token", "held")
         every = frequent.union(hot).groupBy("token").agg(F.max("held").alias("held"))
-        shared = _shared(texts, node, count, _order(spark, every))
+        shared = _shared(texts, moved, count, _order(spark, every))
     matrix = shared.select("token", F.col("grp").alias("other")).distinct()
+    # A link is found from either side: the lower group asks.
+    overlap = shared.join(matrix, "token").where("grp < other").groupBy("node", "other").agg(F.count("*").alias("overlap"))
     bound = F.lit(1) + F.floor(F.col("n") * PERCENT / (100 * SLACK))
-    opened = shared.join(matrix, "token").where("grp <> other").groupBy("digest", "n", "grp", "other").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= bound)
-    members = node.select(F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("grp").alias("other"))
-    pairs = opened.select(F.col("digest").alias("a"), "n", "other").join(members, "other")
-    pairs = pairs.where((F.col("n") * PERCENT <= F.col("n_b") * 100) & (F.col("n_b") * PERCENT <= F.col("n") * 100))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(written(pairs, "jaccard-pairs"), texts, nodes)
+    asked = overlap.join(node.select("node", "n"), "node").where(F.col("overlap") >= bound).select("node", "other")
+    links = _verified(asked, node, texts, nodes)
     more = links.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return light, connected_components(more, "jaccard-components")
 
 
 def _with_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        short = [_short(d.as_py()) for d in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(short, pa.int64()), batch.column(0), batch.column(1), batch.column(2)], ["node", "digest", "n", "grp"])
+        node, grp = (pa.array([_short(d) for d in batch.column(i).to_pylist()], pa.int64()) for i in (0, 2))
+        yield pa.RecordBatch.from_arrays([node, batch.column(0), batch.column(1), grp], ["node", "digest", "n", "grp"])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

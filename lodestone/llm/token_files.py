@@ -49,16 +49,16 @@ def _encoded(path: str, kind: str, end_id: int):
             return pa.RecordBatch.from_arrays([ids, part, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "part", "at", "n_tokens", "ids"])
 
         for batch in batches:
-            first, starts, lengths, blobs = 0, [], [], []
+            first, starts, lengths, blobs, began = 0, [], [], [], at
             for i, text in enumerate(batch.column(2)):
                 blobs.append(enc.ids(text.as_py()) + end)
                 starts.append(at)
                 lengths.append(len(blobs[-1]) // 4)
                 at += lengths[-1]
-                if sum(lengths) > 1 << 20 or i + 1 == len(batch):
+                if at - began > 1 << 20 or i + 1 == len(batch):
                     n = i + 1 - first
                     yield batch_of(batch.column(0).slice(first, n), batch.column(1).slice(first, n), starts, lengths, blobs)
-                    first, starts, lengths, blobs = i + 1, [], [], []
+                    first, starts, lengths, blobs, began = i + 1, [], [], [], at
 
     return rows
 

@@ -3,10 +3,11 @@
 The two pre-tokenisers supported here never let a token cross certain places, so a text may be cut
 there and the pieces encoded one by one:
 
-* byte-level BPE: before a single space that has no white space on both of its sides, and after
-  the letters that a piece begins with;
-* word BPE: at spaces (white space is dropped), and after a piece's first letters where an ASCII
-  character follows (which never combines with what stands before it).
+* byte-level BPE: before a single space that has no white space on both of its sides, around a line
+  feed that has none on either, and after the letters that a piece begins with;
+* word BPE: at spaces and line feeds (white space is dropped), and after a piece's first letters
+  where an ASCII character follows (which never combines with what stands before it).  It lower-cases
+  character by character, which is the lower case of the whole text within the Latin blocks.
 
 A text with longer runs of white space, where the first rule doesn't hold, is encoded as it stands.
 """
@@ -24,6 +25,7 @@ BYTE_LEVEL, WORD = "byte_level", "word"
 #: Most words a worker remembers; see _Ids for what happens beyond it.
 REMEMBERED = 600_000
 _BARE = re.compile(r"\s (?:\s|$)")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _LETTERS = regex.compile(r" ?\p{L}+")
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
@@ -52,7 +54,10 @@ class _Ids(dict):
 
     def __missing__(self, piece: str) -> bytes:
         whole = self.lead + piece
-        m = _LETTERS.match(whole)
+        if "İ" not in whole and 0 < (line := piece.find("\n")) < len(piece) - 1 and not piece[line - 1].isspace() and not piece[line + 1].isspace():
+            return self[piece[:line]] + self.rest["\n"] + self.rest[piece[line + 1 :]]
+        # The lower case of this one letter ends in a mark that isn't a letter.
+        m = _LETTERS.match(whole) if "İ" not in whole else None
         if m is None:
             found = self.encode(whole)
         elif (at := m.end()) == len(whole):
@@ -104,7 +109,9 @@ class Encoder:
         if not text:
             return b""
         if not self.byte_level:
-            return b"".join(map(self.first.__getitem__, filter(None, text.split(" "))))
+            if text.isascii() or not _BEYOND_LATIN.search(text):
+                text = text.lower()
+            return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
         if _BARE.search(text):
             return self._encode(text)
         first, *rest = text.split(" ")
