@@ -12,9 +12,10 @@ links, which needs no pair twice and never all pairs of a group of copies:
    fixed order of tokens, two linked sets of sizes n and m share at least l tokens among their first
    n - ceil(.8 n) + l and m - ceil(.8 m) + l; tokens of many groups come last in the order, so
    passages that many documents share stay out of the matrix.
-4. The overlap of a query with a group's union bounds its overlap with any member: only groups at or
-   above the bound, in the matrix and then in the whole union, are opened and their members compared
-   exactly, in blocks of bounded size.
+4. The overlap of a query with a group's union bounds its overlap with any member: only groups whose
+   sizes fit and that are at or above the bound, in the matrix and then in the whole union, are opened
+   and their members compared exactly, in blocks of bounded size.  The bound goes by both sizes: of
+   the tokens that a link needs, those outside both prefixes are at most the larger of the two rests.
 5. Components of the links of steps 2 and 4.
 
 Links within a group need no further search: its members are connected already.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -40,9 +41,9 @@ SLACK = 20
 BANDS, ROWS = 3, 2
 #: Nodes of one key are dealt into blocks of about so many, with so many leaders at most.
 BLOCK, LEADERS = 1000, 64
-#: Tokens that PORTION texts hold at least LOCAL times, FREQUENT times in all such portions, and
-#: tokens in the prefixes of more than HOT groups, move to the end of the order.
-PORTION, LOCAL, FREQUENT, HOT = 4096, 3, 24, 12
+#: Tokens that are LOCAL times in a portion of PORTION tokens of texts, FREQUENT times in all such
+#: portions, and tokens in the prefixes of more than HOT groups, move to the end of the order.
+PORTION, LOCAL, FREQUENT, HOT = 1 << 21, 2, 12, 12
 #: The order knows at most so many of them (those of most texts); it is a hint, links don't depend on it.
 MOST_HOT = 1 << 19
 #: Where the matrix would be opened for this many rows a shared token, hot tokens are looked for again.
@@ -79,7 +80,7 @@ def _light_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [pa.nulls(len(tokens), t) for t in (id_type, pa.int32(), pa.binary(), pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([*empty, pa.array(tokens), pa.array(held)], names)
 
-    id_type = None
+    id_type, size = None, 0
     for batch in batches:
         id_type, rows = batch.column(0).type, len(batch)
         n, digests, keys = [], [], []
@@ -88,11 +89,13 @@ def _light_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(s))
                 digests.append(digest(s) if len(s) else None)
                 keys.append(_band_keys(s) if len(s) else [])
-                if len(s):
+                if len(s) and digests[-1] not in kept:
                     kept[digests[-1]] = s
-                if len(kept) >= PORTION:
+                    size += len(s)
+                if size >= PORTION:
                     yield frequent(id_type)
                     kept.clear()
+                    size = 0
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())], names)
     if kept:
         yield frequent(id_type)
@@ -162,7 +165,7 @@ def _short(d: bytes) -> int:
 
 
 def _token_rows(hot=None, whole: bool = False):
-    """Rows (token, node) for the first tokens, or all, of each set; node is the digest's first 8 bytes.
+    """Rows (token, node, n) for the first tokens, or all, of each set of n; node is the digest's first 8 bytes.
 
     hot holds the sorted hot tokens and their places at the end of the order.
     """
@@ -171,10 +174,10 @@ def _token_rows(hot=None, whole: bool = False):
         late_tokens, places = hot.value if hot is not None else (np.zeros(0, np.uint64), None)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, nodes, held = [], [], 0
+            tokens, nodes, sizes, held = [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["token", "node", "n"])
 
             for s in shingle_sets(batch.column(0)):
                 if not len(s) or (d := digest(s)) in seen:
@@ -189,10 +192,11 @@ def _token_rows(hot=None, whole: bool = False):
                     s = np.concatenate([s[~late], s[late][np.argsort(places[at[late]])]])
                 tokens.append(s[:length])
                 nodes.append(np.full(length, _short(d), np.int64))
+                sizes.append(np.full(length, n, np.int32))
                 held += length
                 if held > 1 << 17:
                     yield out()
-                    tokens, nodes, held = [], [], 0
+                    tokens, nodes, sizes, held = [], [], [], 0
             if held:
                 yield out()
 
@@ -264,13 +268,32 @@ def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _shared(texts: DataFrame, groups: DataFrame, count: int, order) -> DataFrame:
-    """(token, node, grp): the prefix tokens that more than one group has."""
+    """(token, node, n, grp, lo, hi): the prefix tokens that more than one group has, with the node's
+    size and the least and greatest of its group; groups holds those of several nodes."""
     of_token = Window.partitionBy("token")
-    prefix = texts.select("text").mapInArrow(_token_rows(order), "token bigint, node bigint").repartition(F.col("token")).dropDuplicates(["token", "node"])
-    several = prefix.withColumn("lo", F.min("node").over(of_token)).withColumn("hi", F.max("node").over(of_token)).where("lo <> hi").select("token", "node")
-    placed = written(several, "jaccard-several").join(sized(groups, count, 48), "node", "left").select("token", "node", F.coalesce("grp", "node").alias("grp"))
-    across = placed.withColumn("lo", F.min("grp").over(of_token)).withColumn("hi", F.max("grp").over(of_token)).where("lo <> hi")
-    return written(across.select("token", "node", "grp"), "jaccard-across")
+    prefix = texts.select("text").mapInArrow(_token_rows(order), "token bigint, node bigint, n int").repartition(F.col("token")).dropDuplicates(["token", "node"])
+    several = prefix.withColumn("lo", F.min("node").over(of_token)).withColumn("hi", F.max("node").over(of_token)).where("lo <> hi").select("token", "node", "n")
+    placed = written(several, "jaccard-several").join(sized(groups, count, 64), "node", "left")
+    placed = placed.select("token", "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
+    across = placed.withColumn("first", F.min("grp").over(of_token)).withColumn("last", F.max("grp").over(of_token)).where("first <> last")
+    return written(across.select("token", "node", "n", "grp", "lo", "hi"), "jaccard-across")
+
+
+def _needed(n: Column, lo: Column, hi: Column) -> Column:
+    """Least overlap of the prefix of a set of n with that of any linked set of lo to hi tokens.
+
+    For a size m it is what a link needs less the larger rest outside a prefix; between two sizes it
+    is, but for roundings of 3 in all, least at one end.
+    """
+
+    def rest(k: Column) -> Column:
+        return F.greatest(F.lit(0), F.ceil(k * PERCENT / 100) - 1 - F.floor(k / SLACK))
+
+    def at(m: Column) -> Column:
+        return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n), rest(m))
+
+    lo, hi = F.greatest(lo, F.ceil(n * PERCENT / 100)), F.least(hi, F.floor(n * 100 / PERCENT))
+    return F.greatest(F.lit(1), F.least(at(lo), at(hi)) - F.when(lo < hi, 3).otherwise(0))
 
 
 def _order(spark, held: DataFrame):
@@ -309,7 +332,8 @@ def jaccard_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = connected_components(_group_links(texts, nodes), "jaccard-groups")
     node = written(nodes.join(groups, nodes["digest"] == groups["node"], "left").select("digest", "n", F.coalesce("root", "digest").alias("root")).mapInArrow(_with_short, "node bigint, digest binary, n int, grp bigint"), "jaccard-node")
     # Nodes and groups go by the first 8 bytes of their digests; a node alone is its own group.
-    moved = written(node.where("node <> grp").select("node", "grp"), "jaccard-moved")
+    ranges = node.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("held")).where("held > 1")
+    moved = written(node.join(ranges, "grp").select("node", "grp", "lo", "hi"), "jaccard-moved")
     count = moved.count()
 
     frequent = written(rows.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(f"held >= {FREQUENT}"), "jaccard-frequent")
@@ -320,11 +344,12 @@ def jaccard_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hot = in_groups.where(F.col("held") > HOT).select("token", "held")
         every = frequent.union(hot).groupBy("token").agg(F.max("held").alias("held"))
         shared = _shared(texts, moved, count, _order(spark, every))
-    matrix = shared.select("token", F.col("grp").alias("other")).distinct()
+    matrix = shared.select("token", F.col("grp").alias("other"), F.col("lo").alias("least"), F.col("hi").alias("most")).distinct()
     # A link is found from either side: the lower group asks.
-    overlap = shared.join(matrix, "token").where("grp < other").groupBy("node", "other").agg(F.count("*").alias("overlap"))
-    bound = F.lit(1) + F.floor(F.col("n") * PERCENT / (100 * SLACK))
-    asked = overlap.join(node.select("node", "n"), "node").where(F.col("overlap") >= bound).select("node", "other")
+    fits_size = (F.col("most") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("least") * PERCENT)
+    pairs = shared.join(matrix, "token").where((F.col("grp") < F.col("other")) & fits_size)
+    overlap = pairs.groupBy("node", "other", "n", "least", "most").agg(F.count("*").alias("overlap"))
+    asked = overlap.where(F.col("overlap") >= _needed(F.col("n"), F.col("least"), F.col("most"))).select("node", "other")
     links = _verified(asked, node, texts, nodes)
     more = links.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return light, connected_components(more, "jaccard-components")
