@@ -13,10 +13,9 @@ a hash of the key, the format and all characters before it, forwards and then ba
   IP addresses stay in range, names keep gender (first names are exchanged within the list of their
   gender and script; the end of a surname stays) and script.
 
-The collision check runs over the distinct entities of the whole corpus: surrogates must be
-distinct and none may be a real entity of the corpus; otherwise the key is stepped and they are
-made anew, REKEYS times at most - what then remains are chance meetings in a format with few
-values, and surrogates are distinct all the same.
+The collision check runs over the distinct entities of the whole corpus, in canonical form (persons
+by their surname), so that surrogates are distinct and none is a real entity of the corpus, itself
+included.  Those of the bijection that are get another one by entity, see `resolved`.
 """
 
 from __future__ import annotations
@@ -26,9 +25,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..operators.sequences import numbered
+from .common import sized, written
 
-REKEYS = 4
+#: A format of which the corpus holds more than 1 in so many values is enumerated.
+ROOM = 8
+FORMAT = ["kind", "head", "tail", "shape"]
 # First names by gender and script.
 MALE = ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Peter", "Hans", "Klaus", "Jürgen", "Stefan", "Pierre", "Jacques", "François", "Philippe", "Carlos", "José", "Juan", "Miguel", "Pedro"]
 FEMALE = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Emma", "Anna", "Julia", "Ursula", "Sabine", "Petra", "Marie", "Sophie", "Camille", "Nathalie", "Carmen", "María", "Lucía", "Isabel", "Teresa"]
@@ -126,13 +128,20 @@ def _first_names(key: str) -> dict[str, str]:
     return out
 
 
-def surrogates(found: Column, key: str) -> Column:
-    """The surrogates of an array of entities, in steps, each an array of structs.
+def _kinds(kind: Column) -> Column:
+    return F.when(kind.isin("ip", "hex"), F.array(*map(F.lit, HEX))).otherwise(F.array(*map(F.lit, KINDS)))
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^0-9]", "")
+
+
+def _canonical(found: Column, key: str) -> Column:
+    """An array of entities in steps, each an array of structs.
 
     head and tail stay; body, the canonical form between them, goes through the bijection of its
-    shape and kinds; the new entity is put together in the format of the old one.
+    shape and kinds.
     """
-    digits = lambda t: F.regexp_replace(t, r"[^0-9]", "")
     hexed = lambda o: F.lower(F.lpad(F.hex(o.cast("int")), 2, "0"))
 
     def typed(e: Column) -> Column:
@@ -144,21 +153,32 @@ def surrogates(found: Column, key: str) -> Column:
         old, kind = e["old"], e["kind"]
         surname = F.element_at(F.split(old, " "), -1)
         head = F.when(kind == "phone", F.regexp_extract(old, r"^\+\d{1,3}(?=[ .(-])", 0)).when(kind == "person", F.substring(old, F.lit(1), F.length(old) - F.length(surname))).otherwise("")
-        tail = F.when(kind == "email", F.lower(F.regexp_extract(old, r"\.[^.]+$", 0))).when(kind == "person", F.substring(surname, F.greatest(F.length(surname) - 2, F.lit(1)) + 1, F.length(surname))).when(kind == "card", F.substring(digits(old), -1, 1)).otherwise("")
+        tail = F.when(kind == "email", F.lower(F.regexp_extract(old, r"\.[^.]+$", 0))).when(kind == "person", F.substring(surname, F.greatest(F.length(surname) - 2, F.lit(1)) + 1, F.length(surname))).when(kind == "card", F.substring(_digits(old), -1, 1)).otherwise("")
         kept = F.when(kind.isin("email", "person"), F.length(tail)).otherwise(0)
         middle = F.substring(old, F.length(head) + 1, F.length(old) - F.length(head) - kept)
         return F.struct(old.alias("old"), kind.alias("kind"), head.alias("head"), tail.alias("tail"), middle.alias("middle"))
 
     def canonical(e: Column) -> Column:
         kind, middle = e["kind"], e["middle"]
-        body = F.when(kind.isin("phone", "ssn"), digits(middle)).when(kind == "card", F.substring(digits(middle), F.lit(1), F.length(digits(middle)) - 1)).when(kind == "ip", F.array_join(F.transform(F.split(middle, r"\."), hexed), "")).otherwise(F.lower(middle))
-        kinds = F.when(kind.isin("ip", "hex"), F.array(*map(F.lit, HEX))).otherwise(F.array(*map(F.lit, KINDS)))
+        body = F.when(kind.isin("phone", "ssn"), _digits(middle)).when(kind == "card", F.substring(_digits(middle), F.lit(1), F.length(_digits(middle)) - 1)).when(kind == "ip", F.array_join(F.transform(F.split(middle, r"\."), hexed), "")).otherwise(F.lower(middle))
         shape = F.when(kind.isin("ip", "hex"), F.length(body).cast("string")).otherwise(F.translate(body, "".join(KINDS), "".join(k[0] * len(k) for k in KINDS)))
-        return F.struct(*[e[c].alias(c) for c in ("old", "kind", "head", "tail", "middle")], body.alias("body"), kinds.alias("kinds"), shape.alias("shape"), F.concat(F.lit(key), kind).alias("key"))
+        return F.struct(*[e[c].alias(c) for c in ("old", "kind", "head", "tail", "middle")], body.alias("body"), _kinds(kind).alias("kinds"), shape.alias("shape"), F.concat(F.lit(key), kind).alias("key"))
+
+    return F.transform(F.transform(F.transform(found, typed), split), canonical)
+
+
+def _bijection(steps: Column, fields: list[str]) -> Column:
+    """Structs of fields with new, their body moved within its shape and kinds."""
 
     def moved(e: Column, source: str, label: str) -> Column:
         out = F.reverse(_one_way(e, _characters(e[source]), label))
-        return F.struct(*[e[c].alias(c) for c in ("old", "kind", "head", "tail", "middle", "body", "kinds", "shape", "key")], out.alias("new"))
+        return F.struct(*[e[c].alias(c) for c in fields], out.alias("new"))
+
+    return F.transform(F.transform(steps, lambda e: moved(e, "body", ">")), lambda e: moved(e, "new", "<"))
+
+
+def _finished(steps: Column, key: str) -> Column:
+    """The new entities, each put together from new in the format of the old one."""
 
     def made(e: Column) -> Column:
         kind, new, known = e["kind"], e["new"], F.create_map(*[F.lit(x) for pair in _first_names(key).items() for x in pair])
@@ -176,35 +196,107 @@ def surrogates(found: Column, key: str) -> Column:
             .otherwise(e["old"])
         )
 
-    steps = F.transform(F.transform(F.transform(found, typed), split), canonical)
-    steps = F.transform(F.transform(steps, lambda e: moved(e, "body", ">")), lambda e: moved(e, "new", "<"))
     return F.transform(steps, made)
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """The distinct (kind, entity) of all texts."""
-    found = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(f"({ANY})"), F.lit(1))).alias("entity")).distinct()
-    return found.select(kind_of(F.col("entity")).alias("kind"), "entity")
+FIELDS = ["old", "kind", "head", "tail", "middle", "body", "kinds", "shape", "key"]
+
+
+def surrogates(found: Column, key: str) -> Column:
+    """The surrogates of an array of entities by the bijection alone."""
+    return _finished(_bijection(_canonical(found, key), FIELDS), key)
+
+
+def _values(found: DataFrame, key: str) -> DataFrame:
+    """entity and its value: FORMAT and body.  Entities that are kept on purpose have none."""
+    e = F.col("e")
+    # The check digit of a card is made of its body and what that leaves over, which stays.
+    over = F.pmod(e["tail"].cast("int") - _luhn(e["body"]), F.lit(10)).cast("string")
+    head = F.when(e["kind"] == "phone", e["head"]).otherwise("")
+    tail = F.when(e["kind"] == "card", over).otherwise(F.lower(e["tail"]))
+    rows = found.select("entity", F.get(_canonical(F.array("entity"), key), F.lit(0)).alias("e"))
+    return rows.where(~e["kind"].isin("version", "other")).select("entity", e["kind"].alias("kind"), head.alias("head"), tail.alias("tail"), e["shape"].alias("shape"), e["body"].alias("body"))
+
 
+def _turned(values: DataFrame, key: str) -> DataFrame:
+    """values with new, their body through the bijection of key."""
+    e = F.struct("body", "shape", _kinds(F.col("kind")).alias("kinds"), F.concat(F.lit(key), "kind").alias("key"))
+    return values.withColumn("new", F.get(_bijection(F.array(e), ["body", "shape", "kinds", "key"]), F.lit(0))["new"])
 
-def collisions(found: DataFrame, key: str) -> DataFrame:
-    """Entities whose surrogate is another's too, or an entity of the corpus."""
-    made = found.select("kind", "entity", F.get(surrogates(F.array("entity"), key), F.lit(0)).alias("made"))
-    twice = made.groupBy("made").agg(F.count("*").alias("held")).where("held > 1").select("made")
-    real = found.select(F.col("entity").alias("made"))
-    return made.join(twice.union(real).distinct(), "made", "left_semi")
 
+def _room(body: Column, kind: Column) -> Column:
+    """How many values the format of a body has."""
+    size = lambda c: F.coalesce(F.length(F.get(F.filter(_kinds(kind), lambda k: F.instr(k, c) > 0), F.lit(0))), F.lit(1))
+    return F.aggregate(_characters(body), F.lit(1.0), lambda acc, c: acc * size(c))
 
-def chosen_key(docs: DataFrame, key: str) -> str:
-    """key with the first step whose surrogates have no collision, or the fewest of those tried."""
-    found = written(entities(docs), "pii-entities")
-    tried = []
-    for step in range(REKEYS):
-        stepped = f"{key}/{step}/"
-        tried.append((collisions(found, stepped).count(), step, stepped))
-        if not tried[-1][0]:
-            break
-    return min(tried)[2]
+
+def _nth(body: Column, kind: Column, n: Column) -> Column:
+    """The n-th value of the format of a body, as digits of mixed radix."""
+
+    def step(acc: Column, c: Column) -> Column:
+        own = F.coalesce(F.get(F.filter(_kinds(kind), lambda k: F.instr(k, c) > 0), F.lit(0)), c)
+        put = F.substring(own, (F.pmod(acc["rest"], F.length(own)) + 1).cast("int"), F.lit(1))
+        return F.struct(F.floor(acc["rest"] / F.length(own)).cast("bigint").alias("rest"), F.concat(acc["out"], put).alias("out"))
+
+    return F.aggregate(_characters(body), F.struct(n.cast("bigint").alias("rest"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+
+def _ranked(values: DataFrame, key: str) -> DataFrame:
+    """FORMAT, body and its rank from 0 within the format, in the order of a hash."""
+    rows = written(numbered(values.select(*FORMAT, "body", F.xxhash64(F.lit(key), "body").alias("_hash")), [*FORMAT, "_hash", "body"]), "pii-ranks")
+    first = rows.groupBy(*FORMAT).agg(F.min("nth").alias("_first"))
+    return rows.join(first, FORMAT).select(*FORMAT, "body", (F.col("nth") - F.col("_first")).alias("rank"))
+
+
+def _enumerated(values: DataFrame, tight: DataFrame, key: str) -> DataFrame:
+    """values of tight formats with new: the free values of the format are dealt out in the order of a hash.
+
+    Where there are fewer of them than real ones, the last real ones take each other's values in a
+    round (a last single one takes that of the first): distinct, and itself only if the format has
+    no other value.
+    """
+    values = values.join(tight.select(*FORMAT), FORMAT, "left_semi")
+    place = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("room").cast("bigint") - 1))
+    every = tight.select(*FORMAT, "sample", place.alias("n")).select(*FORMAT, _nth(F.col("sample"), F.col("kind"), F.col("n")).alias("body"))
+    free = _ranked(every.join(values, [*FORMAT, "body"], "left_anti"), key).withColumnRenamed("body", "new")
+    real = written(_ranked(values, key), "pii-real")
+    dealt = real.join(free, [*FORMAT, "rank"]).select(*FORMAT, "body", "new")
+    left = real.join(tight.select(*FORMAT, "held", (F.col("room") - F.col("held")).cast("bigint").alias("free")), FORMAT).where("rank >= free")
+    back = F.when(F.col("held") - F.col("free") > 1, F.col("free")).otherwise(0)
+    left = left.select(*FORMAT, "body", F.when(F.col("rank") + 1 < F.col("held"), F.col("rank") + 1).otherwise(back).alias("rank"))
+    return dealt.unionByName(left.join(real.withColumnRenamed("body", "new"), [*FORMAT, "rank"]).select(*FORMAT, "body", "new"))
+
+
+def resolved(values: DataFrame, key: str) -> DataFrame:
+    """The distinct values (FORMAT, body) whose surrogate isn't that of the bijection, with their new body.
+
+    A value whose surrogate is a real one of the corpus goes through the bijections of further keys
+    until one gives a value that is neither real nor taken.  A format of which the corpus holds
+    more than one in ROOM values is enumerated instead, so each round settles most of what is left.
+    """
+    made = written(_turned(values.select(*FORMAT, "body").distinct(), f"{key}/0/"), "pii-values")
+    counted = made.groupBy(*FORMAT).agg(F.count("*").alias("held"), F.min("body").alias("sample"))
+    tight = written(counted.withColumn("room", _room(F.col("sample"), F.col("kind"))).where(F.col("held") * ROOM > F.col("room")), "pii-tight")
+    whole, at = [*FORMAT, "body"], [*FORMAT, "new"]
+    real, taken = made.select(*FORMAT, F.col("body").alias("new")), made.select(*at)
+    left = written(made.join(real, at, "left_semi").join(tight, FORMAT, "left_anti").select(*whole), "pii-left")
+    out = written(_enumerated(made.select(*whole), tight, key), "pii-enumerated") if not tight.isEmpty() else left.withColumn("new", F.col("body")).limit(0)
+    step = 0
+    while not left.isEmpty():
+        step += 1
+        tried = _turned(left, f"{key}/{step}/")
+        good = written(tried.join(real, at, "left_anti").join(taken, at, "left_anti").select(*whole, "new"), "pii-settled")
+        out, taken = out.unionByName(good), taken.unionByName(good.select(*at))
+        left = written(left.join(good, whole, "left_anti"), "pii-left")
+    return out
+
+
+def exceptions(found: DataFrame, key: str) -> DataFrame:
+    """entity and made, for the entities whose surrogate isn't that of the bijection."""
+    values = written(_values(found, key), "pii-entities")
+    rows = values.join(resolved(values, key), [*FORMAT, "body"]).select("entity", "new")
+    step = F.transform(_canonical(F.array("entity"), key), lambda e: F.struct(*[e[c].alias(c) for c in FIELDS], F.col("new").alias("new")))
+    return written(rows.select("entity", F.get(_finished(step, f"{key}/0/"), F.lit(0)).alias("made")), "pii-exceptions")
 
 
 def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
@@ -213,14 +305,20 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") ->
     All other columns stay as they are, in their order; rows stay as they come.  A null text stays
     null with no entity; texts without an entity stay the same.  An empty table gives no rows.
     """
-    return _replaced(docs, chosen_key(docs, key), count)
-
-
-def _replaced(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
-    parts, found = "_pii_pieces", "_pii_new"
-    rows = docs.withColumn(parts, pieces(F.col("text")))
-    rows = rows.withColumn(found, surrogates(F.filter(parts, lambda p, i: i % 2 == 1), key))
-    new = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(F.col(found), F.floor(i / 2).cast("int"))).otherwise(p)), "")
-    text = F.when(F.size(found) > 0, new).otherwise(F.col("text"))
+    row, parts, fix = "_pii_row", "_pii_pieces", "_pii_fix"
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = written(docs.select(*others, F.monotonically_increasing_id().alias(row), pieces(F.col("text")).alias(parts)), "pii-pieces")
+    entity = F.filter(parts, lambda p, i: i % 2 == 1)
+    made = exceptions(rows.select(F.explode(entity).alias("entity")).distinct(), key)
+    new = surrogates(entity, f"{key}/0/")
+    if n := made.count():
+        places = rows.select(row, F.posexplode(entity).alias("at", "entity")).join(sized(made, n, 512), "entity")
+        fixes = written(places.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("at", "made"))).alias(fix)), "pii-fixes")
+        held = fixes.agg(F.sum(F.size(fix))).first()[0] or 0
+        rows = rows.join(sized(fixes, held, 512), row, "left")
+        new = F.when(F.col(fix).isNull(), new).otherwise(F.transform(new, lambda s, i: F.coalesce(F.try_element_at(fix, i), s)))
+    found = "_pii_new"
+    rows = rows.withColumn(found, new)
+    text = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(F.col(found), F.floor(i / 2).cast("int"))).otherwise(p)), "")
     out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*out, *([F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0)).alias(count)] if count else []))

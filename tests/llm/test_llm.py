@@ -377,6 +377,24 @@ def test_surrogates_are_distinct(spark):
     assert found.groupBy("kind").count().count() == 3
 
 
+def test_no_surrogate_is_a_real_entity(spark):
+    """Surnames and numbers that fill much of their format, and one format more than half full."""
+    consonants = "BCDFGHJKLMNPQRSTVWXYZ"
+    names = [f"Mr. {c}i" for c in consonants[:10]] + [f"Mr. {c}o" for c in consonants[:20]] + ["Mr. Li", "Anna Li"]
+    phones = [f"555-{n:04d}" for n in range(3000)]
+    rng = random.Random(3)
+    phones += [f"{n // 10000:03d}-{n % 10000:04d}" for n in rng.sample(range(10**7), 3000)]
+    frame = spark.createDataFrame([(i, f"I met {e} there", 0) for i, e in enumerate(names + phones)], "doc_id long, text string, node long")
+    got = {before: r.text[6:-6] for before, r in zip(names + phones, pii.pseudonymise(frame, "k").orderBy("doc_id").collect())}
+    assert len({got[p] for p in phones}) == len(set(phones)) and not {got[p] for p in phones} & set(phones)
+    roomy = [n for n in names if n.endswith("i")]
+    assert not {got[n].split()[-1] for n in roomy} & {n.split()[-1] for n in roomy}
+    assert got["Mr. Li"].split()[-1] == got["Anna Li"].split()[-1]
+    # Twenty of twenty-one values are real: one free value, and none stays as it is.
+    full = [n for n in names if n.endswith("o")]
+    assert len({got[n] for n in full}) == 20 and all(got[n] != n for n in full)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
