@@ -92,6 +92,34 @@ def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", F.col("z").getField(names[0]).cast("int").alias("input_id"), F.col("z").getField(names[1]).cast("int").alias("label"))
 
 
+# The same over whole texts: every word in one of as many blocks as it takes (the last may be short).
+@query("tokens_assembled_whole", f"WITH {IDS}, b AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids), 1)::BIGINT, 30)) AS start FROM t WHERE ids IS NOT NULL), s AS (SELECT doc_id, start, [101] || ids[start + 1 : start + 30] || [102] AS a FROM b) SELECT doc_id, start::INT AS start, array_to_string(a || list_transform(range(32 - len(a)), lambda i: 0), ',') AS input_ids, len(a)::INT AS n FROM s")
+def assembled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ids(spark, sf_dir).select("doc_id", F.inline(K.spans(F.col("ids"), 30, 30)))
+    a, types = K.assembled(F.col("tokens"), None, 101, 102)
+    f = K.features(a, types, 32)
+    return rows.select("doc_id", "start", flat(f["input_ids"]).alias("input_ids"), V.total(V.doubles(f["attention_mask"])).cast("int").alias("n"))
+
+
+@query("tokens_ngrams_whole", f"WITH {IDS}, i AS (SELECT ids, unnest(range(1, len(ids) - 1)) AS i FROM t), g AS (SELECT ids[i : i + 2] AS g FROM i) SELECT array_to_string(g, ' ') AS gram, count(*) AS n FROM g GROUP BY 1")
+def ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ids(spark, sf_dir).select(F.explode(K.ngrams(F.col("ids"), 3)).alias("g"))
+    return rows.groupBy(F.array_join(F.transform("g", lambda x: x.cast("string")), " ").alias("gram")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "tokens_masked_whole",
+    f"""WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS i FROM t),
+d AS (SELECT doc_id, i, x, {_drawn(1)} < 0.15 AND x <> 1 AS chosen, {_drawn(2)} AS how, floor({_drawn(3)} * 100)::INT AS other FROM e)
+SELECT doc_id, i::INT AS pos, CASE WHEN chosen AND how < 0.8 THEN 103 WHEN chosen AND how < 0.9 THEN other ELSE x END::INT AS input_id, CASE WHEN chosen THEN x ELSE -100 END::INT AS label FROM d""",
+)
+def masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, labels = K.masked(F.col("ids"), F.col("doc_id"), 103, 100, [1])
+    rows = ids(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(new.alias("i"), labels.alias("label"))).alias("pos", "z"))
+    names = rows.schema["z"].dataType.names
+    return rows.select("doc_id", "pos", F.col("z").getField(names[0]).cast("int").alias("input_id"), F.col("z").getField(names[1]).cast("int").alias("label"))
+
+
 @query(
     "tokens_unmasked",
     f"WITH {IDS}, u AS (SELECT doc_id, [CASE WHEN x % 3 = 0 THEN 7 ELSE x END FOR x IN ids] AS a FROM t) SELECT doc_id, coalesce(list_sum(a), 0)::BIGINT AS total FROM u",

@@ -145,3 +145,18 @@ def test_projection_is_centred(spark):
     project, explained = fitted(rows, 2)
     means = project(rows).select(*[F.avg(F.get("components", F.lit(i))).alias(f"m{i}") for i in range(2)]).first()
     assert abs(means.m0) < 1e-9 and abs(means.m1) < 1e-9 and 90 < sum(explained) <= 100.001
+
+
+def test_whole_texts_are_assembled_masked_and_counted(spark, tmp_path):
+    from lodestone.queries import QUERIES
+
+    texts = {1: " ".join("abc"[: i % 3 + 1] for i in range(250)), 2: "one two", 3: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {k: [len(w) for w in t.split()] for k, t in texts.items()}
+    got = QUERIES["tokens_assembled_whole"](spark, str(tmp_path)).orderBy("doc_id", "start").collect()
+    for k, w in words.items():
+        assert [x for r in got if r.doc_id == k for x in map(int, r.input_ids.split(",")[1 : r.n - 1])] == w
+    got = QUERIES["tokens_masked_whole"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
+    assert all([r.label if r.label >= 0 else r.input_id for r in got if r.doc_id == k] == w for k, w in words.items())
+    assert any(r.label >= 0 for r in got if r.pos >= 100)
+    assert sum(r.n for r in QUERIES["tokens_ngrams_whole"](spark, str(tmp_path)).collect()) == 248
