@@ -130,7 +130,10 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_evaluation", None)
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    preds = rows.select((F.col("id") % 20).alias("entry"), (F.col("id") % 3).alias("checkpoint"), (F.col("id") % 5).alias("rotation"), "vector")
-    targets = rows.where("id < 20").select(F.col("id").alias("entry"), F.col("vector").alias("target"))
-    matches, _ = evaluated(preds.join(targets, "entry"), rows, 5)
-    return matches
+    # 15 ids in a row are the 3 checkpoints and 5 rotations of an entry, the first of them is its
+    # target.  Entries have negative ids: they are no rows of the library, which gives all its rows.
+    entry = (-1 - F.floor(F.col("id") / 15)).cast("bigint")
+    preds = rows.select(entry.alias("entry"), F.floor(F.col("id") % 15 / 5).alias("checkpoint"), (F.col("id") % 5).alias("rotation"), "id", "vector")
+    targets = preds.groupBy("entry").agg(F.min_by("vector", "id").alias("target"))
+    matches, accuracy = evaluated(preds.drop("id").join(targets, "entry"), rows, 5)
+    return matches.join(F.broadcast(accuracy.withColumnRenamed("k", "rank")), "rank").select("query_id", "rank", "match_id", "similarity", "accuracy")

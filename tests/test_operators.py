@@ -160,3 +160,25 @@ def test_whole_texts_are_assembled_masked_and_counted(spark, tmp_path):
     assert all([r.label if r.label >= 0 else r.input_id for r in got if r.doc_id == k] == w for k, w in words.items())
     assert any(r.label >= 0 for r in got if r.pos >= 100)
     assert sum(r.n for r in QUERIES["tokens_ngrams_whole"](spark, str(tmp_path)).collect()) == 248
+
+
+def test_batch_evaluation_looks_all_entries_up(spark):
+    import numpy as np
+
+    from lodestone.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    own, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-6)
+    want, ranks = {}, []
+    for e in set(own // 15):
+        at = own // 15 == e
+        v = unit(np.mean([x[at & (own % 15 // 5 == c)].mean(axis=0) for c in sorted(set(own[at] % 15 // 5))], axis=0))
+        near = unit(x) @ v
+        want[-1 - e] = sorted(-near)[:5]
+        ranks.append((near > unit(x[at][0]) @ v + 1e-12).sum())
+    got = QUERIES["batch_evaluation"](spark, sf).collect()
+    assert len(got) == 5 * len(want) and {r.query_id for r in got} == set(want)
+    assert all(abs(r.similarity + want[r.query_id][r["rank"] - 1]) < 1e-9 for r in got)
+    assert all(abs(r.accuracy - np.mean(np.array(ranks) < r["rank"])) < 1e-9 for r in got)
