@@ -422,6 +422,20 @@ def test_pipeline_stages(spark, tmp_path):
         before, docs = {r.doc_id: r for r in got}, rows
 
 
+def test_pipeline_stages_read_written_tables(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+
+    def stage(spark, docs, sf):
+        read.append([f for f in docs.inputFiles() if "stage-" in f])
+        return docs.withColumn("more", F.lit(1))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert not read[0] and all("stage-a" in f for f in read[1]) and all("stage-b" in f for f in read[2]) and read[1] and read[2]
+
+
 def test_registered():
     import __spark_entry__
 
