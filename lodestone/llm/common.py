@@ -29,10 +29,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
     """df as a written table in the shared folder; cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +45,14 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as it takes to be none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,21 +4,24 @@ Texts become sets of five-word shingles (see ``shingles``).  Two texts link when
 ``100 * |A & B| >= 80 * |A | B|``.  The result says for each document which texts it can reach by
 links, which needs no pair twice and never all pairs of a group of copies:
 
-1. Equal sets are one node from the start (128-bit digest).
-2. Similar nodes are partitioned into groups: nodes that share the minimal hashes of two hash
-   ranges meet in blocks of bounded size, each is compared with the block's leaders (nodes that
-   linked with no leader before them), and the links found make the groups.
-3. The token-group matrix holds (token, group) for the union of each group's prefix tokens.  In any
-   fixed order of tokens, two linked sets of sizes n and m share at least l tokens among their first
-   n - ceil(.8 n) + l and m - ceil(.8 m) + l; tokens of many groups come last in the order, so
-   passages that many documents share stay out of the matrix.
-4. The overlap of a query with a group's union bounds its overlap with any member: only groups whose
-   sizes fit and that are at or above the bound, in the matrix and then in the whole union, are opened
-   and their members compared exactly, in blocks of bounded size.  The bound goes by both sizes: of
-   the tokens that a link needs, those outside both prefixes are at most the larger of the two rests.
-5. Components of the links of steps 2 and 4.
-
-Links within a group need no further search: its members are connected already.
+1. Equal sets are one node from the start (128-bit digest).  Every text is cut into shingles once;
+   the sets are written.
+2. Similar nodes are partitioned into groups.  A node has a key for each of BANDS bands, made of the
+   least hashes of ROWS ranges of the hash space, and belongs to the group of the key that most nodes
+   have.  Members of a group needn't link.
+3. Within a group, a bounded number of leaders is compared with each member, and with each other;
+   what these links connect is a cell, so a group of near copies is one cell or a few.
+4. The token-group matrix holds (token, group) for the union of the tokens that a group's members are
+   indexed by.  Let tokens be in any fixed order, and sets have n <= m tokens.  Linked sets share
+   ``ceil((n + m) * 4 / 9)`` of them, of which those outside the first n - ceil(n * 8 / 9) + l tokens
+   of the one (by which it is indexed) and the first m - ceil(.8 m) + l of the other (by which it
+   asks) are at most the larger of the two rests.  Tokens of many nodes come last in the order, so
+   passages that many texts share stay out of the matrix.
+5. The overlap of what a node asks by with a group's union, without tokens that its own cell alone has
+   there, bounds its overlap with any member of another cell.  Only groups whose sizes fit and that reach
+   the bound are opened, in blocks bounded on both sides; in each the overlap with the block's whole union
+   is looked at first, then that with every member is counted exactly.
+6. Components of the links of steps 3 and 5.
 """
 
 from __future__ import annotations
@@ -31,334 +34,364 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import sized, written
+from .common import BROADCAST_BYTES, free_name, sized, written
 from .components import connected_components
 from .shingles import digest, mix, shingle_sets
 
 PERCENT = 80
 #: Longer prefixes ask for more common tokens: 1 + n // SLACK of them.
 SLACK = 20
-BANDS, ROWS = 3, 2
-#: Nodes of one key are dealt into blocks of about so many, with so many leaders at most.
-BLOCK, LEADERS = 1000, 64
+BANDS, ROWS = 8, 3
+#: Blocks of a group have about so many members, or askers, and so many bytes of tokens at most on average.
+BLOCK, BLOCK_BYTES = 512, 1 << 22
+#: About so many members of a group, and so many bytes of them, lead it.
+LEADERS, LEADER_BYTES = 64, 1 << 22
 #: Tokens that are LOCAL times in a portion of PORTION tokens of texts, FREQUENT times in all such
-#: portions, and tokens in the prefixes of more than HOT groups, move to the end of the order.
+#: portions, and tokens in the matrix for more than HOT groups, move to the end of the order.
 PORTION, LOCAL, FREQUENT, HOT = 1 << 21, 2, 12, 12
-#: The order knows at most so many of them (those of most texts); it is a hint, links don't depend on it.
-MOST_HOT = 1 << 19
-#: Where the matrix would be opened for this many rows a shared token, hot tokens are looked for again.
+#: The order knows as many of them as may be broadcast (those of most texts); it is a hint, links don't depend on it.
+MOST_HOT = BROADCAST_BYTES // 16
+#: Where the matrix would be met by this many rows for each row that asks, hot tokens are looked for again.
 OPENED_A_ROW = 8
-#: Keys of several nodes are filtered in Python tasks up to so many, and by a join beyond.
-KEYS_SENT = 1 << 21
 
-_LIGHT = "doc_id {id}, n int, digest binary, keys array<bigint>, token bigint, held int"
+_ROWS = "doc_id {id}, row_key binary, n int, digest binary, keys array<bigint>, tokens binary, token bigint, held int"
+_NAMES = ["doc_id", "row_key", "n", "digest", "keys", "tokens", "token", "held"]
+#: A task remembers so many digests; what it repeats beyond them is dropped later.
+_SEEN = 1 << 18
 
 
-def _band_keys(s: np.ndarray) -> list[int]:
-    """One key a band: the smallest hashes in three of sixteen ranges of the hash space."""
-    bounds = (np.arange(BANDS * ROWS + 1, dtype=np.uint64)) << np.uint64(60)
-    at = np.searchsorted(s, bounds)
+def _band_keys(s: np.ndarray) -> np.ndarray:
+    """One key for each band that has a token: a hash of the least tokens in its ranges, of 32 in all."""
+    at = np.searchsorted(s, np.arange(BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(59))
     lowest = np.where(at[:-1] < at[1:], s[np.minimum(at[:-1], len(s) - 1)], np.uint64(0)).reshape(BANDS, ROWS)
-    out = []
-    for band, row in enumerate(lowest):
-        if row.any():
-            h = np.uint64(band + 1)
-            for x in row:
-                h = mix(np.array([h * np.uint64(0x9E3779B97F4A7C15) + x]))[0]
-            out.append(int(h.astype(np.int64)))
-    return out
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in lowest.T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys[lowest.any(axis=1)].view(np.int64)
 
 
-def _light_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows (token, held) for the tokens frequent in a portion of them."""
-    names = ["doc_id", "n", "digest", "keys", "token", "held"]
-    kept: dict[bytes, np.ndarray] = {}
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with the tokens where the task meets the set first, and rows (token,
+    held) for the tokens frequent in a portion of the sets."""
+    seen: set[bytes] = set()
+    kept: list[np.ndarray] = []
+    size, types = 0, [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def frequent(id_type: pa.DataType) -> pa.RecordBatch:
-        tokens, held = np.unique(np.concatenate(list(kept.values())), return_counts=True)
+        tokens, held = np.unique(np.concatenate(kept), return_counts=True)
         tokens, held = tokens[held >= LOCAL].view(np.int64), held[held >= LOCAL].astype(np.int32)
-        empty = [pa.nulls(len(tokens), t) for t in (id_type, pa.int32(), pa.binary(), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*empty, pa.array(tokens), pa.array(held)], names)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(tokens), t) for t in (id_type, *types)), pa.array(tokens), pa.array(held)], _NAMES)
+
+    def documents(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32())], _NAMES)
 
-    id_type, size = None, 0
+    id_type = None
     for batch in batches:
-        id_type, rows = batch.column(0).type, len(batch)
-        n, digests, keys = [], [], []
-        with np.errstate(over="ignore"):
-            for s in shingle_sets(batch.column(1)):
-                n.append(len(s))
-                digests.append(digest(s) if len(s) else None)
-                keys.append(_band_keys(s) if len(s) else [])
-                if len(s) and digests[-1] not in kept:
-                    kept[digests[-1]] = s
+        id_type, found, begun, held = batch.column(0).type, [], 0, 0
+        for s in shingle_sets(batch.column(1)):
+            if not len(s):
+                found.append((0, None, [], None))
+            else:
+                d = digest(s)
+                new = d not in seen
+                if new:
+                    if len(seen) < _SEEN:
+                        seen.add(d)
+                    kept.append(s)
                     size += len(s)
-                if size >= PORTION:
-                    yield frequent(id_type)
-                    kept.clear()
-                    size = 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())], names)
+                    held += len(s)
+                with np.errstate(over="ignore"):
+                    found.append((len(s), d, _band_keys(s), s.tobytes() if new else None))
+            if held > 1 << 20:
+                yield documents(batch.slice(begun, len(found)), found)
+                begun, found, held = begun + len(found), [], 0
+            if size >= PORTION:
+                yield frequent(id_type)
+                kept, size = [], 0
+        if found:
+            yield documents(batch.slice(begun, len(found)), found)
     if kept:
         yield frequent(id_type)
 
 
-def _keyed_sets(several):
-    """Rows (key, digest, tokens) of the sets with a key in several (sorted; None: with any key)."""
+class _Members:
+    """Sets whose overlaps with another set are all counted at once, by posts in token order."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if several is None else several.value
-        seen: set[bytes] = set()
-        for batch in batches:
-            out, held = [], 0
-            with np.errstate(over="ignore"):
-                for s in shingle_sets(batch.column(0)):
-                    if not len(s) or (d := digest(s)) in seen:
-                        continue
-                    for key in _band_keys(s):
-                        at = 0 if wanted is None else int(np.searchsorted(wanted, key))
-                        if wanted is None or at < len(wanted) and wanted[at] == key:
-                            if len(seen) < 1 << 18:  # repeats beyond it are passed over by the leaders
-                                seen.add(d)
-                            out.append((key, d, s.tobytes()))
-                            held += 8 * len(s)
-                    if held > 1 << 23:
-                        yield _batch(out)
-                        out, held = [], 0
-            yield _batch(out)
-
-    def _batch(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["key", "digest", "tokens"])
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
 
-    return rows
+    def linked(self, s: np.ndarray) -> np.ndarray:
+        """The places of the sets that link with s."""
+        low, high = (np.searchsorted(self.tokens, s, side) for side in ("left", "right"))
+        posts = high - low
+        # A link takes so many tokens of s, all of them in the union.
+        if 100 * np.count_nonzero(posts) < PERCENT * len(s):
+            return np.zeros(0, np.int64)
+        at = np.repeat(low - np.cumsum(posts) + posts, posts) + np.arange(posts.sum())
+        same = np.bincount(self.owner[at], minlength=len(self.n))
+        return np.flatnonzero(100 * same >= PERCENT * (self.n + len(s) - same))
 
 
-def _links(x: np.ndarray, y: np.ndarray) -> bool:
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-        return False
-    both = np.concatenate([x, y])
-    both.sort()
-    same = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * same >= PERCENT * (len(x) + len(y) - same)
+def _edges(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _leader_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of nodes with leaders of their block; rows (key, block, digest, tokens) come sorted."""
-    block, leaders, last = None, [], None
+    """Links (a, b) of nodes with leaders of their group, one for each that connects something new.
+
+    Rows (grp, block, follows, digest, tokens) come sorted, the leaders of a block before its others.
+    """
+    at, leaders, sets, root, a, b = None, [], [], None, [], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def settle() -> _Members:
+        nonlocal root
+        members, root = _Members(sets), list(range(len(sets)))
+        for i, s in enumerate(sets):
+            for j in members.linked(s).tolist():
+                if find(i) != find(j):
+                    root[find(i)] = find(j)
+                    a.append(leaders[i])
+                    b.append(leaders[j])
+        return members
+
+    members, last = None, None
     for batch in batches:
-        a, b = [], []
-        for key, salt, d, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if (key, salt) != block:
-                block, leaders, last = (key, salt), [], None
-            if d == last:
+        for grp, block, follows, d, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            if (grp, block) != at:
+                if len(sets) > 1 and members is None:
+                    settle()
+                at, leaders, sets, members, last = (grp, block), [], [], None, None
+            if d == last:  # a set that several tasks have met
                 continue
-            last, s = d, np.frombuffer(tokens.as_buffer(), np.uint64)
-            found = [x for x, t in leaders if _links(s, t)]
-            a += [d] * len(found)
-            b += found
-            if not found and len(leaders) < LEADERS:
-                leaders.append((d, s.copy()))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            last = d
+            s = np.frombuffer(tokens.as_buffer(), np.uint64)
+            if not follows:
+                leaders.append(d)
+                sets.append(s.copy())
+            elif sets:
+                members = settle() if members is None else members
+                for i in {find(i): i for i in members.linked(s).tolist()}.values():
+                    a.append(d)
+                    b.append(leaders[i])
+        yield _edges(a, b)
+        a, b = [], []
+    if len(sets) > 1 and members is None:
+        settle()
+    yield _edges(a, b)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the nodes that ask with a member of each other cell of the block they open.
+
+    Rows (grp, block, part, asks, digest, cell, tokens) come sorted, a block's members before those that ask.
+    """
+    at, held, members = None, [], None
+    for batch in batches:
+        a, b = [], []
+        for grp, block, part, asks, d, cell, tokens in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6), strict=True):
+            if (grp, block, part) != at:
+                at, held, members = (grp, block, part), [], None
+            s = np.frombuffer(tokens.as_buffer(), np.uint64)
+            if not asks:
+                held.append((d, cell, s.copy()))
+            elif held:
+                members = _Members([s for _, _, s in held]) if members is None else members
+                known = {cell}
+                for i in members.linked(s).tolist():
+                    if held[i][1] not in known:
+                        known.add(held[i][1])
+                        a.append(d)
+                        b.append(held[i][0])
+        yield _edges(a, b)
 
 
-def _short(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little", signed=True)
+def _digests(digests: list[bytes], times: list[int]) -> pa.Array:
+    data = np.repeat(np.frombuffer(b"".join(digests), np.dtype("V16")), times)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _token_rows(hot=None, whole: bool = False):
-    """Rows (token, node, n) for the first tokens, or all, of each set of n; node is the digest's first 8 bytes.
+def _prefix_rows(hot):
+    """Rows (token, digest, n, indexed) for the tokens by which each set (digest, tokens) asks, and is indexed.
 
     hot holds the sorted hot tokens and their places at the end of the order.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late_tokens, places = hot.value if hot is not None else (np.zeros(0, np.uint64), None)
-        seen: set[bytes] = set()
+        late_tokens, places = hot.value
         for batch in batches:
-            tokens, nodes, sizes, held = [], [], [], 0
+            tokens, digests, sizes, lengths, indexed, held = [], [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["token", "node", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), _digests(digests, lengths), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(indexed))], ["token", "digest", "n", "indexed"])
 
-            for s in shingle_sets(batch.column(0)):
-                if not len(s) or (d := digest(s)) in seen:
-                    continue
-                if len(seen) < 1 << 18:  # repeats beyond it are dropped later
-                    seen.add(d)
+            for d, buffer in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.frombuffer(buffer.as_buffer(), np.uint64)
                 n = len(s)
-                length = n if whole else min(n, n - -(-PERCENT * n // 100) + 1 + n // SLACK)
+                asks = min(n, n - -(-PERCENT * n // 100) + 1 + n // SLACK)
+                by = min(asks, n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1 + n // SLACK)
                 if len(late_tokens):
                     at = np.minimum(np.searchsorted(late_tokens, s), len(late_tokens) - 1)
                     late = late_tokens[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(places[at[late]])]])
-                tokens.append(s[:length])
-                nodes.append(np.full(length, _short(d), np.int64))
-                sizes.append(np.full(length, n, np.int32))
-                held += length
+                tokens.append(s[:asks])
+                digests.append(d)
+                sizes.append(n)
+                lengths.append(asks)
+                indexed.append(np.arange(asks) < by)
+                held += asks
                 if held > 1 << 17:
                     yield out()
-                    tokens, nodes, sizes, held = [], [], [], 0
+                    tokens, digests, sizes, lengths, indexed, held = [], [], [], [], [], 0
             if held:
                 yield out()
 
     return rows
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, sets, held = [], [], 0
-        for s in shingle_sets(batch.column(0)):
-            if len(s):
-                digests.append(digest(s))
-                sets.append(s.tobytes())
-                held += len(sets[-1])
-                if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "tokens"])
-                    digests, sets, held = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "tokens"])
+def _needed(m: Column, lo: Column, hi: Column) -> Column:
+    """Least overlap of what a set of m tokens asks by with what a linked set of lo to hi tokens, m at
+    most, is indexed by.
 
+    For a size n it is what a link needs less the larger rest of the two; between two sizes it is, but
+    for roundings of 3 in all, least at one end.
+    """
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of queries with a member of the group they open.
+    def rest(k: Column, percent: int, of: int) -> Column:
+        return F.greatest(F.lit(0), F.ceil(k * percent / of) - 1 - F.floor(k / SLACK))
 
-    Rows (grp, block, asks, digest, tokens) come sorted, a block's members before its queries.  The
-    overlap with the union of the members bounds that with any of them; one link is enough, since a
-    group is connected already.
-    """
-    block, members, union = None, [], None
-    for batch in batches:
-        a, b = [], []
-        for grp, part, asks, d, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
-            if (grp, part) != block:
-                block, members, union = (grp, part), [], None
-            s = np.frombuffer(tokens.as_buffer(), np.uint64)
-            if not asks:
-                members.append((d, s.copy()))
-            elif members:
-                union = np.unique(np.concatenate([t for _, t in members])) if union is None else union
-                within = int(np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s))
-                if 100 * within >= PERCENT * len(s) and (found := next((x for x, t in members if _links(s, t)), None)) is not None:
-                    a.append(d)
-                    b.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    def at(n: Column) -> Column:
+        return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n, 2 * PERCENT, 100 + PERCENT), rest(m, PERCENT, 100))
 
+    lo, hi = F.greatest(lo, F.ceil(m * PERCENT / 100)), F.least(hi, m)
+    return F.greatest(F.lit(1), F.least(at(lo), at(hi)) - F.when(lo < hi, 3).otherwise(0))
 
-def _verified(asked: DataFrame, node: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links of the queries (node, other) with the groups they open; sets are made again from the texts."""
-    asked = written(asked, "jaccard-asked")
-    sizes = node.join(asked.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
-    sizes = sizes.select("grp", "node", "digest")
-    many = sizes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = sizes.join(many, "grp").select("grp", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "digest")
-    blocks = many.select(F.col("grp").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    queries = asked.join(blocks, "other").join(node.select("node", "digest"), "node").select(F.col("other").alias("grp"), "block", F.lit(1).alias("asks"), "digest")
-    rows = written(members.union(queries), "jaccard-rows")
-    ids = written(nodes.join(rows.select("digest").distinct(), "digest", "left_semi").select(F.col("doc_id").alias("need_id")).distinct(), "jaccard-ids")
-    sets = _among(texts, ids).select("text").mapInArrow(_set_rows, "digest binary, tokens binary").dropDuplicates(["digest"])
-    full = rows.join(sets, "digest").select("grp", "block", "asks", "digest", "tokens")
-    dealt = full.repartition("grp", "block").sortWithinPartitions("grp", "block", "asks", "digest")
-    return dealt.mapInArrow(_opened, "a binary, b binary")
-
-
-def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose doc_id is among the distinct need_id of the written table ids.
-
-    A list that is small enough is broadcast; a longer one makes a shuffled join.
-    """
-    return texts.join(sized(ids, ids.count(), 64), F.col("doc_id").eqNullSafe(F.col("need_id")), "left_semi")
 
+def _order(spark, held: DataFrame):
+    """A broadcast order for the tokens (token, held) that many texts have, most frequent last."""
+    top = held.orderBy(F.desc("held"), "token").limit(MOST_HOT).toArrow()
+    token, places = top["token"].to_numpy().view(np.uint64), -np.arange(len(top))
+    by_token = np.argsort(token)
+    return spark.sparkContext.broadcast((token[by_token], places[by_token]))
 
-def _shared(texts: DataFrame, groups: DataFrame, count: int, order) -> DataFrame:
-    """(token, node, n, grp, lo, hi): the prefix tokens that more than one group has, with the node's
-    size and the least and greatest of its group; groups holds those of several nodes."""
-    of_token = Window.partitionBy("token")
-    prefix = texts.select("text").mapInArrow(_token_rows(order), "token bigint, node bigint, n int").repartition(F.col("token")).dropDuplicates(["token", "node"])
-    several = prefix.withColumn("lo", F.min("node").over(of_token)).withColumn("hi", F.max("node").over(of_token)).where("lo <> hi").select("token", "node", "n")
-    placed = written(several, "jaccard-several").join(sized(groups, count, 64), "node", "left")
-    placed = placed.select("token", "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
-    across = placed.withColumn("first", F.min("grp").over(of_token)).withColumn("last", F.max("grp").over(of_token)).where("first <> last")
-    return written(across.select("token", "node", "n", "grp", "lo", "hi"), "jaccard-across")
 
+def _parts(rows: Column, tokens: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / BLOCK), F.ceil(tokens * 8 / BLOCK_BYTES)).cast("int")
 
-def _needed(n: Column, lo: Column, hi: Column) -> Column:
-    """Least overlap of the prefix of a set of n with that of any linked set of lo to hi tokens.
 
-    For a size m it is what a link needs less the larger rest outside a prefix; between two sizes it
-    is, but for roundings of 3 in all, least at one end.
-    """
+def _dealt(parts: str) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.col(parts)).cast("int")
 
-    def rest(k: Column) -> Column:
-        return F.greatest(F.lit(0), F.ceil(k * PERCENT / 100) - 1 - F.floor(k / SLACK))
 
-    def at(m: Column) -> Column:
-        return F.ceil((n + m) * PERCENT / (100 + PERCENT)) - F.greatest(rest(n), rest(m))
+def _each(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    lo, hi = F.greatest(lo, F.ceil(n * PERCENT / 100)), F.least(hi, F.floor(n * 100 / PERCENT))
-    return F.greatest(F.lit(1), F.least(at(lo), at(hi)) - F.when(lo < hi, 3).otherwise(0))
 
+def _groups(nodes: DataFrame) -> DataFrame:
+    """digest, n and grp of the nodes (digest, n, keys) that share their most frequent key with another."""
+    keyed = nodes.select("digest", "n", F.explode("keys").alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    best = keyed.join(often, "key").groupBy("digest", "n").agg(F.max(F.struct("held", "key"))["key"].alias("key"))
+    best = written(best.select("digest", "n", F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("grp")), "jaccard-best")
+    several = best.groupBy("grp").agg(F.count("*").alias("held"), F.sum("n").alias("sum"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("held > 1")
+    return written(best.join(several, "grp"), "jaccard-groups")
 
-def _order(spark, held: DataFrame):
-    """A broadcast order for the tokens (token, held) that many texts have, most frequent last."""
-    top = held.orderBy(F.desc("held"), "token").limit(MOST_HOT).toArrow()
-    token, places = top["token"].to_numpy().view(np.uint64), -np.arange(len(top))
-    by_token = np.argsort(token)
-    return spark.sparkContext.broadcast((token[by_token], places[by_token]))
+
+def _cells(groups: DataFrame, count: int, sets: DataFrame) -> DataFrame:
+    """node and root: what the leaders of the groups connect."""
+    share = F.least(F.lit(1.0), LEADERS / F.col("held"), LEADER_BYTES / (8 * F.col("sum")))
+    leads = F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)
+    rows = groups.withColumn("parts", _parts(F.col("held"), F.col("sum"))).withColumn("follows", ~leads)
+    places = F.when(F.col("follows"), F.array(_dealt("parts"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("digest", "grp", F.explode(places).alias("block"), "follows")
+    full = sets.join(sized(rows, 2 * count, 64), "digest").select("grp", "block", "follows", "digest", "tokens")
+    full = full.repartition("grp", "block").sortWithinPartitions("grp", "block", "follows", "digest")
+    return connected_components(full.mapInArrow(_leader_links, "a binary, b binary"), "jaccard-cells")
 
 
-def _group_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links among nodes that share a band key."""
-    spark = texts.sparkSession
-    keyed = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    several = written(keyed.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "jaccard-keys")
-    count = several.count()
-    sent = None
-    if count <= KEYS_SENT:
-        sent = spark.sparkContext.broadcast(np.sort(several.select("key").toArrow()["key"].to_numpy()))
-    sets = texts.select("text").mapInArrow(_keyed_sets(sent), "key bigint, digest binary, tokens binary")
-    dealt = sets.join(sized(several, count, 48), "key").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "block", "digest", "tokens").repartition("key", "block").sortWithinPartitions("key", "block", "digest")
-    return dealt.mapInArrow(_leader_links, "a binary, b binary")
-
-
-def jaccard_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(light, roots): each row of docs (doc_id, text) with its set's size and digest, and the root
-    digest of every digest that links with another.
+def _matrix(sets: DataFrame, moved: DataFrame, count: int, order) -> tuple[DataFrame, DataFrame]:
+    """The tokens that more than one node has: (token, digest, n, grp, cell) by which nodes ask, and
+    the matrix (token, other, first, last, least, most) of groups, the cells that hold the token
+    there, and the sizes in the group."""
+    of_token = Window.partitionBy("token")
+    prefix = sets.select("digest", "tokens").mapInArrow(_prefix_rows(order), "token bigint, digest binary, n int, indexed boolean").repartition(F.col("token"))
+    several = prefix.withColumn("lo", F.min("digest").over(of_token)).withColumn("hi", F.max("digest").over(of_token)).where("lo <> hi")
+    several = written(several.select("token", "digest", "n", "indexed").dropDuplicates(["token", "digest"]), "jaccard-several")
+    placed = several.join(sized(moved, count, 96), "digest", "left")
+    placed = placed.select("token", "digest", "n", "indexed", F.coalesce("grp", "digest").alias("grp"), F.coalesce("cell", "digest").alias("cell"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
+    placed = written(placed, "jaccard-placed")
+    matrix = placed.where("indexed").groupBy("token", F.col("grp").alias("other")).agg(F.min("cell").alias("first"), F.max("cell").alias("last"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    return placed.select("token", "digest", "n", "grp", "cell"), written(matrix, "jaccard-matrix")
+
+
+def _verified(asked: DataFrame, node: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the nodes that ask (digest, n, cell, other) with members of the groups they open."""
+    asked = written(asked, "jaccard-asked")
+    askers = asked.groupBy(F.col("other").alias("grp")).agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+    members = node.join(askers.select("grp"), "grp", "left_semi")
+    sizes = written(askers.join(members.groupBy("grp").agg(_parts(F.count("*"), F.sum("n")).alias("blocks")), "grp"), "jaccard-opened")
+    inner = members.join(sizes, "grp").select("grp", _dealt("blocks").alias("block"), _each("parts").alias("part"), F.lit(False).alias("asks"), "digest", "cell")
+    outer = asked.withColumnRenamed("other", "grp").join(sizes, "grp").select("grp", _each("blocks").alias("block"), _dealt("parts").alias("part"), F.lit(True).alias("asks"), "digest", "cell")
+    rows = written(inner.union(outer), "jaccard-rows")
+    need = written(rows.select("digest").distinct(), "jaccard-need")
+    wanted = sets.select("digest", "tokens").join(sized(need, need.count(), 48), "digest", "left_semi").dropDuplicates(["digest"])
+    full = rows.join(wanted, "digest").select("grp", "block", "part", "asks", "digest", "cell", "tokens")
+    full = full.repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "asks", "digest")
+    return full.mapInArrow(_opened, "a binary, b binary")
+
+
+def jaccard_nodes(docs: DataFrame, row_key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(light, roots): each row of docs (doc_id, text) with row_key, its set's size n and digest, and the
+    root digest of every digest that links with another.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    key = F.lit(None).cast("binary") if row_key is None else row_key
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(texts.mapInArrow(_light_rows, _LIGHT.format(id=id_kind)), "jaccard-light")
-    light = rows.where("n is not null").select("doc_id", "n", "digest", "keys")
-    nodes = written(light.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-nodes")
-    groups = connected_components(_group_links(texts, nodes), "jaccard-groups")
-    node = written(nodes.join(groups, nodes["digest"] == groups["node"], "left").select("digest", "n", F.coalesce("root", "digest").alias("root")).mapInArrow(_with_short, "node bigint, digest binary, n int, grp bigint"), "jaccard-node")
-    # Nodes and groups go by the first 8 bytes of their digests; a node alone is its own group.
-    ranges = node.groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("held")).where("held > 1")
-    moved = written(node.join(ranges, "grp").select("node", "grp", "lo", "hi"), "jaccard-moved")
-    count = moved.count()
+    rows = written(docs.select("doc_id", "text", key.alias("row_key")).mapInArrow(_set_rows, _ROWS.format(id=id_kind)), "jaccard-sets", 1 << 24)
+    light = rows.where("n is not null").select("doc_id", "row_key", "n", "digest")
+    sets = rows.where("tokens is not null").select("digest", "tokens")
+    nodes = rows.where("tokens is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(nodes, "jaccard-nodes")
+    groups = _groups(nodes)
+    count = groups.count()
+    cells = _cells(groups, count, sets)
+    moved = groups.join(cells, groups["digest"] == cells["node"], "left")
+    moved = written(moved.select("digest", "grp", F.coalesce("root", "digest").alias("cell"), "lo", "hi"), "jaccard-moved")
 
     frequent = written(rows.where("token is not null").groupBy("token").agg(F.sum("held").alias("held")).where(f"held >= {FREQUENT}"), "jaccard-frequent")
-    shared = _shared(texts, moved, count, _order(spark, frequent))
-    in_groups = written(shared.groupBy("token", "grp").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows")), "jaccard-tokens")
-    opened, held = in_groups.agg(F.sum(F.col("rows") * F.col("held")), F.sum("rows")).first()
+    asking, matrix = _matrix(sets, moved, count, _order(spark, frequent))
+    in_groups = matrix.groupBy("token").agg(F.count("*").alias("held"))
+    met = written(asking.groupBy("token").agg(F.count("*").alias("rows")).join(in_groups, "token"), "jaccard-tokens")
+    opened, held = met.agg(F.sum(F.col("rows") * F.col("held")), F.sum("rows")).first()
     if (opened or 0) > OPENED_A_ROW * (held or 0):
-        hot = in_groups.where(F.col("held") > HOT).select("token", "held")
-        every = frequent.union(hot).groupBy("token").agg(F.max("held").alias("held"))
-        shared = _shared(texts, moved, count, _order(spark, every))
-    matrix = shared.select("token", F.col("grp").alias("other"), F.col("lo").alias("least"), F.col("hi").alias("most")).distinct()
-    # A link is found from either side: the lower group asks.
-    fits_size = (F.col("most") * 100 >= F.col("n") * PERCENT) & (F.col("n") * 100 >= F.col("least") * PERCENT)
-    pairs = shared.join(matrix, "token").where((F.col("grp") < F.col("other")) & fits_size)
-    overlap = pairs.groupBy("node", "other", "n", "least", "most").agg(F.count("*").alias("overlap"))
-    asked = overlap.where(F.col("overlap") >= _needed(F.col("n"), F.col("least"), F.col("most"))).select("node", "other")
-    links = _verified(asked, node, texts, nodes)
-    more = links.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        every = frequent.union(met.where(F.col("held") > HOT).select("token", "held")).groupBy("token").agg(F.max("held").alias("held"))
+        asking, matrix = _matrix(sets, moved, count, _order(spark, every))
+    # The larger set asks the smaller one; of equal sizes both ask.
+    fits = (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * PERCENT)
+    others = (F.col("first") != F.col("last")) | (F.col("first") != F.col("cell"))
+    pairs = asking.join(matrix, "token").where(fits & others)
+    overlap = pairs.groupBy("digest", "n", "cell", "other", "least", "most").agg(F.count("*").alias("overlap"))
+    asked = overlap.where(F.col("overlap") >= _needed(F.col("n"), F.col("least"), F.col("most"))).select("digest", "n", "cell", "other")
+    node = nodes.join(moved.select("digest", "grp", "cell"), "digest", "left").select("digest", "n", F.coalesce("grp", "digest").alias("grp"), F.coalesce("cell", "digest").alias("cell"))
+    links = _verified(asked, written(node, "jaccard-node"), sets)
+    more = links.union(cells.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return light, connected_components(more, "jaccard-components")
 
 
-def _with_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, grp = (pa.array([_short(d) for d in batch.column(i).to_pylist()], pa.int64()) for i in (0, 2))
-        yield pa.RecordBatch.from_arrays([node, batch.column(0), batch.column(1), grp], ["node", "digest", "n", "grp"])
+def _placed(docs: DataFrame, row_key: Column | None = None) -> DataFrame:
+    """doc_id, row_key, n and root: the digest that stands for a row's component, null without words."""
+    light, roots = jaccard_nodes(docs, row_key)
+    placed = light.join(roots, light["digest"] == roots["node"], "left")
+    return written(placed.select("doc_id", "row_key", "n", F.coalesce("root", "digest").alias("root")), "jaccard-found")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -367,23 +400,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; further columns are ignored.  Null and wordless texts have no
     shingle and their own doc_id as component.  Rows with equal sets share a component, repeated
     rows are returned as often as they come.  A null doc_id takes part by its text; it is the
-    component_id only where no document of its component has one.  An empty table gives no rows.
+    component_id only where no document of its component has one.  Very long texts are cut into
+    shingles a megabyte at a time or, if longer, at once.  An empty table gives no rows.
     """
-    light, roots = jaccard_nodes(docs)
-    placed = light.join(roots, light["digest"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "digest").alias("root"))
-    placed = written(placed, "jaccard-placed")
+    placed = _placed(docs)
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of their component.
+    """One row of docs, with all its columns, of each component: that of the smallest doc_id, of several
+    texts with it that of the smallest MD5 digest; a null doc_id only where there is no other.
 
     Texts without words are linked with nothing and all stay.  Of rows repeated with one doc_id and
-    text, one stays.
+    text, one stays.  Columns may have any names.  An empty table gives no rows.
     """
-    found = written(jaccard_components(docs), "jaccard-found")
-    ids = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("need_id")).distinct(), "jaccard-kept")
-    kept = _among(docs, ids)
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("held")).where("held > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    text_key = F.unhex(F.md5(F.col("text").cast("binary")))
+    placed = _placed(docs.select("doc_id", "text"), text_key)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    best = placed.where("root is not null").groupBy("root").agg(first.alias("best")).select("best.doc_id", "best.row_key")
+    keep_id, keep_key, own = (free_name(docs.columns, x) for x in ("_keep_id", "_keep_key", "_own_key"))
+    kept = best.union(placed.where("root is null").select("doc_id", "row_key").distinct()).toDF(keep_id, keep_key)
+    kept = written(kept, "jaccard-kept")
+    same = F.col("doc_id").eqNullSafe(F.col(keep_id)) & F.col(own).eqNullSafe(F.col(keep_key))
+    rows = docs.withColumn(own, text_key).join(sized(kept, kept.count(), 96), same, "left_semi")
+    repeated = placed.groupBy("doc_id", "row_key").agg(F.count("*").alias("held")).where("held > 1")
+    return (rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", own])).drop(own)

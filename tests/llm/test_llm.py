@@ -84,17 +84,39 @@ def test_jaccard_components(spark, docs, odd):
 
 
 def test_jaccard_with_hot_tokens_and_small_blocks(spark, docs, monkeypatch):
-    for name, value in (("BLOCK", 5), ("LEADERS", 2), ("HOT", 2), ("OPENED_A_ROW", 0), ("BANDS", 1), ("ROWS", 1)):
+    for name, value in (("BLOCK", 5), ("LEADERS", 2), ("HOT", 2), ("OPENED_A_ROW", 0)):
         monkeypatch.setattr(jaccard, name, value)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
     assert got == components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_jaccard_of_similar_texts_that_do_not_link(spark, monkeypatch):
+    """900 texts that share most shingles: some link, most don't, and one passage is in all."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioustrn") for _ in range(7))
+    passage = [word() for _ in range(100)]
+    texts = [" ".join(passage + [word() for _ in range(rng.randint(8, 24))]) for _ in range(850)]
+    for _ in range(50):
+        v = passage + [word() for _ in range(9)]
+        v[rng.randrange(len(v))] = word()
+        texts.append(" ".join(v))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    asked = []
+    monkeypatch.setattr(jaccard, "_verified", lambda a, n, s, f=jaccard._verified: (asked.append(a.count()), f(a, n, s))[1])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect())
+    assert got == components(list(enumerate(texts)))
+    assert asked[0] < 20 * len(texts)
+
+
 def test_one_of_each(docs, odd):
     kept = jaccard.one_of_each(docs)
     want = {d for (d, _, c) in components([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == docs.columns
     assert [r.doc_id for r in jaccard.one_of_each(odd).where("text = 'a b c d e f'").collect()] == [5]
+    # Rows are decided by doc_id and text: the first text of 9 goes, its other one stays.
+    first, other = "a b c d e f", "u v w x y z"
+    rows = docs.sparkSession.createDataFrame([(1, first, 0), (9, first, 0), (9, other, 0)], "doc_id long, text string, need_id int")
+    assert sorted((r.doc_id, r.text) for r in jaccard.one_of_each(rows).collect()) == [(1, first), (9, other)]
 
 
 def test_components(spark):
