@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from .sequences import running
 
 
 def counts(pred: Column, gold: Column) -> list[Column]:
@@ -24,17 +25,27 @@ def classification(rows: DataFrame, pred: str, gold: str, keys: list[str] | None
 
 
 def regression(rows: DataFrame, pred: str, gold: str, keys: list[str] | None = None) -> DataFrame:
-    """mae, mse, rmse and r2."""
+    """mae, mse, rmse and r2; r2 is NaN where the gold values don't differ or there are fewer than two."""
     e = F.col(pred) - F.col(gold)
     g = F.col(gold).cast("double")
     c = rows.groupBy(*(keys or [])).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop(g).alias("v"))
-    return c.select(*(keys or []), "mae", "mse", F.sqrt("mse").alias("rmse"), (1 - F.col("mse") / F.col("v")).alias("r2"))
+    return c.select(*(keys or []), "mae", "mse", F.sqrt("mse").alias("rmse"), F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).otherwise(float("nan")).alias("r2"))
 
 
 def average_ranks(rows: DataFrame, value: str, name: str, keys: list[str]) -> DataFrame:
-    """rows with the rank of value within keys; tied values share the mean of their ranks."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    return rows.withColumn(name, F.rank().over(order) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """rows with the rank of value within keys; tied values share the mean of their ranks.
+
+    Ranks come from running counts of the distinct values of all keys together, so a key of any size
+    is dealt out by range.
+    """
+    by = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = running(by, [*keys, value], {"_upto": "_n"})
+    first = upto.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_first"))
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in keys]
+    ranks = upto.alias("_l").join(first.alias("_r"), same) if keys else upto.crossJoin(F.broadcast(first)).alias("_l")
+    ranks = ranks.select(*[F.col(f"_l.{c}").alias(f"_k{i}") for i, c in enumerate([*keys, value])], (F.col("_upto") - F.col("_first") - (F.col("_n") - 1) / 2).alias(name))
+    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, value])]
+    return rows.join(ranks, match).drop(*[f"_k{i}" for i in range(len(keys) + 1)])
 
 
 def correlations(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -47,18 +58,16 @@ def correlations(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 def auroc(rows: DataFrame, score: str, gold: str) -> DataFrame:
     """Area under the ROC curve by rank sums over the distinct scores; ties count half."""
     by = rows.groupBy(score).agg(F.sum(F.col(gold).cast("bigint")).alias("pos"), F.sum((1 - F.col(gold)).cast("bigint")).alias("neg"))
-    # One row for each distinct score.
-    below = F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
-    c = by.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("s"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    c = running(by, [score], {"upto": "neg"})
+    c = c.agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("s"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return c.select((F.col("s") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, score: str, gold: str) -> DataFrame:
     """Sum over distinct scores, descending, of precision times the gain in recall."""
     by = rows.groupBy(score).agg(F.sum(F.col(gold).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    upto = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = by.select("pos", (F.sum("pos").over(upto) / F.sum("n").over(upto)).alias("precision"))
-    return c.agg((F.sum(F.col("pos") * F.col("precision")) / F.sum("pos")).alias("average_precision"))
+    c = running(by.withColumn("_down", -F.col(score)), ["_down"], {"found": "pos", "seen": "n"})
+    return c.agg((F.sum(F.col("pos") * F.col("found") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
 
 
 def best_threshold(rows: DataFrame, na_prob: str, has_answer: str, score: str) -> DataFrame:
@@ -69,9 +78,37 @@ def best_threshold(rows: DataFrame, na_prob: str, has_answer: str, score: str) -
     """
     delta = F.when(F.col(has_answer) == 1, F.col(score)).otherwise(-1.0)
     by = rows.groupBy(na_prob).agg(F.sum(delta).alias("d"))
-    upto = Window.orderBy(na_prob).rowsBetween(Window.unboundedPreceding, 0)
     start = rows.agg(F.sum((F.col(has_answer) == 0).cast("bigint")).alias("start"), F.count("*").alias("total"))
-    swept = by.select(F.col(na_prob).cast("double").alias("threshold"), F.sum("d").over(upto).alias("gain"))
+    swept = running(by, [na_prob], {"gain": "d"}).select(F.col(na_prob).cast("double").alias("threshold"), F.col("gain").cast("double").alias("gain"))
     swept = swept.union(rows.sparkSession.range(1).select(F.lit(0.0), F.lit(0.0)))
     best = swept.agg(F.max_by("threshold", F.struct("gain", -F.col("threshold"))).alias("best_thresh"), F.max("gain").alias("gain"))
+    # Of two single rows.
     return best.crossJoin(start).select("best_thresh", (100 * (F.col("start") + F.col("gain")) / F.col("total")).alias("best_score"))
+
+
+#: Task -> the measures it is scored by.
+TASKS = {
+    "cola": ["mcc"], "sst-2": ["acc"], "mrpc": ["acc", "f1", "acc_and_f1"], "sts-b": ["pearson", "spearmanr", "corr"], "qqp": ["acc", "f1", "acc_and_f1"],
+    "mnli": ["mnli/acc"], "mnli-mm": ["mnli-mm/acc"], "qnli": ["acc"], "rte": ["acc"], "wnli": ["acc"], "hans": ["acc"],
+}
+
+
+def task_metrics(task: str, rows: DataFrame, pred: str, gold: str, keys: list[str] | None = None) -> DataFrame:
+    """The measures of a task by name; any number of classes where accuracy alone is asked for."""
+    if task not in TASKS:
+        raise KeyError(task)
+    keys = keys or []
+    wanted = TASKS[task]
+    if task == "sts-b":
+        return correlations(rows, pred, gold, keys).select(*keys, *wanted)
+    if wanted == ["mcc"] or "f1" in wanted:
+        return classification(rows, pred, gold, keys).select(*keys, *wanted)
+    return rows.groupBy(*keys).agg(F.avg((F.col(pred) == F.col(gold)).cast("double")).alias(wanted[0]))
+
+
+def eval_slices(rows: DataFrame, has_answer: str, exact: str, f1: str) -> DataFrame:
+    """slice (all, HasAns, NoAns), total, and exact and f1 in per cent."""
+    name = F.when(F.grouping("_has") == 1, "all").when(F.col("_has") == 1, "HasAns").otherwise("NoAns")
+    rows = rows.select(F.col(has_answer).alias("_has"), F.col(exact).alias("_exact"), F.col(f1).alias("_f1"))
+    g = rows.groupingSets([[], [F.col("_has")]], F.col("_has"))
+    return g.agg(name.alias("slice"), F.count("*").alias("total"), (100 * F.avg("_exact")).alias("exact"), (100 * F.avg("_f1")).alias("f1")).select("slice", "total", "exact", "f1")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..storage import written
+
 
 def runs(rows: DataFrame, keys: list[str], order: str, value: str, starts: Column | None = None) -> DataFrame:
     """rows with run, numbered from 1 within keys: adjacent rows with the same value; starts begins one too."""
@@ -18,15 +20,31 @@ def runs(rows: DataFrame, keys: list[str], order: str, value: str, starts: Colum
 
 def numbered(rows: DataFrame, order: list[str], name: str = "nth") -> DataFrame:
     """rows numbered from 0 in a total order, without one task for all: rows are dealt out by range of
-    the order, counted, and numbered within their part."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(*order)
-    parts = parts.withColumn("_at", F.row_number().over(local) - 1)
+    the order and sorted within their part, and that one partitioning is written; so the counts are those
+    of the very parts in which the rows stand."""
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # The upper bits of such an id are the part's number, the lower 33 the row's place in it.
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     # One row a partition.
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return parts.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+    return placed.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + at).drop("_part", "_at", "_base")
+
+
+def running(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows with running sums over a total order, the row's own value included: sums maps a new name to the
+    column summed.  As in numbered, parts by range are written once; a part's sum starts from those before."""
+    placed = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a partition.
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums])
+    out = placed.join(F.broadcast(bases), "_part")
+    for n, c in sums.items():
+        out = out.withColumn(n, F.col(f"_base_{n}") + F.sum(c).over(inside))
+    return out.drop("_part", *[f"_base_{n}" for n in sums])
 
 
 def batched(rows: DataFrame, nth: str, size: int, value: str) -> DataFrame:

@@ -18,17 +18,15 @@ def label_codes(codes: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def evaluated(predictions: DataFrame, library: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def evaluated(predictions: DataFrame, library: DataFrame, k: int, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches and accuracies for predictions (entry, checkpoint, rotation, vector, target).
 
     Rotations are averaged within a checkpoint, then checkpoints; library has (id, vector).
     """
-    if library.limit(k).count() < k:
-        raise ValueError(f"the label set has fewer than {k} entries")
     per_checkpoint = retrieval.mean_vector(predictions, ["entry", "checkpoint"], "vector")
     mean = retrieval.mean_vector(per_checkpoint, ["entry"], "vector")
     targets = predictions.groupBy("entry").agg(F.first("target").alias("target"))
     queries = mean.select(F.col("entry").alias("id"), "vector")
-    matches = retrieval.top_k(queries, library, k)
+    matches = retrieval.top_k(queries, library, k, digits=digits)
     ranks = retrieval.target_ranks(queries.join(targets.withColumnRenamed("entry", "id"), "id"), library)
     return matches, retrieval.top_k_accuracy(ranks, list(range(1, k + 1)))

@@ -114,10 +114,23 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", F.col("s.start").alias("start"), "n")
 
 
-@query("smiles_legal_ids", None)
-def smiles_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return rows.select("p_partkey", SM.ids(F.col("p_name"), 40).alias("ids"))
+NUMBERS = """u AS (SELECT vec_id AS id, [x / greatest(sqrt(list_sum([y * y FOR y IN v])), 1e-300) FOR x IN v] AS u FROM (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings))"""
+
+
+@query(
+    "pca_given_components",
+    f"""WITH {NUMBERS}, g AS (SELECT unnest([1, 2, 3]) AS c), p AS (SELECT id, c, list_sum(list_transform(u, lambda x, i: x * cos(c * i))) AS y FROM u, g)
+SELECT id, c::INT AS component, round(y - avg(y) OVER (PARTITION BY c), 8) AS value FROM p""",
+)
+def pca_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalising, projection by a given matrix and centring on the label set; the fit is pca_projection's."""
+    import math
+
+    rows = vectors(spark, sf_dir)
+    width = len(rows.first()["vector"])
+    given = [[math.cos(c * i) for i in range(1, width + 1)] for c in (1, 2, 3)]
+    out = projection.centred(rows, given)(rows)
+    return out.select("id", F.posexplode("components").alias("component", "value")).select("id", (F.col("component") + 1).alias("component"), F.round("value", 8).alias("value"))
 
 
 @query("pca_projection", None)
@@ -127,13 +140,33 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(rows)
 
 
-@query("batch_evaluation", None)
-def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+EVALUATION = """e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), x AS (SELECT vec_id, -1 - vec_id // 15 AS entry, (vec_id % 15) // 5 AS ckpt, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+c AS (SELECT entry, ckpt, pos, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT entry, pos, avg(x) AS x FROM c GROUP BY ALL), q AS (SELECT entry, list(x ORDER BY pos) AS v FROM m GROUP BY 1),
+t AS (SELECT -1 - vec_id // 15 AS entry, arg_min(v, vec_id) AS target FROM e GROUP BY 1), d AS (SELECT entry, vec_id, list_cosine_similarity(q.v, e.v) AS near FROM q, e),
+w AS (SELECT entry, list_cosine_similarity(q.v, target) AS wanted FROM q JOIN t USING (entry)), s AS (SELECT entry, arg_min(near, (abs(near - wanted), -near)) AS snapped FROM d JOIN w USING (entry) GROUP BY 1),
+r AS (SELECT entry, sum((near > snapped + 1e-12)::INT) AS rank FROM d JOIN s USING (entry) GROUP BY 1), a AS (SELECT k::INT AS k, round(avg((rank < k)::INT), 9) AS accuracy FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS k) GROUP BY 1)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """15 ids in a row are the 3 checkpoints and 5 rotations of an entry, the first of them is its target."""
     rows = vectors(spark, sf_dir)
-    # 15 ids in a row are the 3 checkpoints and 5 rotations of an entry, the first of them is its
-    # target.  Entries have negative ids: they are no rows of the library, which gives all its rows.
     entry = (-1 - F.floor(F.col("id") / 15)).cast("bigint")
     preds = rows.select(entry.alias("entry"), F.floor(F.col("id") % 15 / 5).alias("checkpoint"), (F.col("id") % 5).alias("rotation"), "id", "vector")
     targets = preds.groupBy("entry").agg(F.min_by("vector", "id").alias("target"))
-    matches, accuracy = evaluated(preds.drop("id").join(targets, "entry"), rows, 5)
+    matches, accuracy = evaluated(preds.drop("id").join(targets, "entry"), rows, 5, digits=9)
+    return matches, accuracy.select("k", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(
+    "batch_evaluation",
+    f"""WITH {EVALUATION}, b AS (SELECT entry, vec_id, round(near, 9) AS similarity, row_number() OVER (PARTITION BY entry ORDER BY round(near, 9) DESC, vec_id)::INT AS rank FROM d QUALIFY rank <= 5)
+SELECT entry AS query_id, rank, vec_id AS match_id, similarity, accuracy FROM b JOIN a ON k = rank""",
+)
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches, accuracy = _evaluated(spark, sf_dir)
     return matches.join(F.broadcast(accuracy.withColumnRenamed("k", "rank")), "rank").select("query_id", "rank", "match_id", "similarity", "accuracy")
+
+
+@query("batch_evaluation_accuracy", f"WITH {EVALUATION} SELECT k, accuracy FROM a")
+def evaluation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir)[1]

@@ -25,6 +25,23 @@ def test_top_k_ties_and_empty(spark):
     assert retrieval.top_k(queries.limit(0), library, 2).count() == 0
 
 
+def test_top_k_finds_the_row_with_the_id_of_the_query(spark):
+    import pytest
+
+    library = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.1])], "id long, vector array<double>")
+    assert [r.match_id for r in retrieval.top_k(queries, library, 2).orderBy("rank").collect()] == [0, 1]
+    assert [r.match_id for r in retrieval.top_k(queries, library, 1, exclude_self=True).collect()] == [1]
+    with pytest.raises(ValueError):
+        retrieval.top_k(queries, library, 3)
+
+
+def test_a_target_outside_the_label_set_is_snapped(spark):
+    library = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0], [1.0, 1.9])], "id long, vector array<double>, target array<double>")
+    assert retrieval.target_ranks(queries, library).first()["rank"] == 2
+
+
 def test_label_set_keeps_the_earlier_source_and_the_last_row(spark):
     a = spark.createDataFrame([(1, "x"), (2, "x")], "entry int, fp string")
     b = spark.createDataFrame([(8, "x"), (9, "y")], "entry int, fp string")
@@ -92,6 +109,26 @@ def test_numbered_and_batched(spark):
     assert [len(r["values"]) for r in b] == [300, 300, 300, 100]
 
 
+def test_numbered_has_no_gap_in_a_large_written_table(spark, tmp_path):
+    rows = spark.range(3_000_000, numPartitions=6).select(F.xxhash64("id").alias("v"), F.concat(F.lit("text of row "), "id").alias("t"))
+    sequences.numbered(rows, ["v"]).write.parquet(str(tmp_path / "n"))
+    got = spark.read.parquet(str(tmp_path / "n"))
+    assert got.agg(F.countDistinct("nth"), F.min("nth"), F.max("nth")).first()[:] == (3_000_000, 0, 2_999_999)
+
+
+def test_running_sums(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit(2).alias("x"))
+    assert sequences.running(rows, ["v"], {"upto": "x"}).where("upto <> 2 * (v + 1)").count() == 0
+
+
+def test_task_metrics(spark):
+    rows = spark.createDataFrame([(1, 1), (0, 1), (2, 2), (1, 0)], "p int, g int")
+    assert metrics.task_metrics("mnli", rows, "p", "g").first()["mnli/acc"] == 0.5
+    assert set(metrics.task_metrics("mrpc", rows.where("p < 2"), "p", "g").columns) == {"acc", "f1", "acc_and_f1"}
+    flat = metrics.regression(spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "p double, g double"), "p", "g").first()
+    assert flat["mae"] == 1.0 and flat["r2"] != flat["r2"]
+
+
 def test_splits_do_not_overlap(spark):
     rows = spark.range(500).select("id", (F.col("id") % 50).alias("item"), splits.split_of(F.col("id")).alias("split"))
     out = splits.without_overlap(rows, "item")
