@@ -1,39 +1,16 @@
-"""Shared folder, written intermediate tables and size-checked joins."""
+"""Size-checked joins and small helpers of the subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its counted rows, at this many bytes each, stay under the bound.
-BROADCAST_BYTES = 64 << 20
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return _OWN_DIR[0]
+from ..storage import new_path, shared_dir, written
 
+__all__ = ["BROADCAST_BYTES", "crc32_of", "fits", "free_name", "new_path", "shared_dir", "sized", "table", "written"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, row_group: int = 128 << 20) -> DataFrame:
-    """df as a written table in the shared folder; cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", row_group).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side is broadcast only when its counted rows, at this many bytes each, stay under the bound.
+BROADCAST_BYTES = 64 << 20
 
 
 def fits(rows: int, row_bytes: int) -> bool:

@@ -7,9 +7,13 @@ is left to their ancestors' other children.  A leaf then takes its budget in see
 over its documents, and of one more pass the documents within the first tokens of its order, which
 is a hash of seed, epoch and doc_id.
 
-Only the leaves' totals are brought to the driver.  The prefix of a leaf's order is found over
-buckets of that order: buckets before the limit are taken whole, and rows are ranked only in the one
-bucket that holds it, so a source with any share of the rows is never in one task.
+The tree is a table for each level, so any number of leaves will do.  Among the children of a node,
+sorted by limit over weight, those before a certain place are full and the others get one number times
+their weight; the place is found by running sums over all children of a level, dealt out by range.
+
+The prefix of a leaf's order is found over buckets of that order: buckets before the limit are taken
+whole, and rows are ranked only in the one bucket that holds it, so a source with any share of the rows
+is never in one task.
 """
 
 from __future__ import annotations
@@ -18,15 +22,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import sized, written
+from ..operators.sequences import running
+from .common import free_name, sized, written
 
-#: More leaves than this are refused: their totals pass through the driver.
-MOST_LEAVES = 200_000
 ROWS_TOGETHER = 1000
 LEVELS = ["domain", "lang", "source"]
+#: Weights are rounded to whole parts of so many, so that their sums are exact in any order.
+PARTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,49 +45,48 @@ class Mix:
     seed: int = 17
 
 
-def shared_out(amount: float, weights: list[float], limits: list[float]) -> list[float]:
-    """amount by weights, none above its limit; what one can't take goes to the others by their weights."""
-    got, open_ = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0]
-    left = min(amount, sum(limits[i] for i in open_))
-    while open_ and left > 1e-9:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if got[i] + left * weights[i] / total >= limits[i]]
-        if not full:
-            for i in open_:
-                got[i] += left * weights[i] / total
-            break
-        # Those that fill up take what they can; the rest is dealt anew among the others from nothing.
-        for i in full:
-            got[i] = limits[i]
-        open_ = [i for i in open_ if i not in full]
-        left = min(amount, sum(limits[i] for i, w in enumerate(weights) if w > 0)) - sum(got[i] for i in range(len(got)) if i not in open_)
-    return got
-
-
-def leaf_budgets(totals: dict[tuple[str, ...], int], mix: Mix, budget: float) -> dict[tuple[str, ...], int]:
-    """Tokens for each leaf (a path of LEVELS), from its tokens."""
-    out: dict[tuple[str, ...], int] = {}
-
-    limits: dict[tuple[str, ...], float] = {}
-    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-    for leaf, tokens in sorted(totals.items()):
-        for depth in range(len(leaf) + 1):
-            limits[leaf[:depth]] = limits.get(leaf[:depth], 0) + tokens * mix.max_epochs
-            if depth and leaf[:depth] not in children.setdefault(leaf[: depth - 1], []):
-                children[leaf[: depth - 1]].append(leaf[:depth])
-    # A child without weight takes nothing, so its parent can't count on it.
-    for node in sorted(children, key=len, reverse=True):
-        level = mix.weights.get(LEVELS[len(node)], {})
-        limits[node] = sum(limits[c] for c in children[node] if level.get(c[-1], 1.0) > 0)
-    todo = [((), min(budget, limits.get((), 0)))]
-    while todo:
-        node, amount = todo.pop()
-        if len(node) == len(LEVELS):
-            out[node] = int(amount + 1e-6)
-            continue
-        below, level = children.get(node, []), mix.weights.get(LEVELS[len(node)], {})
-        todo += zip(below, shared_out(amount, [level.get(c[-1], 1.0) for c in below], [limits[c] for c in below]), strict=True)
-    return out
+def _weight(mix: Mix, level: str) -> Column:
+    """The weight of a node of a level, from its key."""
+    out = None
+    for value, weight in mix.weights.get(level, {}).items():
+        test, parts = F.col(level) == f"={value}", F.lit(round(weight * PARTS)).cast("bigint")
+        out = F.when(test, parts) if out is None else out.when(test, parts)
+    one = F.lit(PARTS).cast("bigint")
+    return one if out is None else out.otherwise(one)
+
+
+def shared_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
+    """amount of each child (parent, key, amount of the parent, weight, limit): by weights, none above its
+    limit; what one can't take goes to the others by their weights.  A child without weight gets nothing."""
+    rows = children.where("weight > 0").withColumn("ratio", F.col("limit") / F.col("weight"))
+    sums = running(rows, [*parent, "ratio", key], {"_limits": "limit", "_weights": "weight"})
+    sums = sums.withColumn("_limits", F.col("_limits") - F.col("limit")).withColumn("_weights", F.col("_weights") - F.col("weight"))
+    whole = sums.groupBy(*parent).agg(F.min("_limits").alias("_limits0"), F.min("_weights").alias("_weights0"), F.sum("limit").alias("_limit"), F.sum("weight").alias("_weight"))
+    sums = sums.join(whole, parent) if parent else sums.crossJoin(F.broadcast(whole))  # one row
+    # Before this child all are full; from it on each gets level times its weight, if it is the first for which that is no more than its limit.
+    full, open_ = F.col("_limits") - F.col("_limits0"), F.col("_weight") - (F.col("_weights") - F.col("_weights0"))
+    have = F.least(F.col("amount"), F.col("_limit"))
+    level = F.when(have <= full + F.col("ratio") * open_, (have - full) / open_)
+    sums = sums.withColumn("_level", level)
+    found = sums.groupBy(*parent).agg(F.max("_level").alias("_top"))
+    sums = sums.join(found, parent) if parent else sums.crossJoin(F.broadcast(found))  # one row
+    return sums.select(*parent, key, F.coalesce(F.least(F.col("limit").cast("double"), F.col("_top") * F.col("weight")), F.col("limit").cast("double")).alias("amount"))
+
+
+def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
+    """budget of each leaf (LEVELS, tokens); leaves whose node or an ancestor has no weight are left out."""
+    tables, rows = [], leaves.select(*LEVELS, (F.col("tokens") * mix.max_epochs).alias("limit"))
+    for depth in (3, 2, 1):
+        rows = written(rows.withColumn("weight", _weight(mix, LEVELS[depth - 1])), "mix-level")
+        tables.append(rows)
+        # A child without weight takes nothing, so its parent can't count on it.
+        rows = rows.groupBy(*LEVELS[: depth - 1]).agg(F.sum(F.when(F.col("weight") > 0, F.col("limit")).otherwise(0)).alias("limit"))
+    budget = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(mix.budget_share)).alias("amount"))
+    for depth, children in enumerate(reversed(tables)):
+        parent = LEVELS[:depth]
+        given = children.crossJoin(F.broadcast(budget)) if not parent else children.join(budget, parent)  # the root: one row
+        budget = written(shared_out(given, parent, LEVELS[depth]), "mix-budgets")
+    return budget.select(*LEVELS, F.floor(F.col("amount") + 1e-6).cast("bigint").alias("budget"))
 
 
 def words(text: Column) -> Column:
@@ -91,52 +94,53 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("bigint")
 
 
+def _key(value: Column) -> Column:
+    """A key of its own for null, one for each text."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
 def mixed(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
     """The chosen rows of docs (doc_id, text, lang, source and any others) and their epoch, from 0.
 
-    A row comes once for each epoch it is chosen in.  Null languages and sources are leaves of their
-    own; null texts have no token, and go with every pass that their place in the order falls into.
-    Repeated rows stand next to each other in the order and are counted each.  In an empty table, or
-    with a budget of nothing, nothing is chosen.  A column named epoch in docs is replaced.
+    Null languages and sources are leaves of their own, apart from empty ones; null texts have no token, and
+    go with every pass that their place in the order falls into, as empty ones do.  Repeated rows stand next to
+    each other in the order and are counted each; ties in the hash go by doc_id and text.  In an empty table,
+    or with a budget of nothing, nothing is chosen.  A column named epoch in docs is replaced, all others may
+    have any names.
     """
-    spark = docs.sparkSession
     count = tokens if tokens is not None else words(F.col("text"))
     domains = F.create_map(*[F.lit(x) for pair in mix.domains.items() for x in pair]) if mix.domains else None
     domain = F.coalesce(domains[F.col("source")], F.lit(mix.other_domain)) if mix.domains else F.lit(mix.other_domain)
-    leaf = {"_domain": domain, "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))}
     docs = docs.drop("epoch")
-    keys = list(leaf)
-    rows = docs.withColumns(leaf)
-    light = written(rows.select("doc_id", *keys, count.alias("_tokens")), "mix-light")
-    found = light.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")).limit(MOST_LEAVES + 1).collect()
-    if len(found) > MOST_LEAVES:
-        raise ValueError(f"more than {MOST_LEAVES} leaves")
-    totals = {tuple(r[k] for k in keys): r["tokens"] for r in found}
-    budgets = leaf_budgets(totals, mix, mix.budget_share * sum(totals.values()))
-    plan = []
-    for r in found:
-        path = tuple(r[k] for k in keys)
-        budget, total = budgets.get(path, 0), r["tokens"]
-        whole = min(mix.max_epochs, budget // total) if total else 0
-        plan.append((*path, int(whole), int(budget - whole * total) if total else 0, max(1, -(-r["rows"] // ROWS_TOGETHER))))
-    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("_whole", T.IntegerType()), T.StructField("_rest", T.LongType()), T.StructField("_buckets", T.LongType())])
-    # At most MOST_LEAVES rows.
-    leaves = F.broadcast(spark.createDataFrame(plan, schema))
-    order = F.xxhash64(F.lit(mix.seed), F.col("_whole"), F.col("doc_id"))
-    bucket = F.least(F.col("_buckets") - 1, F.floor((order.cast("double") / 2.0**64 + 0.5) * F.col("_buckets")).cast("bigint"))
-
-    dealt = light.join(leaves, keys).withColumn("_bucket", bucket)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.where("_rest > 0").groupBy(*keys, "_rest", "_bucket").agg(F.sum("_tokens").alias("held"))
-    sums = sums.withColumn("_base", F.coalesce(F.sum("held").over(before), F.lit(0))).where(F.col("_base") <= F.col("_rest"))
-    sums = written(sums.select(*keys, "_bucket", "_base", (F.col("_base") + F.col("held") > F.col("_rest")).alias("_last")), "mix-buckets")
-
-    dealt = rows.join(leaves, keys).withColumn("_bucket", bucket)
-    n = sums.count()
-    passes = dealt.where("_whole > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)).alias("epoch"))
-    partial = dealt.where("_rest > 0").join(sized(sums, n, 128), [*keys, "_bucket"])
-    taken = partial.where(~F.col("_last")).select(*docs.columns, F.col("_whole").alias("epoch"))
-    upto = Window.partitionBy(*keys, "_bucket").orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = partial.where("_last").withColumn("_tokens", count).withColumn("_end", F.col("_base") + F.sum("_tokens").over(upto))
-    last = ranked.where(F.col("_end") <= F.col("_rest")).select(*docs.columns, F.col("_whole").alias("epoch"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    leaf, plan, place, sums_of, of_leaf, of_bucket = (free_name(docs.columns, x) for x in ("_leaf", "_plan", "_place", "_sums", "_of_leaf", "_of_bucket"))
+    rows = docs.withColumn(leaf, F.struct(_key(domain).alias("domain"), _key(F.col("lang")).alias("lang"), _key(F.col("source")).alias("source")))
+    light = written(rows.select("doc_id", F.col(leaf).alias("leaf"), count.alias("tokens")), "mix-light")
+    leaves = written(light.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).select("leaf.*", "tokens", "rows"), "mix-leaves")
+    budgets = leaves.join(leaf_budgets(leaves, mix), LEVELS).where("tokens > 0")
+    whole = F.least(F.lit(mix.max_epochs), F.floor(F.col("budget") / F.col("tokens")).cast("int"))
+    budgets = budgets.withColumn("whole", whole).select(F.struct(*LEVELS).alias(of_leaf), F.struct("whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("rest"), F.ceil(F.col("rows") / ROWS_TOGETHER).alias("buckets")).alias("plan"))
+    budgets = written(budgets, "mix-plan")
+    n_leaves = budgets.count()
+
+    def dealt(frame: DataFrame, leaf: str, plan: str, place: str) -> DataFrame:
+        """frame with the leaf's plan, and in place the hash that orders it in its last epoch and its bucket."""
+        out = frame.join(sized(budgets.withColumnRenamed("plan", plan), n_leaves, 256), F.col(leaf) == F.col(of_leaf)).drop(of_leaf)
+        order = F.xxhash64(F.lit(mix.seed), F.col(plan)["whole"], F.col("doc_id"))
+        bucket = F.least(F.col(plan)["buckets"] - 1, F.floor((order.cast("double") / 2.0**64 + 0.5) * F.col(plan)["buckets"]).cast("bigint"))
+        return out.withColumn(place, F.struct(order.alias("order"), bucket.alias("bucket")))
+
+    before = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt(light, "leaf", "plan", "place").where("plan.rest > 0").groupBy("leaf", F.col("place.bucket").alias("bucket")).agg(F.sum("tokens").alias("held"), F.first("plan.rest").alias("rest"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).where("base <= rest")
+    sums = written(sums.select(F.struct("leaf", "bucket").alias(of_bucket), F.struct("base", (F.col("base") + F.col("held") > F.col("rest")).alias("last")).alias(sums_of)), "mix-buckets")
+
+    placed = dealt(rows, leaf, plan, place)
+    passes = placed.where(F.col(plan)["whole"] > 0).select(*own, F.explode(F.sequence(F.lit(0), F.col(plan)["whole"] - 1)).alias("epoch"))
+    at = F.struct(F.col(leaf).alias("leaf"), F.col(place)["bucket"].alias("bucket"))
+    partial = placed.where(F.col(plan)["rest"] > 0).join(sized(sums, sums.count(), 256), at == F.col(of_bucket))
+    taken = partial.where(~F.col(sums_of)["last"]).select(*own, F.col(plan)["whole"].alias("epoch"))
+    upto = Window.partitionBy(of_bucket).orderBy(F.col(place)["order"], "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col(sums_of)["base"] + F.sum(count).over(upto)
+    last = partial.where(F.col(sums_of)["last"]).withColumn(place, end).where(F.col(place) <= F.col(plan)["rest"]).select(*own, F.col(plan)["whole"].alias("epoch"))
     return passes.union(taken).union(last)
