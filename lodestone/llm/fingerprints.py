@@ -4,10 +4,11 @@ Each paragraph (between line feeds) is hashed to a wide vector, and a document's
 sum of its paragraphs' vectors, lane by lane, modulo 2**32.  So it doesn't depend on their order,
 and inserting or deleting paragraphs adds or subtracts their vectors.  A vector has two parts:
 
-* IDENTITY lanes of 32 uniform bits of the whole paragraph: equal multisets have equal sums, and
-  others differ but for a chance of 2**-256;
+* IDENTITY lanes of 32 bits of the whole paragraph, from four 64-bit hashes that are seeded before they
+  read it: equal multisets have equal sums, and two others differ in them unless all four hashes
+  collide (they aren't cryptographic: texts can be made to collide on purpose);
 * CONTENT lanes that count, over the paragraph's runs of three words, how often a bit of the run's
-  64-bit hash is set; 2 * lane - runs is a sum of random signs, so the scalar product of two such
+  64-bit hashes is set; 2 * lane - runs is a sum of random signs, so the scalar product of two such
   vectors estimates the number of common runs, whatever paragraphs they are in.
 
 ``likeness`` is twice the estimated common runs over both documents' runs, from 0 to 1.
@@ -19,23 +20,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-IDENTITY, CONTENT = 8, 64
+from .common import written
+
+IDENTITY, CONTENT = 8, 128
 _SEEDS = [0x1F3D5B79, 0x2E4C6A88, 0x3B5D7F91, 0x4A6C8EA2]
 _LOW = (1 << 32) - 1
 _PAIR = 1 | 1 << 32
-#: Fixed number of equal ranges of the ids, by which the documents are dealt out in order.
-CELLS = 1 << 16
+#: The ids are cut into so many equal ranges at first, and the documents dealt into as many buckets at most.
+CELLS, BUCKETS = 1 << 16, 1 << 19
 DOCS_PER_BUCKET = 1000
 
 
 def runs_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and, for each run of three words (shorter at a paragraph's end), the run's hash; on a
+    """keys and, for each run of three words (shorter at a paragraph's end), the run's two hashes; on a
     paragraph's first run also the paragraph."""
     rows = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("paragraph"))
     rows = rows.select(*keys, "paragraph", F.split("paragraph", " ").alias("words"))
     rows = rows.select(*keys, "paragraph", "words", F.posexplode("words").alias("at", "word"))
     run = F.xxhash64("word", F.get("words", F.col("at") + 1), F.get("words", F.col("at") + 2))
-    return rows.select(*keys, F.when(F.col("at") == 0, F.col("paragraph")).alias("paragraph"), run.alias("run"))
+    rows = rows.select(*keys, F.when(F.col("at") == 0, F.col("paragraph")).alias("paragraph"), run.alias("run0"))
+    return rows.select("*", *[F.xxhash64(F.lit(i), "run0").alias(f"run{i}") for i in range(1, CONTENT // 64)])
 
 
 def lane_sums() -> list[Column]:
@@ -44,9 +48,9 @@ def lane_sums() -> list[Column]:
     whole = F.col("paragraph").isNotNull()
     out = [F.count("*").alias("runs")]
     for i, seed in enumerate(_SEEDS):
-        h = F.when(whole, F.xxhash64("paragraph", F.lit(seed)))
+        h = F.when(whole, F.xxhash64(F.lit(seed), "paragraph"))
         out += [F.coalesce(F.sum(h.bitwiseAND(_LOW)), F.lit(0)).alias(f"i{2 * i}"), F.coalesce(F.sum(F.shiftrightunsigned(h, 32)), F.lit(0)).alias(f"i{2 * i + 1}")]
-    out += [F.sum(F.shiftrightunsigned("run", i).bitwiseAND(_PAIR)).alias(f"c{i}") for i in range(CONTENT // 2)]
+    out += [F.sum(F.shiftrightunsigned(f"run{i // 32}", i % 32).bitwiseAND(_PAIR)).alias(f"c{i}") for i in range(CONTENT // 2)]
     return out
 
 
@@ -94,29 +98,58 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return runs_of(docs, keys, text).groupBy(*keys).agg(*lane_sums()).select(*keys, lanes().alias("lanes"))
 
 
+def _cells(ids: DataFrame, most: float):
+    """A function that adds to rows with doc_id the cell that it is in, and the cells with their counts.
+
+    Cells are disjoint ranges of the ids, at first equal ones; a cell of more than most rows is cut
+    into equal ranges between its own least and greatest id, until each is small or of one id.
+    """
+    cuts: list[DataFrame] = []
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("cell", F.when(F.col("doc_id").isNull(), "null").otherwise(""))
+        for cut in cuts:
+            # At most BUCKETS rows and as many as hold more than most documents.
+            rows = rows.join(F.broadcast(cut), "cell", "left")
+            at = F.least(F.col("n") - 1, F.floor((F.col("doc_id").cast("double") - F.col("low")) / F.col("span") * F.col("n")))
+            rows = rows.withColumn("cell", F.when(F.col("n").isNull(), F.col("cell")).otherwise(F.concat("cell", F.lit("/"), at.cast("string")))).drop("low", "span", "n")
+        return rows
+
+    while True:
+        held = placed(ids).groupBy("cell").agg(F.count("*").alias("held"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        held = written(held, "fingerprint-cells")
+        parts = F.least(F.lit(CELLS), F.ceil(F.col("held") / most)) if cuts else F.lit(CELLS)
+        span = F.col("high").cast("double") - F.col("low").cast("double")
+        heavy = held.where((F.col("held") > 4 * most) if cuts else F.col("cell") == "").where(span > 0)
+        if heavy.isEmpty():
+            return placed, held
+        cuts.append(written(heavy.select("cell", F.col("low").cast("double").alias("low"), span.alias("span"), parts.cast("bigint").alias("n")), "fingerprint-cuts"))
+
+
 def in_order(docs: DataFrame, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
     """doc_id, text, bucket and guard: the documents dealt into buckets of adjacent numeric doc_ids.
 
     The first rows of each next bucket (after the last: of the first one) stand in a bucket once
-    more as guards, so that each document meets the one after it in its own bucket.  Buckets are
-    made of equal ranges of the ids, whose number is fixed; null doc_ids come first.
+    more as guards, so that each document meets the one after it in its own bucket.  Buckets hold
+    about equally many documents however the ids are spread; only rows of one doc_id stay together.
+    Null doc_ids come first.
     """
     ids = docs.select("doc_id")
-    low, high, total = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, span = float(low or 0), max(1.0, float(high or 0) - float(low or 0))
-    cell = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id").cast("double") - low) / span * CELLS)).cast("int"))
-    held = ids.groupBy(cell.alias("cell")).agg(F.count("*").alias("held"), F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("first"))
-    upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    size = max(1, min(docs_per_bucket, total))
-    cells = held.select("cell", "first", F.floor(F.coalesce(F.sum("held").over(upto), F.lit(0)) / size).cast("int").alias("bucket"))
+    total = ids.count()
+    size = max(1, min(docs_per_bucket, total), total // BUCKETS)
+    placed, held = _cells(ids, size)
+    first = F.struct(F.col("cell") != "null", "low")
+    # The cells are as many as the buckets, but for a constant: BUCKETS at most.
+    upto = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    cells = held.select("cell", first.alias("first"), F.floor(F.coalesce(F.sum("held").over(upto), F.lit(0)) / size).cast("int").alias("bucket"))
+    cells = written(cells, "fingerprint-buckets")
     firsts = cells.groupBy("bucket").agg(F.min("first").alias("first"))
     before = F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy()))
-    # At most CELLS + 1 rows each.
-    guards = F.broadcast(firsts.select(F.col("first.doc_id").alias("guard_id"), before.alias("guarded")).distinct())
-    cells = F.broadcast(cells.select(F.col("cell").alias("of_cell"), "bucket"))
-    placed = docs.select("doc_id", "text").join(cells, cell == F.col("of_cell")).join(guards, F.col("doc_id").eqNullSafe(F.col("guard_id")), "left")
+    guards = firsts.select(F.col("first.low").alias("guard_id"), before.alias("guarded")).distinct()
+    rows = placed(docs.select("doc_id", "text"))
+    rows = rows.join(F.broadcast(cells.select("cell", "bucket")), "cell").join(F.broadcast(guards), F.col("doc_id").eqNullSafe(F.col("guard_id")), "left")
     places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("guard")), F.struct(F.col("guarded").alias("bucket"), F.lit(True).alias("guard")))
-    return placed.select("doc_id", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
+    return rows.select("doc_id", "text", F.inline(F.filter(places, lambda p: p["bucket"].isNotNull())))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
