@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, written
 
 PASSAGE = 512
-#: At most so many labelled documents of each label are learned from, and so many of their passages each.
-TRAIN_DOCS, TRAIN_PASSAGES = 2000, 64
+#: At most so many labelled documents of each label are learned from, of so many bytes together; all of their passages are.
+TRAIN_DOCS, TRAIN_BYTES = 2000, 32 << 20
 ENCODED, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 40, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
 #: A passage of so many bytes is drawn half way to the average one, so that a few words aren't odd.
@@ -86,6 +86,7 @@ def _encode_chunk(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     kinds = np.bincount(owner * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
     pair = np.zeros(len(data), np.int64)
     pair[:-1] = (data[:-1].astype(np.int64) * 37 + data[1:].astype(np.int64) * 101) % 251 % _PAIRS
+    pair[ends[1:][ends[1:] > ends[:-1]] - 1] = 0  # a document's last byte has no other
     pairs = np.bincount(owner * _PAIRS + pair, minlength=n * _PAIRS).reshape(n, _PAIRS)
     size = np.maximum(lengths, 1)[:, None]
     out = np.concatenate([np.sqrt(kinds / size), np.sqrt(pairs / size), np.log1p(lengths)[:, None] / 6, (lengths == 0)[:, None]], axis=1)
@@ -177,33 +178,47 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = []
         for x, first in encode_passages(batch.column(1)):
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                chosen = x[a:b] if b - a <= TRAIN_PASSAGES else x[a + np.arange(TRAIN_PASSAGES) * (b - a) // TRAIN_PASSAGES]
-                bags.append(chosen.tobytes())
+            bags += [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["label", "bag"])
 
 
+def _sample(docs: DataFrame, usable: DataFrame) -> DataFrame:
+    """label and text of the documents that are learned from: of each label the first by a hash of doc_id,
+    as long as they are few and short enough together; one that would exceed TRAIN_BYTES is passed over."""
+    chosen = None
+    for label in (0, 1):
+        part = usable.where(F.col("label") == label).orderBy(F.xxhash64("labelled"), "labelled").limit(TRAIN_DOCS)
+        chosen = part if chosen is None else chosen.union(part)
+    # At most 2 * TRAIN_DOCS rows.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    found = written(found.groupBy("labelled", "label").agg(F.min("text").alias("text")), "quality-sample")
+    held, short = {0: 0, 1: 0}, []
+    for r in found.select("labelled", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("labelled"), "labelled").collect():
+        if held[r["label"]] + r["size"] <= TRAIN_BYTES:
+            held[r["label"]] += r["size"]
+            short.append(r["labelled"])
+    return found.where(F.col("labelled").isin(short) if short else F.lit(False))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """The model for docs (doc_id, text) and labels (doc_id, quality 0 or 1), from labelled rows that
-    are not held out: at most TRAIN_DOCS of each label, the first by a hash of doc_id.
+    are not held out; see _sample for how many.
 
-    Samples count as much as all rows of their label together, so scores keep the labels' shares.
-    Without a row of each label, the model scores every document by the share there is (1 if none).
+    Samples count as much as all rows of their label together, so scores keep the labels' shares.  A doc_id
+    labelled both ways says nothing and is left out; of several texts with one doc_id the least is learned
+    from; further columns of either table are ignored.  Without a row of each label, the model scores every
+    document by the share there is (1 if none).
     """
-    usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("label"))
+    usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled"))
+    usable = usable.agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("other")).where("label = other").select("labelled", "label")
     totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     one = totals.get(1, 0)
     if not one or not totals.get(0):
-        constant = {"E": np.zeros((FEATURES, ENCODED)), "e": np.zeros(ENCODED), "V": np.zeros((ENCODED, ATTENTION)), "U": np.zeros((ENCODED, ATTENTION)), "w": np.zeros(ATTENTION), "c": np.zeros(ENCODED)}
-        return AttentionModel(np.zeros(FEATURES), np.ones(FEATURES), {**constant, "b": np.array([-8.0 if totals.get(0) else 8.0])})
-    chosen = None
-    for label in (0, 1):
-        part = usable.where(F.col("label") == label).orderBy(F.xxhash64("labelled"), "labelled").limit(TRAIN_DOCS)
-        chosen = part if chosen is None else chosen.union(part)
-    # At most 2 * TRAIN_DOCS rows.
-    bags = docs.join(F.broadcast(chosen.distinct()), docs["doc_id"] == F.col("labelled")).select("label", "text", "labelled")
-    bags = bags.dropDuplicates(["labelled"]).select("label", "text").mapInArrow(_bag_rows, "label int, bag binary").toArrow()
+        return constant(-8.0 if totals.get(0) else 8.0)
+    bags = _sample(docs, usable).select("label", "text").mapInArrow(_bag_rows, "label int, bag binary").toArrow()
     y = bags["label"].to_numpy().astype(float)
+    if len(y) == 0:
+        return constant(8.0 if one > totals[0] else -8.0)
     x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in bags["bag"].to_pylist()]
     order = sorted(range(len(x)), key=lambda i: (y[i], x[i].tobytes()))
     share = one / (one + totals[0])
@@ -211,6 +226,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     return fit([x[i] for i in order], y[order], importance[order])
 
 
+def constant(b: float) -> AttentionModel:
+    """The model whose score is the logistic of b for every document."""
+    weights = {"E": np.zeros((FEATURES, ENCODED)), "e": np.zeros(ENCODED), "V": np.zeros((ENCODED, ATTENTION)), "U": np.zeros((ENCODED, ATTENTION)), "w": np.zeros(ATTENTION), "c": np.zeros(ENCODED)}
+    return AttentionModel(np.zeros(FEATURES), np.ones(FEATURES), {**weights, "b": np.array([b])})
+
+
 def _scored(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +258,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted to be good, with all their columns."""
+    """The rows of docs that are predicted to be good, with all their columns, whatever their names.
+
+    Null and empty texts are scored as one empty passage; repeated rows stay or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
