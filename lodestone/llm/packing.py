@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import sized, written
+from .common import written
 from .tokens import BYTE_LEVEL, encoder
 
 SEQ_LEN = 2048
@@ -140,8 +140,9 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    bases = bases.select(F.col("length").alias("of_length"), F.col("salt").alias("of_salt"), "base")
+    bases = bases.select("length", "salt", "base")
     in_group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(in_group)).join(sized(bases, min(salts * len(histogram), sum(histogram.values())), 64), (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
+    # The pieces are dealt by length and salt already, so this join moves the bases only.
+    ranked = salted.withColumn("nth", F.row_number().over(in_group)).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInArrow(_assigned(places), schema + ", sequence_id bigint, offset bigint")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import sized, written
 from .tokens import WORD, encoder
 
 DOCS_PER_FILE = 4000
@@ -66,12 +67,13 @@ def _encoded(path: str, kind: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, kind: str = WORD, end_id: int = 2, docs_per_file: int = DOCS_PER_FILE) -> None:
     """Encodes every whole text of docs (doc_id, text) and writes the files under path.
 
-    A null or empty text has end_id alone.  Null doc_ids come first, repeated ones stand side by
-    side; further columns are ignored.  An empty table writes files without rows.
+    A null or empty text has end_id alone.  Null doc_ids come first, rows with one doc_id follow each other
+    by a hash of their texts and may go on in the next file; further columns are ignored.  An empty
+    table writes files without rows.
     """
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     files = max(1, -(-docs.count() // docs_per_file))
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     placed = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
     schema = f"doc_id {id_kind}, part int, at bigint, n_tokens bigint, ids array<int>"
     placed.mapInArrow(_encoded(tokenizer_path, kind, end_id), schema).write.options(**WRITER).parquet(path)
@@ -85,18 +87,26 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], [*batch.schema.names[:-1], "ids_crc32"])
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, part, start (ids of all documents before it) and n_tokens, without reading ids."""
-    rows = spark.read.parquet(path).select("doc_id", "part", "at", "n_tokens")
+def _in_corpus(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with start: the ids of all documents before it, from the counts (part, n_tokens) of all rows."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = written(counts.groupBy("part").agg(F.sum("n_tokens").alias("held")), "token-files-parts")
     # One row a file.
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("held")).select(F.col("part").alias("of_part"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    return rows.join(parts, rows["part"] == parts["of_part"]).select("doc_id", "part", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
+    parts = held.select(F.col("part").alias("of_part"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    return rows.join(sized(parts, held.count(), 64), rows["part"] == F.col("of_part")).withColumn("start", F.col("base") + F.col("at"))
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, part, start (ids of all documents before it) and n_tokens of every row, repeated ones and null
+    doc_ids too, without reading ids."""
+    rows = spark.read.parquet(path).select("doc_id", "part", "at", "n_tokens")
+    return _in_corpus(rows, rows).select("doc_id", "part", "start", "n_tokens")
 
 
 def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
     """doc_id, part, at, n_tokens and ids of the documents from first_id to last_id (all by default);
-    the bounds reach the scan, where row groups and pages outside them are skipped."""
+    the bounds reach the scan, where row groups and pages outside them are skipped.  With a bound, null
+    doc_ids are left out; repeated rows are all returned."""
     rows = spark.read.parquet(path)
     if first_id is not None:
         rows = rows.where(F.col("doc_id") >= first_id)
@@ -110,7 +120,4 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     rows = read_tokens(spark, path)
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "part", "at", "n_tokens", "ids").mapInArrow(_crc, f"doc_id {kind}, part int, at bigint, n_tokens bigint, ids_crc32 bigint")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a file, from the n_tokens column alone.
-    parts = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("held")).select(F.col("part").alias("of_part"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(parts), rows["part"] == parts["of_part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return _in_corpus(rows, read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
