@@ -9,8 +9,9 @@ a hash of the key, the format and all characters before it, forwards and then ba
 * different entities of a format have different surrogates, and the same entity has the same one
   everywhere, however it is written (letter case, punctuation of numbers): coreference holds, and a
   surname alone matches the surname of the full name;
-* card numbers keep their Luhn status, addresses their top-level domain, numbers their country code,
-  IP addresses stay in range, names keep gender (first names are exchanged within the list of their
+* card numbers keep their Luhn status, account numbers their country and whether their check number is
+  right, secrets their prefix, addresses their top-level domain, numbers their country code,
+  IP addresses stay in range (or in their groups), names keep gender (first names are exchanged within the list of their
   gender and script; the end of a surname stays) and script.
 
 The collision check runs over the distinct entities of the whole corpus, in canonical form (persons
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sequences import numbered
-from .common import sized, written
+from .common import free_name, sized, written
 
 #: A format of which the corpus holds more than 1 in so many values is enumerated.
 ROOM = 8
@@ -50,6 +51,7 @@ _SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,64}|gh[pousr]_[A-Za-z0-9]{36,64})(?![\p{L}\p{N}])",
+    "ipv6": r"(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3}-\d{4})(?!\d)",
@@ -113,6 +115,32 @@ def _number(entity: Column, digits: Column) -> Column:
     return F.aggregate(_characters(entity), start, step, lambda acc: acc["out"])
 
 
+def _filled(text: Column, characters: Column) -> Column:
+    """text with all but its spaces replaced in turn by the characters."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        put = F.when(c == " ", c).otherwise(F.substring(characters, acc["at"] + 1, F.lit(1)))
+        return F.struct((acc["at"] + (c != " ").cast("int")).alias("at"), F.concat(acc["out"], put).alias("out"))
+
+    return F.aggregate(_characters(text), start, step, lambda acc: acc["out"])
+
+
+def _account_check(account: Column, country: Column) -> Column:
+    """The right check number of an account in a country: 98 less the number that they spell, modulo 97."""
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), F.pmod(rest * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(rest * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    return 98 - F.aggregate(_characters(F.concat(F.upper(account), country, F.lit("00"))), F.lit(0), step)
+
+
+def _account(middle: Column) -> Column:
+    """An account number without spaces and check number, from what follows its country."""
+    bare = F.replace(middle, F.lit(" "), F.lit(""))
+    return F.substring(bare, F.lit(3), F.length(bare))
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit that would follow digits."""
     doubled = F.transform(F.reverse(_characters(digits)), lambda c, i: F.when(i % 2 == 0, 2 * c.cast("int") - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
@@ -129,7 +157,7 @@ def _first_names(key: str) -> dict[str, str]:
 
 
 def _kinds(kind: Column) -> Column:
-    return F.when(kind.isin("ip", "hex"), F.array(*map(F.lit, HEX))).otherwise(F.array(*map(F.lit, KINDS)))
+    return F.when(kind.isin("ip", "ipv6", "hex"), F.array(*map(F.lit, HEX))).otherwise(F.array(*map(F.lit, KINDS)))
 
 
 def _digits(text: Column) -> Column:
@@ -152,16 +180,16 @@ def _canonical(found: Column, key: str) -> Column:
     def split(e: Column) -> Column:
         old, kind = e["old"], e["kind"]
         surname = F.element_at(F.split(old, " "), -1)
-        head = F.when(kind == "phone", F.regexp_extract(old, r"^\+\d{1,3}(?=[ .(-])", 0)).when(kind == "person", F.substring(old, F.lit(1), F.length(old) - F.length(surname))).otherwise("")
-        tail = F.when(kind == "email", F.lower(F.regexp_extract(old, r"\.[^.]+$", 0))).when(kind == "person", F.substring(surname, F.greatest(F.length(surname) - 2, F.lit(1)) + 1, F.length(surname))).when(kind == "card", F.substring(_digits(old), -1, 1)).otherwise("")
+        head = F.when(kind == "phone", F.regexp_extract(old, r"^\+\d{1,3}(?=[ .(-])", 0)).when(kind == "secret", F.regexp_extract(old, "^(?:AKIA|sk-|gh[pousr]_)", 0)).when(kind == "iban", F.substring(old, F.lit(1), F.lit(2))).when(kind == "person", F.substring(old, F.lit(1), F.length(old) - F.length(surname))).otherwise("")
+        tail = F.when(kind == "email", F.lower(F.regexp_extract(old, r"\.[^.]+$", 0))).when(kind == "person", F.substring(surname, F.greatest(F.length(surname) - 2, F.lit(1)) + 1, F.length(surname))).when(kind == "card", F.substring(_digits(old), -1, 1)).when(kind == "iban", F.lpad(F.pmod(F.substring(old, F.lit(3), F.lit(2)).cast("int") - _account_check(_account(F.substring(old, F.lit(3), F.length(old))), F.substring(old, F.lit(1), F.lit(2))), F.lit(97)).cast("string"), 2, "0")).otherwise("")
         kept = F.when(kind.isin("email", "person"), F.length(tail)).otherwise(0)
         middle = F.substring(old, F.length(head) + 1, F.length(old) - F.length(head) - kept)
         return F.struct(old.alias("old"), kind.alias("kind"), head.alias("head"), tail.alias("tail"), middle.alias("middle"))
 
     def canonical(e: Column) -> Column:
         kind, middle = e["kind"], e["middle"]
-        body = F.when(kind.isin("phone", "ssn"), _digits(middle)).when(kind == "card", F.substring(_digits(middle), F.lit(1), F.length(_digits(middle)) - 1)).when(kind == "ip", F.array_join(F.transform(F.split(middle, r"\."), hexed), "")).otherwise(F.lower(middle))
-        shape = F.when(kind.isin("ip", "hex"), F.length(body).cast("string")).otherwise(F.translate(body, "".join(KINDS), "".join(k[0] * len(k) for k in KINDS)))
+        body = F.when(kind.isin("phone", "ssn"), _digits(middle)).when(kind == "card", F.substring(_digits(middle), F.lit(1), F.length(_digits(middle)) - 1)).when(kind == "ip", F.array_join(F.transform(F.split(middle, r"\."), hexed), "")).when(kind == "iban", F.lower(_account(middle))).otherwise(F.lower(middle))
+        shape = F.when(kind.isin("ip", "hex"), F.length(body).cast("string")).when(kind == "ipv6", F.regexp_replace(body, "[0-9a-f]", "0")).otherwise(F.translate(body, "".join(KINDS), "".join(k[0] * len(k) for k in KINDS)))
         return F.struct(*[e[c].alias(c) for c in ("old", "kind", "head", "tail", "middle")], body.alias("body"), _kinds(kind).alias("kinds"), shape.alias("shape"), F.concat(F.lit(key), kind).alias("key"))
 
     return F.transform(F.transform(F.transform(found, typed), split), canonical)
@@ -184,6 +212,8 @@ def _finished(steps: Column, key: str) -> Column:
         kind, new, known = e["kind"], e["new"], F.create_map(*[F.lit(x) for pair in _first_names(key).items() for x in pair])
         last = F.pmod(_luhn(new) + e["tail"].cast("int") - _luhn(e["body"]), F.lit(10)).cast("string")
         octets = F.array_join(F.transform(F.array(*map(F.lit, (1, 3, 5, 7))), lambda i: F.conv(F.substring(new, i, F.lit(2)), 16, 10)), ".")
+        # The least right check number is 2, and there are 97 of them.
+        check = F.lpad((F.pmod(_account_check(new, e["head"]) + F.when(kind == "iban", e["tail"]).cast("int") - 2, F.lit(97)) + 2).cast("string"), 2, "0")
         names = F.array_join(F.transform(F.split(e["head"], " "), lambda p: F.coalesce(known[p], p)), " ")
         return (
             F.when(kind == "phone", F.concat(e["head"], _number(e["middle"], new)))
@@ -192,7 +222,9 @@ def _finished(steps: Column, key: str) -> Column:
             .when(kind == "ip", octets)
             .when(kind == "person", F.concat(names, _like(e["middle"], new), e["tail"]))
             .when(kind == "email", _like(e["old"], F.concat(new, e["tail"])))
-            .when(kind.isin("hex", "secret", "iban"), _like(e["old"], new))
+            .when(kind.isin("hex", "ipv6"), _like(e["old"], new))
+            .when(kind == "secret", F.concat(e["head"], _like(e["middle"], new)))
+            .when(kind == "iban", F.concat(e["head"], _filled(e["middle"], F.concat(check, F.upper(new)))))
             .otherwise(e["old"])
         )
 
@@ -212,7 +244,7 @@ def _values(found: DataFrame, key: str) -> DataFrame:
     e = F.col("e")
     # The check digit of a card is made of its body and what that leaves over, which stays.
     over = F.pmod(e["tail"].cast("int") - _luhn(e["body"]), F.lit(10)).cast("string")
-    head = F.when(e["kind"] == "phone", e["head"]).otherwise("")
+    head = F.when(e["kind"] == "person", "").otherwise(e["head"])
     tail = F.when(e["kind"] == "card", over).otherwise(F.lower(e["tail"]))
     rows = found.select("entity", F.get(_canonical(F.array("entity"), key), F.lit(0)).alias("e"))
     return rows.where(~e["kind"].isin("version", "other")).select("entity", e["kind"].alias("kind"), head.alias("head"), tail.alias("tail"), e["shape"].alias("shape"), e["body"].alias("body"))
@@ -274,7 +306,9 @@ def resolved(values: DataFrame, key: str) -> DataFrame:
     until one gives a value that is neither real nor taken.  A format of which the corpus holds
     more than one in ROOM values is enumerated instead, so each round settles most of what is left.
     """
-    made = written(_turned(values.select(*FORMAT, "body").distinct(), f"{key}/0/"), "pii-values")
+    # The bijection is dear and its rows are short: they are dealt to all tasks.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = written(_turned(values.select(*FORMAT, "body").distinct().repartition(tasks, "body"), f"{key}/0/"), "pii-values")
     counted = made.groupBy(*FORMAT).agg(F.count("*").alias("held"), F.min("body").alias("sample"))
     tight = written(counted.withColumn("room", _room(F.col("sample"), F.col("kind"))).where(F.col("held") * ROOM > F.col("room")), "pii-tight")
     whole, at = [*FORMAT, "body"], [*FORMAT, "new"]
@@ -300,13 +334,17 @@ def exceptions(found: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
-    """docs with the entities in text replaced, and their number added in a column named by count.
+    """docs with the entities in text replaced, and their number added in a column named by count, which
+    replaces one of that name.
 
-    All other columns stay as they are, in their order; rows stay as they come.  A null text stays
-    null with no entity; texts without an entity stay the same.  An empty table gives no rows.
+    All other columns stay as they are, in their order, whatever their names; rows stay as they come, and
+    repeated ones come out equal.  A null text stays null with no entity; texts without an entity, empty
+    ones among them, stay the same; of very long texts all is read.  Where entities overlap, the first
+    and of those at one place the first kind in PATTERNS is taken.  An empty table gives no rows.
     """
-    row, parts, fix = "_pii_row", "_pii_pieces", "_pii_fix"
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c != count]
+    row, parts, fix, found = (free_name(docs.columns, x) for x in ("_pii_row", "_pii_pieces", "_pii_fix", "_pii_new"))
+    others = [F.col(f"`{c}`") for c in kept if c != "text"]
     rows = written(docs.select(*others, F.monotonically_increasing_id().alias(row), pieces(F.col("text")).alias(parts)), "pii-pieces")
     entity = F.filter(parts, lambda p, i: i % 2 == 1)
     made = exceptions(rows.select(F.explode(entity).alias("entity")).distinct(), key)
@@ -317,8 +355,7 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = "n_entities") ->
         held = fixes.agg(F.sum(F.size(fix))).first()[0] or 0
         rows = rows.join(sized(fixes, held, 512), row, "left")
         new = F.when(F.col(fix).isNull(), new).otherwise(F.transform(new, lambda s, i: F.coalesce(F.try_element_at(fix, i), s)))
-    found = "_pii_new"
     rows = rows.withColumn(found, new)
     text = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(F.col(found), F.floor(i / 2).cast("int"))).otherwise(p)), "")
-    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept]
     return rows.select(*out, *([F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0)).alias(count)] if count else []))
