@@ -89,8 +89,8 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chat(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, formatted, loss_start and loss_length for each row (conv_id, turn, role, text).
 
-    A conversation's formatted text is its rows' in the order of turn (then of role and text); it is
-    left in rows, since one conversation can be any part of the table.  The loss mask are the
+    A conversation's formatted text is its rows' in the order of turn, and those of one turn in the
+    order of their formatted text; it is left in rows, since one conversation can be any part of the table.  The loss mask are the
     loss_length characters from loss_start of the row.  Null roles and texts are empty, null ids and
     turns are kept, repeated rows too; further columns are ignored.  An empty table gives no rows.
     """

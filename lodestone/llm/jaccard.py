@@ -325,7 +325,7 @@ def _matrix(sets: DataFrame, moved: DataFrame, count: int, order) -> tuple[DataF
     of_token = Window.partitionBy("token")
     prefix = sets.select("digest", "tokens").mapInArrow(_prefix_rows(order), "token bigint, digest binary, n int, indexed boolean").repartition(F.col("token"))
     several = prefix.withColumn("lo", F.min("digest").over(of_token)).withColumn("hi", F.max("digest").over(of_token)).where("lo <> hi")
-    several = written(several.select("token", "digest", "n", "indexed").dropDuplicates(["token", "digest"]), "jaccard-several")
+    several = several.select("token", "digest", "n", "indexed").dropDuplicates(["token", "digest"])
     placed = several.join(sized(moved, count, 96), "digest", "left")
     placed = placed.select("token", "digest", "n", "indexed", F.coalesce("grp", "digest").alias("grp"), F.coalesce("cell", "digest").alias("cell"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
     placed = written(placed, "jaccard-placed")
