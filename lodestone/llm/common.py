@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir, written
 
-__all__ = ["BROADCAST_BYTES", "crc32_of", "fits", "free_name", "new_path", "shared_dir", "sized", "table", "written"]
+__all__ = ["BROADCAST_BYTES", "arrow_rows", "crc32_of", "fits", "free_name", "new_path", "shared_dir", "sized", "table", "written"]
 
 #: A side is broadcast only when its counted rows, at this many bytes each, stay under the bound.
 BROADCAST_BYTES = 64 << 20
@@ -22,6 +24,18 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(rows, row_bytes) else df
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Python tasks of the jobs that run inside get batches of so many rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with as many underscores behind it as it takes to be none of columns."""
     taken = {c.lower() for c in columns}

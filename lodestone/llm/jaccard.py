@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BROADCAST_BYTES, free_name, sized, written
+from .common import BROADCAST_BYTES, arrow_rows, free_name, sized, written
 from .components import connected_components
 from .shingles import digest, mix, shingle_sets
 
@@ -57,7 +57,8 @@ OPENED_A_ROW = 8
 _ROWS = "doc_id {id}, row_key binary, n int, digest binary, keys array<bigint>, tokens binary, token bigint, held int"
 _NAMES = ["doc_id", "row_key", "n", "digest", "keys", "tokens", "token", "held"]
 #: A task remembers so many digests; what it repeats beyond them is dropped later.
-_SEEN = 1 << 18
+_SEEN = 1 << 16
+ARROW_ROWS = 1000
 
 
 def _band_keys(s: np.ndarray) -> np.ndarray:
@@ -353,8 +354,13 @@ def jaccard_nodes(docs: DataFrame, row_key: Column | None = None) -> tuple[DataF
     """(light, roots): each row of docs (doc_id, text) with row_key, its set's size n and digest, and the
     root digest of every digest that links with another.
     """
+    # Sets are long rows: small batches keep what a task holds at once small.
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _nodes(docs, F.lit(None).cast("binary") if row_key is None else row_key)
+
+
+def _nodes(docs: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    key = F.lit(None).cast("binary") if row_key is None else row_key
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(docs.select("doc_id", "text", key.alias("row_key")).mapInArrow(_set_rows, _ROWS.format(id=id_kind)), "jaccard-sets", 1 << 24)
     light = rows.where("n is not null").select("doc_id", "row_key", "n", "digest")
