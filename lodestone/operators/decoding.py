@@ -70,6 +70,29 @@ def banned(rows: DataFrame, bans: DataFrame, key: str) -> DataFrame:
     return out.withColumn("logit", F.when(F.col("_ban"), MINUS_INF).otherwise(F.col("logit"))).drop("_ban")
 
 
+def bad_words(sequences: DataFrame, words: list[list[int]], key: str, eos: int) -> DataFrame:
+    """(key, token) that would end one of the words (token ids): words of one token always, longer ones where the
+    sequence (key, tokens) ends in what goes before; eos alone is never banned."""
+    if not words or any(not w or min(w) < 0 for w in words):
+        raise ValueError("words are non-empty lists of token ids")
+    ends = lambda w: F.lit(True) if len(w) == 1 else (F.size("tokens") >= len(w) - 1) & (F.slice("tokens", F.greatest(F.size("tokens") - len(w) + 2, F.lit(1)), F.lit(len(w) - 1)) == F.array(*[F.lit(x) for x in w[:-1]]))
+    each = [F.when(ends(w), F.lit(w[-1])) for w in words if w != [eos]]
+    return sequences.select(key, F.explode(F.array_compact(F.array(*each))).alias("token")).distinct() if each else sequences.select(key, F.lit(None).cast("int").alias("token")).limit(0)
+
+
+def chained(rows: DataFrame, *steps) -> DataFrame:
+    """rows after each of the steps in turn, functions from a table of scores to another."""
+    for step in steps:
+        rows = step(rows)
+    return rows
+
+
+def top_k_top_p(rows: DataFrame, key: str, k: int = 0, p: float = 1.0, keep: int = 1) -> DataFrame:
+    """The k best tokens, keep at least, and of those the most probable ones up to p."""
+    rows = top_k_filtered(rows, key, max(k, keep)) if k > 0 else rows
+    return top_p_filtered(rows, key, p, keep) if p < 1 else rows
+
+
 def beam_step(candidates: DataFrame, beams: int, eos: int) -> tuple[DataFrame, DataFrame]:
     """From (batch, beam, token, score): the next beams, and the hypotheses that end.
 

@@ -27,3 +27,11 @@ def encoded(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: i
     each = rows.select(key, F.posexplode(tokens).alias("pos", "token")).join(vocab.select("token", "id"), "token", "left")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"])
     return each.groupBy(key).agg(ids.alias("ids"))
+
+
+def decoded(rows: DataFrame, key: str, ids: str, vocab: DataFrame, skipped: list[int]) -> DataFrame:
+    """(key, text, n_skipped): tokens of the ids joined by spaces, without those to skip."""
+    each = rows.select(key, F.posexplode(ids).alias("pos", "id"))
+    kept = F.col("token").isNotNull() & ~F.col("id").isin(skipped)
+    placed = each.join(vocab.select("id", "token"), "id", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(kept, F.struct("pos", "token")))).alias("t"), F.count_if(~kept).alias("n_skipped"))
+    return placed.select(key, F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("text"), "n_skipped")

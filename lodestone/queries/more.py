@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import schedules as L
-from ..functions import smiles as SM
 from ..functions import vectors as V
 from ..functions.text import whitespace_tokens
 from ..operators import projection
