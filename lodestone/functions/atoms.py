@@ -82,3 +82,13 @@ def reach(shape: str, r: Column, res: float) -> Column:
     if shape in ("gaussian", "lj"):
         return 1.5 * r
     return r * r if shape == "cube" else F.least(r * r, F.lit(res / 2))
+
+
+def random_quaternion(key: Column, seed: int = 0) -> tuple[Column, Column, Column, Column]:
+    """A uniform unit quaternion: four normal numbers from the portable hash of a key, over their length."""
+    from .tokens import portable_hash
+
+    u = lambda i: (portable_hash(key * 8 + i, seed) + 0.5) / 4294967296.0
+    n = [F.sqrt(-2 * F.ln(u(2 * i))) * f(2 * 3.141592653589793 * u(2 * i + 1)) for i in (0, 1) for f in (F.cos, F.sin)]
+    length = F.sqrt(sum(x * x for x in n))
+    return tuple(x / length for x in n)

@@ -186,3 +186,18 @@ def cosine_loss(a: Column, b: Column) -> Column:
     from ..functions.vectors import cosine
 
     return 1 - cosine(a, b)
+
+
+def folded(sparse: DataFrame, key: str, size: int) -> DataFrame:
+    """key, counts and bits (arrays of size) of a sparse fingerprint (key, index, n): places are index modulo size;
+    counts add up, bits are 1."""
+    places = sparse.groupBy(key, F.pmod(F.col("index"), F.lit(size)).cast("int").alias("place")).agg(F.sum("n").alias("n"))
+    rows = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(size - 1))
+    counts = F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
+    return rows.select(key, counts.alias("counts"), F.transform(counts, lambda n: (n > 0).cast("bigint")).alias("bits"))
+
+
+def labels_of(rows: DataFrame, label: str, known: list[str]) -> DataFrame:
+    """labels: the sorted union of known labels and those of the rows."""
+    return rows.agg(F.array_sort(F.array_distinct(F.concat(F.collect_set(label), F.array(*map(F.lit, known))))).alias("labels"))

@@ -51,3 +51,24 @@ def batched(rows: DataFrame, nth: str, size: int, value: str) -> DataFrame:
     """batch, values: full batches of size rows by number, the last as it is."""
     g = rows.groupBy(F.floor(F.col(nth) / size).alias("batch"))
     return g.agg(F.transform(F.array_sort(F.collect_list(F.struct(nth, value))), lambda x: x[value]).alias("values"))
+
+
+def valid_batches(rows: DataFrame, order: list[str], valid: str, size: int, batches: int) -> DataFrame:
+    """(batch, at, ...): the valid rows in order, again and again, until there are so many full batches."""
+    kept = numbered(rows.where(valid), order)
+    n = kept.count()
+    if n == 0:
+        return kept.select(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("at"), "*").drop("nth").limit(0)
+    turns = -(-size * batches // n)
+    again = kept.withColumn("nth", F.explode(F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: F.col("nth") + t * n))).where(F.col("nth") < size * batches)
+    return again.select(F.floor(F.col("nth") / size).alias("batch"), (F.col("nth") % size).alias("at"), *[c for c in again.columns if c != "nth"])
+
+
+def gathered(parts: list[DataFrame], order: list[str], value: str, n: int, pad: int = -100) -> DataFrame:
+    """The first n rows, in order, of all parts together, with arrays filled up to the widest of all parts."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    width = rows.agg(F.max(F.size(value)).alias("_width"))  # one row
+    kept = rows.orderBy(*order).limit(n).crossJoin(F.broadcast(width))
+    return kept.withColumn(value, F.concat(value, F.array_repeat(F.lit(pad), F.col("_width") - F.size(value)))).drop("_width")

@@ -84,3 +84,32 @@ def near_any(atoms: DataFrame, ligand: DataFrame, distance: float) -> DataFrame:
     on = (F.col("a.item") == F.col("b.item")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cz") == F.col("b.cz"))
     d2 = sum((F.col(f"a.{c}") - F.col(f"b.l{c}")) * (F.col(f"a.{c}") - F.col(f"b.l{c}")) for c in "xyz")
     return a.join(b.alias("b"), on & (d2 <= distance * distance), "left_semi").drop("cx", "cy", "cz")
+
+
+def connectors(atoms: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """(item, x, y, z): the given points of an item, or else the places of all its atoms (num) of number 0."""
+    dummies = atoms.where("num = 0").select("item", "x", "y", "z")
+    if explicit is None:
+        return dummies
+    return explicit.select("item", "x", "y", "z").union(dummies.join(explicit, "item", "left_anti"))
+
+
+def receptor_and_parent(receptor: DataFrame, parent: DataFrame, centre: DataFrame, params: VoxelParams, parent_channel: int = 5, rotation: DataFrame | None = None) -> DataFrame:
+    """The grids of items (item, channel, x, y, z, density): receptor atoms from channel 0 on, parent atoms from
+    parent_channel on, both moved so that the item's centre (item, cx, cy, cz) is the origin; rotation (item, qw, qx,
+    qy, qz) turns an item's grid."""
+
+    def grid(atoms: DataFrame, first: int) -> DataFrame:
+        rows = atoms.join(centre, "item").withColumns({c: F.col(c) - F.col("c" + c) for c in "xyz"})
+        if rotation is not None:
+            rows = rows.join(rotation, "item")
+        return voxelize(rows, params, first, rotation is not None)
+
+    return grid(receptor, 0).unionByName(grid(parent, parent_channel))
+
+
+def pooled(grid: DataFrame, params: VoxelParams, operator) -> DataFrame:
+    """(item, channel, value): an aggregation of the densities of all points of a channel, empty ones among them."""
+    points = params.width**3
+    cells = grid.groupBy("item", "channel").agg(F.collect_list("density").alias("v"))
+    return cells.select("item", "channel", operator(F.concat("v", F.array_repeat(F.lit(0.0), points - F.size("v")))).alias("value"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -67,3 +70,50 @@ def voxel_pdb(grid: DataFrame, width: int, resolution: float, above: float = 0.5
     rows = centre.withColumn("o", F.lit(0)).union(cells.withColumn("o", F.lit(1)))
     rows = rows.withColumn("serial", F.row_number().over(Window.partitionBy("item", "channel").orderBy("o", "x", "y", "z"))).withColumn("name", F.lit("X")).withColumn("element", F.lit("X"))
     return pdb_text(rows, ["item", "channel"])
+
+
+def numbered_results(results: DataFrame, folder: str, name: str = "test_results") -> str:
+    """Written as JSON under the first name-1, name-2, ... that isn't there yet; returns the path."""
+    spark = results.sparkSession
+    n = 1
+    while True:
+        path = f"{folder}/{name}-{n}"
+        try:
+            spark.read.text(path)
+        except AnalysisException:
+            results_json(results, path)
+            return path
+        n += 1
+
+
+def predictions_json(predictions: DataFrame, key: str, path: str) -> None:
+    """A line of JSON with one field, the answer by its question, for each row (key, text)."""
+    predictions.select(F.to_json(F.create_map(F.col(key).cast("string"), "text")).alias("value")).write.text(path)
+
+
+def n_best_json(n_best: DataFrame, key: str, path: str) -> None:
+    """A line of JSON for each question: its answers (place, text, probability, score) in order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text", "probability", "score"))), lambda x: F.struct(x["text"].alias("text"), x["probability"].alias("probability"), x["score"].alias("score")))
+    rows = n_best.groupBy(key).agg(listed.alias("answers"))
+    rows.select(F.to_json(F.create_map(F.col(key).cast("string"), "answers")).alias("value")).write.text(path)
+
+
+def parameters_json(spark, parameters: dict, path: str) -> None:
+    """The parameters of a run, as one line of JSON by sorted names."""
+    spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.text(path)
+
+
+def run_blob(matches: DataFrame, rotations: DataFrame, average: DataFrame, path: str) -> None:
+    """What an inference run found, as three tables under a folder."""
+    for name, rows in (("most_similar", matches), ("fps_per_rot", rotations), ("fps_avg", average)):
+        rows.write.parquet(f"{path}/{name}")
+
+
+def graph_molblock(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """key and V2000 text of an abstract graph: a carbon for each node (key, node from 0, x, y, z), a single bond for
+    each edge (key, a, b)."""
+    atoms = nodes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x", "y", "z"))), lambda n: F.struct((n["node"] + 1).cast("int").alias("idx"), F.lit("C").alias("symbol"), n["x"].alias("x"), n["y"].alias("y"), n["z"].alias("z"))).alias("atoms"))
+    bonds = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((F.col("a") + 1).cast("int").alias("a"), (F.col("b") + 1).cast("int").alias("b"), F.lit(1).alias("order")))).alias("bonds"))
+    empty = F.array().cast("array<struct<a:int,b:int,order:int>>")
+    both = atoms.join(bonds, key, "left").select(key, F.lit("").alias("title"), "atoms", F.coalesce("bonds", empty).alias("bonds"))
+    return molblock(both, key)

@@ -116,3 +116,73 @@ def paired_activities(spark: SparkSession, spec: str) -> DataFrame:
         if n in rows.columns:
             rows = rows.withColumn(n, F.col(n).try_cast("double"))
     return rows.withColumn("pdb", F.concat_ws("/", F.lit(parts[9]), "pdb")).withColumn("sdf", F.concat_ws("/", F.lit(parts[9]), "sdf"))
+
+
+def bench(rows: DataFrame) -> DataFrame:
+    """A benchmark's columns: smiles is SMILES, spaces are underscores."""
+    return rows.toDF(*["SMILES" if c == "smiles" else c.replace(" ", "_") for c in rows.columns])
+
+
+def single_tasks(rows: DataFrame, n_tasks: str, name: str, without: str = "PDB") -> DataFrame:
+    """The rows with one task whose name doesn't hold without."""
+    return rows.where(f"{n_tasks} = 1").where(~F.contains(F.col(name), F.lit(without)))
+
+
+def functional_classes(spark: SparkSession, path: str) -> DataFrame:
+    """smiles, functional_group and acid_base of a table of fragments: a SMILES, white space, group__class."""
+    parts = F.split(F.trim("value"), r"\s+", 2)
+    rows = spark.read.text(path).where(F.col("value").rlike(r"\S")).select(F.get(parts, F.lit(0)).alias("smiles"), F.split(F.get(parts, F.lit(1)), "__", 2).alias("c"))
+    return rows.select("smiles", F.get("c", F.lit(0)).alias("functional_group"), F.get("c", F.lit(1)).alias("acid_base"))
+
+
+def receptor_ligand_pairs(spark: SparkSession, metadata: str, folder: str) -> DataFrame:
+    """receptor, ligand and the paths of their files in a folder, from a CSV with these columns; a missing file is an error."""
+    rows = csv_columns(spark, metadata, {"receptor": "receptor", "ligand": "ligand"})
+    # A file's name, or that of its folder for a table that Spark has written by name.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.coalesce(F.nullif(F.regexp_extract("path", "/name=([^/]+)/[^/]+$", 1), F.lit("")), F.element_at(F.split("path", "/"), -1)).alias("name"))
+    for c in ("receptor", "ligand"):
+        rows = rows.join(files.select(F.col("name").alias(c), F.col("path").alias(c + "_path")), c, "left")
+    return rows.select("receptor", "ligand", "receptor_path", "ligand_path", F.when(F.col("receptor_path").isNull() | F.col("ligand_path").isNull(), "file").alias("error"))
+
+
+def structure_families(spark: SparkSession, metadata: str, folder: str) -> DataFrame:
+    """family, pdb_id, ligand, smiles, valid and path of each structure file (pdb_id.bioN), from a CSV family,pdb_id,ligand,valid,smiles."""
+    rows = csv_columns(spark, metadata, {c: c for c in ("family", "pdb_id", "ligand", "valid", "smiles")})
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bio*").load(folder).select("path", F.lower(F.regexp_extract("path", r"([^/]+)\.bio\d+$", 1)).alias("_id"))
+    both = rows.join(files, F.lower("pdb_id") == F.col("_id"))
+    return both.select("family", "pdb_id", "ligand", (F.col("valid") == "valid").alias("valid"), "smiles", "path")
+
+
+def saved_splits(spark: SparkSession, path: str) -> DataFrame:
+    """split and id, from JSON of the lists of a run: {"train": [...], "val": [...], "test": [...]}."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("split", "ids"))
+    return rows.select("split", F.explode("ids").alias("id"))
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The Parquet table at path, made first if it isn't there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
+def inference_label_set(spark: SparkSession, codes: list[str], everything, path: str) -> DataFrame:
+    """smiles of an inference's label set: all for everything() (kept under path), and SMI files; other codes are errors."""
+    from .text import smi
+
+    out = None
+    for code in codes:
+        if code == "all":
+            part = cached(spark, path, everything).select("smiles")
+        elif code.endswith((".smi", ".smiles")) or "/" in code:
+            part = smi(spark, code).select("smiles")
+        else:
+            raise ValueError(f"not a label set for inference: {code}")
+        out = part if out is None else out.union(part)
+    if out is None:
+        raise ValueError("no label set is named")
+    return out.distinct()

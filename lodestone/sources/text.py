@@ -24,9 +24,14 @@ def smi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, at (from 0) and value.  Files are read whole, one row each: for formats whose records go over lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.regexp_replace("value", r"\n\z", ""), "\r?\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("at", "value"))
+    """path, at (from 0) and value of each line.  Files are read by blocks: a line's place is its place in its
+    block and the lines of the file's blocks before."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    inside = F.col("_id") - F.min("_id").over(Window.partitionBy("path", "block"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a block.
+    bases = rows.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.withColumn("_inside", inside).join(bases, ["path", "block"]).select("path", (F.col("base") + F.col("_inside")).alias("at"), "value")
 
 
 def blank_line_documents(spark: SparkSession, path: str) -> DataFrame:
