@@ -79,8 +79,12 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, types = 0, [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def frequent(id_type: pa.DataType) -> pa.RecordBatch:
-        tokens, held = np.unique(np.concatenate(kept), return_counts=True)
-        tokens, held = tokens[held >= LOCAL].view(np.int64), held[held >= LOCAL].astype(np.int32)
+        every = np.concatenate(kept)
+        kept.clear()
+        every.sort()
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        held = np.diff(np.append(starts, len(every)))
+        tokens, held = every[starts[held >= LOCAL]].view(np.int64), held[held >= LOCAL].astype(np.int32)
         return pa.RecordBatch.from_arrays([*(pa.nulls(len(tokens), t) for t in (id_type, *types)), pa.array(tokens), pa.array(held)], _NAMES)
 
     def documents(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
@@ -109,7 +113,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begun, found, held = begun + len(found), [], 0
             if size >= PORTION:
                 yield frequent(id_type)
-                kept, size = [], 0
+                size = 0
         if found:
             yield documents(batch.slice(begun, len(found)), found)
     if kept:

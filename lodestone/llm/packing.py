@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import arrow_rows, written
 from .tokens import BYTE_LEVEL, encoder
 
 SEQ_LEN = 2048
@@ -132,7 +132,8 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: i
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, seq_len, end_id), schema), "pack-pieces")
+    with arrow_rows(docs.sparkSession, 1000):
+        pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, seq_len, end_id), schema), "pack-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = docs.sparkSession.sparkContext.broadcast(_places(minimum_bin_slack(histogram, seq_len)))
 

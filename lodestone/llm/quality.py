@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 #: A passage of so many bytes is drawn half way to the average one, so that a few words aren't odd.
 SHRINK = 40
 _PAIRS = 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _byte_classes() -> tuple[np.ndarray, int]:

@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 _HASH_OF_BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _POWERS = np.ones(0, np.uint64), np.ones(0, np.uint64)
 
 

@@ -23,7 +23,7 @@ import regex
 
 BYTE_LEVEL, WORD = "byte_level", "word"
 #: Most words a worker remembers; see _Ids for what happens beyond it.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _BARE = re.compile(r"\s (?:\s|$)")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _LETTERS = regex.compile(r" ?\p{L}+")
