@@ -36,12 +36,12 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "activations",
-    """WITH x AS (SELECT vec_id, embedding[1]::DOUBLE * 3 AS x FROM embeddings) SELECT vec_id, round(greatest(x, 0), 9) AS relu, round(tanh(x), 9) AS tanh, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(x / (1 + exp(-x)), 9) AS silu,
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE * 3 AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT vec_id, pos::INT AS pos, round(greatest(x, 0), 9) AS relu, round(tanh(x), 9) AS tanh, round(1 / (1 + exp(-x)), 9) AS sigmoid, round(x / (1 + exp(-x)), 9) AS silu,
 round(x * tanh(ln(1 + exp(x))), 9) AS mish, round(0.5 * x * (1 + tanh(0.7978845608028654 * (x + 0.044715 * pow(x, 3)))), 9) AS gelu_new FROM x""",
 )
 def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.get("embedding", F.lit(0)).cast("double") * 3).alias("x"))
-    return rows.select("vec_id", *[F.round(V.ACTIVATIONS[n](F.col("x")), 9).alias(n) for n in ("relu", "tanh", "sigmoid", "silu", "mish", "gelu_new")])
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", (F.col("v").cast("double") * 3).alias("x"))
+    return rows.select("vec_id", "pos", *[F.round(V.ACTIVATIONS[n](F.col("x")), 9).alias(n) for n in ("relu", "tanh", "sigmoid", "silu", "mish", "gelu_new")])
 
 
 @query(
@@ -57,23 +57,23 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "classification_scores",
-    """WITH s AS (SELECT vec_id, unnest(embedding[1:10])::DOUBLE AS x, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM s),
+    """WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM s),
 p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p, x FROM e) SELECT vec_id, arg_max(i, (x, -i))::INT AS label, round(max(p), 9) AS score FROM p GROUP BY 1""",
 )
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.slice(V.doubles(F.col("embedding")), 1, 10)
+    v = V.doubles(F.col("embedding"))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
     return rows.select("vec_id", V.argmax(F.col("v")).cast("int").alias("label"), F.round(F.array_max(V.softmax(F.col("v"))), 9).alias("score"))
 
 
 @query(
     "zero_shot_ranks",
-    """WITH s AS (SELECT vec_id, k::INT AS label, embedding[2 * k + 1]::DOUBLE AS contradiction, embedding[2 * k + 2]::DOUBLE AS entailment FROM embeddings, range(5) r(k)),
+    """WITH s AS (SELECT vec_id, k::INT AS label, embedding[2 * k + 1]::DOUBLE AS contradiction, embedding[2 * k + 2]::DOUBLE AS entailment FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 2)) AS k FROM embeddings)),
 e AS (SELECT *, exp(entailment - max(entailment) OVER (PARTITION BY vec_id)) AS e, 1 / (1 + exp(contradiction - entailment)) AS multi FROM s),
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS single FROM e) SELECT vec_id, label, round(single, 9) AS single, round(multi, 9) AS multi, row_number() OVER (PARTITION BY vec_id ORDER BY entailment DESC, label)::INT AS rank FROM p""",
 )
 def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(k.alias("label"), F.get("embedding", 2 * k).cast("double").alias("c"), F.get("embedding", 2 * k + 1).cast("double").alias("e")))
+    pair = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda k: F.struct(k.alias("label"), F.get("embedding", 2 * k).cast("double").alias("c"), F.get("embedding", 2 * k + 1).cast("double").alias("e")))
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.inline(pair))
     w = Window.partitionBy("vec_id")
     rows = rows.withColumn("x", F.exp(F.col("e") - F.max("e").over(w)))

@@ -28,7 +28,7 @@ _simple("text_clean_up_tokenization", "replace(replace(replace(replace(replace(r
 _simple("text_tokenize_numbers", r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({s}, '(\d),(\d)', '\1 @,@ \2', 'g'), '(\d),(\d)', '\1 @,@ \2', 'g'), '(\d)\.(\d)', '\1 @.@ \2', 'g'), '(\d)\.(\d)', '\1 @.@ \2', 'g')", X.tokenize_numbers)
 _simple("text_number_round_trip", "replace(replace({s}, ' @,@ ', ','), ' @.@ ', '.')", lambda s: X.detokenize_numbers(X.tokenize_numbers(s)))
 _simple("text_html_entities", "replace(replace(replace(replace(replace(replace(replace({s}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')", X.html_entities, "pages", "page_id", "html")
-_simple("text_narrow_punctuation", "replace(translate({s}, '，、：？！', ',,:?!'), '。', '. ')", X.narrow_punctuation)
+_simple("text_narrow_punctuation", "translate(regexp_replace({s}, '。[ \\t-\\r]*', '. ', 'g'), '" + X.WIDE.replace("'", "''") + "', '" + X.NARROW.replace("'", "''") + "')", X.narrow_punctuation)
 _simple("text_drop_control", r"regexp_replace({s}, '[\x00-\x1f\x7f-\x9f]', '', 'g')", X.drop_control)
 _simple(
     "text_standardize",
@@ -74,7 +74,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "squad_exact_f1",
-    rf"""WITH p AS (SELECT a.item_id, a.text AS gold, substr(b.text, 1, 60) || ' ' || substr(a.text, 1, 40) AS pred FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+    rf"""WITH p AS (SELECT a.item_id, a.text AS gold, b.text || ' ' || a.text AS pred FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
 n AS (SELECT item_id, {norm_sql("gold")} AS g, {norm_sql("pred")} AS p FROM p), t AS (SELECT item_id, g, p, regexp_extract_all(g, '{NOT_WS}+') AS gt, regexp_extract_all(p, '{NOT_WS}+') AS pt FROM n),
 o AS (SELECT item_id, sum(least(a, b))::DOUBLE AS same FROM (SELECT item_id, tok, count(*) AS a FROM (SELECT item_id, unnest(gt) AS tok FROM t) GROUP BY 1, 2) x JOIN (SELECT item_id, tok, count(*) AS b FROM (SELECT item_id, unnest(pt) AS tok FROM t) GROUP BY 1, 2) y USING (item_id, tok) GROUP BY 1)
 SELECT t.item_id, (g = p)::INT AS exact, round(CASE WHEN len(gt) = 0 OR len(pt) = 0 THEN (len(gt) = len(pt))::INT ELSE 2 * coalesce(same, 0) / (len(gt) + len(pt)) END, 9) AS f1 FROM t LEFT JOIN o USING (item_id)""",
@@ -82,7 +82,7 @@ SELECT t.item_id, (g = p)::INT AS exact, round(CASE WHEN len(gt) = 0 OR len(pt)
 def squad(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    rows = b.join(other, "item_id").select("item_id", F.col("text").alias("gold"), F.concat(F.substring("other", 1, 60), F.lit(" "), F.substring("text", 1, 40)).alias("pred"))
+    rows = b.join(other, "item_id").select("item_id", F.col("text").alias("gold"), F.concat("other", F.lit(" "), "text").alias("pred"))
     return rows.select("item_id", X.exact_match(F.col("pred"), F.col("gold")).alias("exact"), F.round(X.token_f1(F.col("pred"), F.col("gold")), 9).alias("f1"))
 
 

@@ -31,13 +31,6 @@ def flat(column):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
-@query("tokens_assembled", f"WITH {IDS}, s AS (SELECT doc_id, [101] || ids[1:30] || [102] AS a FROM t) SELECT doc_id, array_to_string(a || list_transform(range(32 - len(a)), lambda i: 0), ',') AS input_ids, len(a)::INT AS n FROM s")
-def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, types = K.assembled(F.slice("ids", 1, 30), None, 101, 102)
-    f = K.features(a, types, 32)
-    return ids(spark, sf_dir).select("doc_id", flat(f["input_ids"]).alias("input_ids"), V.total(V.doubles(f["attention_mask"])).cast("int").alias("n"))
-
-
 @query(
     "tokens_truncated_pair",
     f"""WITH {IDS}, p AS (SELECT doc_id, ids AS a, ids[1:doc_id % 50] AS b FROM t), n AS (SELECT *, len(a) AS n, len(b) AS m, greatest(0, len(a) + len(b) - 40) AS over FROM p),
@@ -49,7 +42,7 @@ def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids(spark, sf_dir).select("doc_id", F.size(a).alias("n_a"), F.size(b).alias("n_b"))
 
 
-@query("tokens_blocks", f"WITH {IDS} SELECT doc_id, b::INT AS block, list_sum(ids[b * 64 + 1 : b * 64 + 64])::BIGINT AS total FROM t, range(2000) r(b) WHERE (b + 1) * 64 <= len(ids)")
+@query("tokens_blocks", f"WITH {IDS} SELECT doc_id, b::INT AS block, list_sum(ids[b * 64 + 1 : b * 64 + 64])::BIGINT AS total FROM (SELECT doc_id, ids, unnest(range(len(ids) // 64)) AS b FROM t)")
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ids(spark, sf_dir).select("doc_id", F.posexplode(K.blocks(F.col("ids"), 64)).alias("block", "b"))
     return rows.select("doc_id", "block", V.total(V.doubles(F.col("b"))).cast("bigint").alias("total"))
@@ -57,7 +50,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tokens_spans",
-    f"""WITH {IDS}, s AS (SELECT doc_id, ids, k * 48 AS start FROM t, range(1000) r(k) WHERE k = 0 OR (k - 1) * 48 + 128 < len(ids))
+    f"""WITH {IDS}, s AS (SELECT doc_id, ids, k * 48 AS start FROM (SELECT doc_id, ids, unnest(range(len(ids) // 48 + 1)) AS k FROM t) WHERE k = 0 OR (k - 1) * 48 + 128 < len(ids))
 SELECT doc_id, start::INT AS start, len(ids[start + 1 : start + 128])::INT AS n, coalesce(list_sum(ids[start + 1 : start + 128]), 0)::BIGINT AS total FROM s""",
 )
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +58,6 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", F.size("tokens").alias("n"), V.total(V.doubles(F.col("tokens"))).cast("bigint").alias("total"))
 
 
-@query("tokens_ngrams", f"WITH {IDS}, g AS (SELECT ids[i + 1 : i + 3] AS g FROM t, range(20000) r(i) WHERE i + 3 <= len(ids)) SELECT array_to_string(g, ' ') AS gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) > 20")
-def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ids(spark, sf_dir).select(F.explode(K.ngrams(F.col("ids"), 3)).alias("g"))
-    return rows.groupBy(F.array_join(F.transform("g", lambda x: x.cast("string")), " ").alias("gram")).agg(F.count("*").alias("n")).where("n > 20")
-
-
 CHANCE = f"{{}} / {float(M)}::DOUBLE"
 
 
@@ -78,22 +65,12 @@ def _drawn(what: int) -> str:
     return f"{h_sql(f'(doc_id * 4096 + i) % {1 << 31}', what)} / {float(M)}::DOUBLE"
 
 
-@query(
-    "tokens_masked",
-    f"""WITH {IDS}, e AS (SELECT doc_id, unnest(ids[1:100]) AS x, generate_subscripts(ids[1:100], 1) - 1 AS i FROM t),
-d AS (SELECT doc_id, i, x, {_drawn(1)} < 0.15 AND x <> 1 AS chosen, {_drawn(2)} AS how, floor({_drawn(3)} * 100)::INT AS other FROM e)
-SELECT doc_id, i::INT AS pos, CASE WHEN chosen AND how < 0.8 THEN 103 WHEN chosen AND how < 0.9 THEN other ELSE x END::INT AS input_id, CASE WHEN chosen THEN x ELSE -100 END::INT AS label FROM d""",
-)
-def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, labels = K.masked(F.slice("ids", 1, 100), F.col("doc_id"), 103, 100, [1])
-    rows = ids(spark, sf_dir).select("doc_id", F.arrays_zip(new.alias("i"), labels.alias("label")).alias("z"))
-    rows = rows.select("doc_id", F.posexplode("z").alias("pos", "z"))
-    names = rows.schema["z"].dataType.names
-    return rows.select("doc_id", "pos", F.col("z").getField(names[0]).cast("int").alias("input_id"), F.col("z").getField(names[1]).cast("int").alias("label"))
+# Whole texts: every word in one of as many blocks as it takes (the last may be short).  Each query has two names.
+_ASSEMBLED = f"WITH {IDS}, b AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids), 1)::BIGINT, 30)) AS start FROM t WHERE ids IS NOT NULL), s AS (SELECT doc_id, start, [101] || ids[start + 1 : start + 30] || [102] AS a FROM b) SELECT doc_id, start::INT AS start, array_to_string(a || list_transform(range(32 - len(a)), lambda i: 0), ',') AS input_ids, len(a)::INT AS n FROM s"
 
 
-# The same over whole texts: every word in one of as many blocks as it takes (the last may be short).
-@query("tokens_assembled_whole", f"WITH {IDS}, b AS (SELECT doc_id, ids, unnest(range(0, greatest(len(ids), 1)::BIGINT, 30)) AS start FROM t WHERE ids IS NOT NULL), s AS (SELECT doc_id, start, [101] || ids[start + 1 : start + 30] || [102] AS a FROM b) SELECT doc_id, start::INT AS start, array_to_string(a || list_transform(range(32 - len(a)), lambda i: 0), ',') AS input_ids, len(a)::INT AS n FROM s")
+@query("tokens_assembled", _ASSEMBLED)
+@query("tokens_assembled_whole", _ASSEMBLED)
 def assembled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ids(spark, sf_dir).select("doc_id", F.inline(K.spans(F.col("ids"), 30, 30)))
     a, types = K.assembled(F.col("tokens"), None, 101, 102)
@@ -101,18 +78,23 @@ def assembled_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", flat(f["input_ids"]).alias("input_ids"), V.total(V.doubles(f["attention_mask"])).cast("int").alias("n"))
 
 
-@query("tokens_ngrams_whole", f"WITH {IDS}, i AS (SELECT ids, unnest(range(1, len(ids) - 1)) AS i FROM t), g AS (SELECT ids[i : i + 2] AS g FROM i) SELECT array_to_string(g, ' ') AS gram, count(*) AS n FROM g GROUP BY 1")
+_NGRAMS = f"WITH {IDS}, i AS (SELECT ids, unnest(range(1, len(ids) - 1)) AS i FROM t), g AS (SELECT ids[i : i + 2] AS g FROM i) SELECT array_to_string(g, ' ') AS gram, count(*) AS n FROM g GROUP BY 1"
+
+
+@query("tokens_ngrams", _NGRAMS)
+@query("tokens_ngrams_whole", _NGRAMS)
 def ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ids(spark, sf_dir).select(F.explode(K.ngrams(F.col("ids"), 3)).alias("g"))
     return rows.groupBy(F.array_join(F.transform("g", lambda x: x.cast("string")), " ").alias("gram")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "tokens_masked_whole",
-    f"""WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS i FROM t),
+_MASKED = f"""WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS i FROM t),
 d AS (SELECT doc_id, i, x, {_drawn(1)} < 0.15 AND x <> 1 AS chosen, {_drawn(2)} AS how, floor({_drawn(3)} * 100)::INT AS other FROM e)
-SELECT doc_id, i::INT AS pos, CASE WHEN chosen AND how < 0.8 THEN 103 WHEN chosen AND how < 0.9 THEN other ELSE x END::INT AS input_id, CASE WHEN chosen THEN x ELSE -100 END::INT AS label FROM d""",
-)
+SELECT doc_id, i::INT AS pos, CASE WHEN chosen AND how < 0.8 THEN 103 WHEN chosen AND how < 0.9 THEN other ELSE x END::INT AS input_id, CASE WHEN chosen THEN x ELSE -100 END::INT AS label FROM d"""
+
+
+@query("tokens_masked", _MASKED)
+@query("tokens_masked_whole", _MASKED)
 def masked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, labels = K.masked(F.col("ids"), F.col("doc_id"), 103, 100, [1])
     rows = ids(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(new.alias("i"), labels.alias("label"))).alias("pos", "z"))
@@ -176,7 +158,7 @@ def processors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "decode_banned_ngrams",
     r"""WITH t AS (SELECT doc_id, [least(len(w), 99) % 10 FOR w IN regexp_extract_all(text, '[^ \t-\r]+')] AS s FROM documents)
-SELECT DISTINCT doc_id, s[i + 2]::INT AS token FROM t, range(1, 20000) r(i) WHERE i + 2 <= len(s) AND s[i] = s[-2] AND s[i + 1] = s[-1]""",
+SELECT DISTINCT doc_id, s[i + 2]::INT AS token FROM (SELECT doc_id, s, unnest(range(1, len(s)::BIGINT)) AS i FROM t) WHERE i + 2 <= len(s) AND s[i] = s[-2] AND s[i + 1] = s[-1]""",
 )
 def banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ids(spark, sf_dir).select("doc_id", F.posexplode(F.transform("ids", lambda x: x % 10)).alias("pos", "token"))
@@ -200,10 +182,10 @@ def beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "decode_hypotheses",
-    """SELECT label AS batch, vec_id AS beam, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE / pow(1 + vec_id % 7, 0.6) DESC, vec_id) AS place FROM embeddings QUALIFY place <= 4""",
+    """SELECT label AS batch, vec_id AS beam, row_number() OVER (PARTITION BY label ORDER BY round(list_sum(embedding::DOUBLE[]), 9) / pow(1 + vec_id % 7, 0.6) DESC, vec_id) AS place FROM embeddings QUALIFY place <= 4""",
 )
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("batch"), F.col("vec_id").alias("beam"), F.lit(0).alias("token"), (1 + F.col("vec_id") % 7).alias("length"), F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("batch"), F.col("vec_id").alias("beam"), F.lit(0).alias("token"), (1 + F.col("vec_id") % 7).alias("length"), F.round(V.total(V.doubles(F.col("embedding"))), 9).alias("score"))
     return D.best_hypotheses(rows, 4, 0.6).select("batch", "beam", F.col("place").cast("bigint").alias("place"))
 
 
