@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +13,18 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Full-width and CJK punctuation, and what stands for each.
 WIDE = "，、：？！（）；「」“”’‘…－０１２３４５６７８９"
 NARROW = ",,:?!();\"\"\"\"''.-0123456789"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Dashes, an ellipsis and an accent, and what stands for each; runs of marks that get space around them.
+STANDARD = {"—": "-", "–": "-", "―": "-", "…": "...", "´": "'"}
+SPACED_RUNS = r"(-+|~+|!+|\"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)"
+#: Pairs of old and new text of tweets, one after the other: each works on what the one before has left.
+TWEET_PAIRS = [
+    ("cannot ", "can not "), ("n't ", " n't "), ("n 't ", " n't "), ("ca n't", "can't"), ("ai n't", "ain't"), ("'m ", " 'm "), ("'re ", " 're "), ("'s ", " 's "), ("'ll ", " 'll "),
+    ("'d ", " 'd "), ("'ve ", " 've "), (" p . m .", "  p.m."), (" p . m ", " p.m "), (" a . m .", " a.m."), (" a . m ", " a.m "),
+]
+#: A handle: twenty characters that no @ follows, or fewer that end before one.
+HANDLE = r"(?<![A-Za-z0-9_!@#$%&*])@(?:[A-Za-z0-9_]{20}(?!@)|[A-Za-z0-9_]{1,19}(?![A-Za-z0-9_]*@))"
+#: Entities whose character isn't the one of their published code point: a plain space, and the one of XML.
+ENTITIES = {**{f"&{name};": chr(code) for name, code in name2codepoint.items()}, "&nbsp;": " ", "&apos;": "'"}
 
 
 def normalize_answer(s: Column) -> Column:
@@ -24,11 +38,29 @@ def whitespace_tokens(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"([^ \t-\r]+)"), F.lit(1))
 
 
+def _plain() -> dict[str, str]:
+    """Letters of the Latin, Greek and Cyrillic blocks with accents -> the letter they decompose into."""
+    out = {}
+    for c in map(chr, [*range(0xC0, 0x590), *range(0x1E00, 0x2000)]):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if base != c and len(base) == 1:
+            out[c] = base
+    return out
+
+
+_PLAIN = _plain()
+
+
+def strip_accents(s: Column) -> Column:
+    return F.regexp_replace(F.translate(s, "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{Mn}", "")
+
+
 def basic_tokens(s: Column, lower: bool = True) -> Column:
-    """Words and single ASCII punctuation marks; control characters go, CJK characters stand alone."""
+    """Words and single punctuation marks (of ASCII and of any other script); control characters go, CJK
+    characters stand alone; in lower case accents go too."""
     s = F.regexp_replace(s, r"[\x00-\x08\x0e-\x1f\x7f]", "")
-    s = F.lower(s) if lower else s
-    return F.regexp_extract_all(s, F.lit(r"([!-/:-@\[-`{-~]|[一-鿿㐀-䶿]|[^ \t-\r!-/:-@\[-`{-~一-鿿㐀-䶿]+)"), F.lit(1))
+    s = strip_accents(F.lower(s)) if lower else s
+    return F.regexp_extract_all(s, F.lit(r"([!-/:-@\[-`{-~\p{P}]|[一-鿿㐀-䶿]|[^ \t-\r\p{Zs}!-/:-@\[-`{-~\p{P}一-鿿㐀-䶿]+)"), F.lit(1))
 
 
 def clean_up_tokenization(s: Column) -> Column:
@@ -39,9 +71,9 @@ def clean_up_tokenization(s: Column) -> Column:
 
 def text_standardize(s: Column) -> Column:
     """Dashes, ellipses and accents to ASCII; space around runs of punctuation and line feeds; no surplus space."""
-    for old, new in (("—", "-"), ("–", "-"), ("―", "-"), ("…", "..."), ("´", "'")):
+    for old, new in STANDARD.items():
         s = F.replace(s, F.lit(old), F.lit(new))
-    s = F.regexp_replace(s, r"(-+|~+|!+|\"+|;+|\?+|\++|,+|\)+|\(+|\\+|/+|\*+|\[+|\]+|\}+|\{+|\|+|_+)", " $1 ")
+    s = F.regexp_replace(s, SPACED_RUNS, " $1 ")
     s = F.regexp_replace(s, r"[ \t\r\f\x0b]*\n[ \t\r\f\x0b]*", " \n ")
     return F.regexp_replace(F.regexp_replace(s, r"[^\S\n]+", " "), r"^[ \t-\r]+|[ \t-\r]+$", "")
 
@@ -61,7 +93,7 @@ def reduce_lengthening(s: Column) -> Column:
 
 
 def remove_handles(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?<![A-Za-z0-9_!@#$%&*])@[A-Za-z0-9_]{1,20}(?![A-Za-z0-9_]|@)", " ")
+    return F.regexp_replace(s, HANDLE, " ")
 
 
 def normalize_tweet_token(t: Column) -> Column:
@@ -72,16 +104,27 @@ def normalize_tweet_token(t: Column) -> Column:
 def normalize_tweet(s: Column) -> Column:
     """Handles and addresses by name; contractions cut off; a.m. and p.m. put together."""
     s = F.array_join(F.transform(whitespace_tokens(F.replace(F.replace(s, F.lit("’"), F.lit("'")), F.lit("…"), F.lit("..."))), normalize_tweet_token), " ")
-    for old, new in (("cannot ", "can not "), ("n't ", " n't "), ("n 't ", " n't "), ("ca n't", "can't"), ("ai n't", "ain't"), ("'m ", " 'm "), ("'re ", " 're "), ("'s ", " 's "), ("'ll ", " 'll "), ("'d ", " 'd "), ("'ve ", " 've "), (" p . m .", "  p.m."), (" p . m ", " p.m "), (" a . m .", " a.m."), (" a . m ", " a.m ")):
+    for old, new in TWEET_PAIRS:
         s = F.replace(s, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(s, r"[ \t-\r]+", " "))
 
 
 def html_entities(s: Column) -> Column:
-    """The named entities of markup and quotes; & last, so nothing is decoded twice."""
-    for old, new in ENTITIES.items():
-        s = F.replace(s, F.lit(old), F.lit(new))
-    return s
+    """The named entities of HTML and the numbered ones; what is made of one isn't decoded again, unknown names stay."""
+    pattern = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+    parts = F.split(F.regexp_replace(s, f"({pattern})", "\x01$1\x01"), "\x01")
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def one(p: Column) -> Column:
+        digits = F.regexp_extract(p, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+        number = F.conv(digits, 16, 16)
+        number = F.when(p.rlike("^&#[xX]"), number).otherwise(F.conv(digits, 10, 16))
+        code = F.conv(number, 16, 10).cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+        return F.when(p.rlike("^&#[xX]?[0-9a-fA-F]+;$") & valid, char).otherwise(F.coalesce(F.try_element_at(known, p), p))
+
+    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("&")), one(p)).otherwise(p)), "")
 
 
 def narrow_punctuation(s: Column) -> Column:

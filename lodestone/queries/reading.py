@@ -47,7 +47,7 @@ def improved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", span.alias("s")).select("item_id", "s.first", "s.last")
 
 
-BASIC = r"regexp_extract_all(lower({s}), '[!-/:-@\[-`{{-~]|[^ \t-\r!-/:-@\[-`{{-~]+')"
+BASIC = r"regexp_extract_all(strip_accents(lower({s})), '[!-/:-@\[-`{{-~\pP]|[^ \t-\r\p{{Zs}}!-/:-@\[-`{{-~\pP]+')"
 
 
 @query(

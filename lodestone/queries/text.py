@@ -27,7 +27,15 @@ _simple("text_normalize_answer", norm_sql("{s}").replace("{-~", "{{-~"), X.norma
 _simple("text_clean_up_tokenization", "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({s}, ' .', '.'), ' ?', '?'), ' !', '!'), ' ,', ','), ' '' ', ''''), ' n''t', 'n''t'), ' ''m', '''m'), ' ''s', '''s'), ' ''ve', '''ve'), ' ''re', '''re')", X.clean_up_tokenization)
 _simple("text_tokenize_numbers", r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({s}, '(\d),(\d)', '\1 @,@ \2', 'g'), '(\d),(\d)', '\1 @,@ \2', 'g'), '(\d)\.(\d)', '\1 @.@ \2', 'g'), '(\d)\.(\d)', '\1 @.@ \2', 'g')", X.tokenize_numbers)
 _simple("text_number_round_trip", "replace(replace({s}, ' @,@ ', ','), ' @.@ ', '.')", lambda s: X.detokenize_numbers(X.tokenize_numbers(s)))
-_simple("text_html_entities", "replace(replace(replace(replace(replace(replace(replace({s}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')", X.html_entities, "pages", "page_id", "html")
+def _entities_sql() -> str:
+    """Each named entity replaced in turn, & last, so that nothing is decoded twice."""
+    out, quoted = "{s}", lambda t: "'" + t.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
+    for old, new in sorted(X.ENTITIES.items(), key=lambda pair: pair[0] == "&amp;"):
+        out = f"replace({out}, {quoted(old)}, {quoted(new)})"
+    return out
+
+
+_simple("text_html_entities", _entities_sql(), X.html_entities, "pages", "page_id", "html")
 _simple("text_narrow_punctuation", "translate(regexp_replace({s}, '。[ \\t-\\r]*', '. ', 'g'), '" + X.WIDE.replace("'", "''") + "', '" + X.NARROW.replace("'", "''") + "')", X.narrow_punctuation)
 _simple("text_drop_control", r"regexp_replace({s}, '[\x00-\x1f\x7f-\x9f]', '', 'g')", X.drop_control)
 _simple(
@@ -44,7 +52,7 @@ def whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").alias("n"), F.get("t", F.lit(0)).alias("first"), F.element_at("t", -1).alias("last"))
 
 
-@query("text_basic_tokens", rf"SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[!-/:-@\[-`{{-~]|[^ \t-\r!-/:-@\[-`{{-~]+') AS t FROM documents)")
+@query("text_basic_tokens", rf"SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[!-/:-@\[-`{{-~\pP]|[^ \t-\r\p{{Zs}}!-/:-@\[-`{{-~\pP]+') AS t FROM documents)")
 def basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "documents").select("doc_id", X.basic_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
