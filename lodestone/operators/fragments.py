@@ -23,30 +23,44 @@ def heavy_atoms(symbols: Column) -> Column:
     return F.size(F.filter(symbols, lambda s: s != "H"))
 
 
-def _sides(n: int, bonds: list[tuple[int, int, int]], cut: int) -> tuple[list[int], list[int]] | None:
-    """The two sides of a bond, or None if it is in a ring; atoms are numbered from 1."""
-    near: dict[int, list[int]] = {}
+def _bridges(n: int, bonds: list[tuple[int, int, int]]) -> dict[int, tuple[list[int], list[int]]]:
+    """Bonds that aren't in a ring, each with the atoms on the side of its first atom and on that of its second; atoms
+    are numbered from 1.  One depth-first search: a bond to an atom from which no way leads back above it.
+
+    A molecule of several components isn't cut into two pieces, so it has none.
+    """
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
     for i, (a, b, _) in enumerate(bonds):
-        if i != cut:
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-    a, b, _ = bonds[cut]
-    seen, todo = {a}, [a]
-    while todo:
-        for x in near.get(todo.pop(), []):
-            if x == b:
-                return None
-            if x not in seen:
-                seen.add(x)
-                todo.append(x)
-    other, todo = {b}, [b]
+        near[a].append((b, i))
+        near[b].append((a, i))
+    order, entered, low, cuts = [1], {1: 0}, {1: 0}, {}
+    todo = [(1, -1, iter(near[1]))] if n else []
     while todo:
-        for x in near.get(todo.pop(), []):
-            if x not in other:
-                other.add(x)
-                todo.append(x)
-    # A molecule of several components isn't cut into two pieces.
-    return (sorted(seen), sorted(other)) if len(seen) + len(other) == n else None
+        atom, by, ways = todo[-1]
+        for other, i in ways:
+            if i == by:
+                continue
+            if other in entered:
+                low[atom] = min(low[atom], entered[other])
+            else:
+                entered[other] = low[other] = len(order)
+                order.append(other)
+                todo.append((other, i, iter(near[other])))
+                break
+        else:
+            todo.pop()
+            if todo:
+                above = todo[-1][0]
+                low[above] = min(low[above], low[atom])
+                if low[atom] > entered[above]:
+                    cuts[by] = (atom, entered[atom], len(order))
+    if len(order) != n:
+        return {}
+    out = {}
+    for i, (atom, first, past) in cuts.items():
+        below, rest = sorted(order[first:past]), sorted(order[:first] + order[past:])
+        out[i] = (below, rest) if bonds[i][0] == atom else (rest, below)
+    return out
 
 
 def _cuts(key: str, only_single: bool, most: float):
@@ -57,8 +71,9 @@ def _cuts(key: str, only_single: bool, most: float):
                 symbols = [a["symbol"] for a in atoms]
                 weight = lambda side: sum(MASSES.get(symbols[i - 1], 0.0) for i in side)  # noqa: E731, B023
                 edges = [(b["a"], b["b"], b["order"]) for b in bonds]
-                for i, (a, b, order) in enumerate(edges):
-                    if only_single and order != 1 or (sides := _sides(len(symbols), edges, i)) is None:
+                for i, sides in sorted(_bridges(len(symbols), edges).items()):
+                    a, b, order = edges[i]
+                    if only_single and order != 1:
                         continue
                     heavier = weight(sides[0]) >= weight(sides[1])
                     parent, fragment = sides if heavier else sides[::-1]

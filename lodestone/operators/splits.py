@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.tokens import chance, portable_hash
 
@@ -27,10 +26,12 @@ def without_overlap(rows: DataFrame, item: str, split: str = "split", method: st
 
 
 def capped(rows: DataFrame, split: str, key: str, most: dict[str, int], seed: int = 1) -> DataFrame:
-    """At most so many rows of each split, the first by hash."""
-    caps = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
-    order = Window.partitionBy(split).orderBy(portable_hash(F.col(key), seed), key)
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.coalesce(F.col("_n") <= caps[F.col(split)], F.lit(True))).drop("_n")
+    """At most so many rows of each split, the first by hash: a bounded top-k for each capped split; rows of the others
+    are left alone."""
+    out = rows.where(F.col(split).isNull() | ~F.col(split).isin(list(most)))
+    for name, n in most.items():
+        out = out.unionByName(rows.where(F.col(split) == name).orderBy(portable_hash(F.col(key), seed), key).limit(n))
+    return out
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 1) -> DataFrame:
