@@ -110,3 +110,17 @@ def split_on_added(text: Column, added: list[str]) -> Column:
 def sequence_lengths(single: int, is_same: bool) -> tuple[int, int]:
     """Length of one sequence without its two marks, and of both together; two of the same task double it."""
     return single - 2, 2 * single if is_same else single
+
+
+def pair_sample(a: Column, b: Column, same: Column, single: int, cls: int, sep: int) -> Column:
+    """input_ids, token_type_ids, same and valid of a sample of one text or two (b null): each text may have single
+    tokens less its marks; a longer or empty one makes the row invalid, all zeros."""
+    length, whole = sequence_lengths(single, True)
+    fits = lambda x: (F.size(x) > 0) & (F.size(x) <= length)
+    valid = F.coalesce(fits(a) & (b.isNull() | fits(b)), F.lit(False))
+    second = F.coalesce(F.concat(b, F.array(F.lit(sep))), F.slice(a, 1, 0))
+    ids = F.concat(F.array(F.lit(cls)), a, F.array(F.lit(sep)), second)
+    types = F.concat(F.array_repeat(F.lit(0), F.size(a) + 2), F.array_repeat(F.lit(1), F.size(second)))
+    fill = lambda x: F.concat(x, F.array_repeat(F.lit(0), F.greatest(F.lit(0), whole - F.size(x))))
+    zeros = F.array_repeat(F.lit(0), whole)
+    return F.struct(F.when(valid, fill(ids)).otherwise(zeros).alias("input_ids"), F.when(valid, fill(types)).otherwise(zeros).alias("token_type_ids"), F.when(valid & b.isNotNull(), same.cast("int")).otherwise(0).alias("same"), valid.alias("valid"))

@@ -54,6 +54,12 @@ def choquet(v: Column, power: float = 1.0) -> Column:
     return weighted(v, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pow((i + 1) / n, F.lit(power)) - F.pow(i / n, F.lit(power))))
 
 
+def choquet_symmetric(v: Column, power: float = 1.0) -> Column:
+    """The integral of the positive parts less that of the negative parts."""
+    part = lambda sign: F.transform(v, lambda x: F.greatest(sign * x, F.lit(0.0)))
+    return choquet(part(1), power) - choquet(part(-1), power)
+
+
 def sugeno(v: Column, power: float = 1.0) -> Column:
     """Sugeno integral with the same measure."""
     n = F.size(v)
@@ -61,13 +67,15 @@ def sugeno(v: Column, power: float = 1.0) -> Column:
 
 
 def operator(name: str) -> Callable[[Column], Column]:
-    """An aggregation of an array by name: mean, owa1-3, choquet, sugeno, owa_exp_smooth{1,2}_{01..09}."""
+    """An aggregation of an array by name: mean, owa1-3, choquet, choquet_symmetric, sugeno, owa_exp_smooth{1,2}_{01..09}."""
     if name == "mean":
         return lambda v: total(v) / F.size(v)
     if name in QUANTIFIERS:
         return lambda v: weighted(v, quantifier_weights(F.size(v), QUANTIFIERS[name]))
     if name == "choquet":
         return choquet
+    if name == "choquet_symmetric":
+        return choquet_symmetric
     if name == "sugeno":
         return sugeno
     if name.startswith("owa_exp_smooth"):
@@ -76,4 +84,4 @@ def operator(name: str) -> Callable[[Column], Column]:
     raise ValueError(f"unknown aggregation: {name}")
 
 
-OPERATORS = ["mean", *QUANTIFIERS, "choquet", "sugeno", *(f"owa_exp_smooth{f}_0{a}" for f in (1, 2) for a in range(1, 10))]
+OPERATORS = ["mean", *QUANTIFIERS, "choquet", "choquet_symmetric", "sugeno", *(f"owa_exp_smooth{f}_0{a}" for f in (1, 2) for a in range(1, 10))]

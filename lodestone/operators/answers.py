@@ -17,6 +17,15 @@ def max_context(spans: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "pos").agg(F.max_by("start", F.struct(score, -F.col("start"))).alias("start"))
 
 
+def with_results(features: DataFrame, results: DataFrame) -> DataFrame:
+    """The features of each example (example, unique_id, ...) with the model's results (unique_id, ...), numbered from 0
+    within the example; a feature without a result is an error."""
+    both = features.join(results.withColumn("_found", F.lit(True)), "unique_id", "left")
+    order = Window.partitionBy("example").orderBy("unique_id")
+    feature = F.when(F.col("_found"), F.row_number().over(order) - 1).otherwise(F.raise_error(F.concat(F.lit("no result for "), F.col("unique_id").cast("string"))).cast("int"))
+    return both.withColumn("feature", feature).drop("_found")
+
+
 def candidates(rows: DataFrame, key: str, n_best: int, longest: int) -> DataFrame:
     """(key, feature, start_at, end_at, score) of the spans between the n_best starts and ends of each feature,
     from tokens (key, feature, pos, start, end, usable): both ends are usable, and none is longer than longest."""

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import atoms as A
+from ..functions import collating as C
 from ..functions import owa
+from ..functions import registry as G
 from ..functions import statistics as ST
 from ..functions.vectors import doubles, total
 from ..operators import retrieval, sequences
@@ -189,3 +191,61 @@ def bench_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read(spark, sf_dir, "part").select(F.col("p_name").alias("smiles"), F.col("p_size").alias("p size"), F.col("p_retailprice").alias("retail price"), "p_type")
     return bench(single_tasks(rows, "`p size`", "p_type", "BRASS")).select("SMILES", "p_size", "retail_price")
+
+
+@query("fuzzy_symmetric", """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, len(embedding) AS n FROM embeddings), s AS (SELECT vec_id, n, 1 AS sign, greatest(x, 0) AS x FROM v UNION ALL SELECT vec_id, n, -1, greatest(-x, 0) FROM v),
+i AS (SELECT *, row_number() OVER (PARTITION BY vec_id, sign ORDER BY x DESC) - 1 AS i FROM s) SELECT vec_id, round(sum(sign * x * (pow((i + 1) / n, 2) - pow(i / n, 2))), 8) AS choquet FROM i GROUP BY 1""")
+def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(owa.choquet_symmetric(doubles(F.col("embedding")), 2.0), 8).alias("choquet"))
+
+
+@query("fingerprint_registry", """WITH e AS (SELECT vec_id, [(x > 0.5)::INT FOR x IN embedding] AS a, [(x < -0.5)::INT FOR x IN embedding] AS b FROM embeddings) SELECT 'rdk10' AS kind, vec_id, array_to_string(a, '') AS bits FROM e UNION ALL SELECT 'rdk10_x_morgan', vec_id, array_to_string(list_transform(a, lambda x, i: greatest(x, b[i])), '') FROM e UNION ALL SELECT 'molbert', vec_id, array_to_string(list_reverse(a), '') FROM e""")
+def fingerprint_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = lambda test: F.transform("embedding", lambda x: test(x).cast("int"))
+    a = bits(lambda x: x > 0.5)
+    columns = {"rdk10": a, "morgan": bits(lambda x: x < -0.5), "molbert": F.reverse(a)}
+    each = [F.struct(F.lit(k).alias("kind"), F.array_join(F.transform(G.fingerprint(k, columns), lambda x: x.cast("string")), "").alias("bits")) for k in ("rdk10", "rdk10_x_morgan", "molbert")]
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.array(*each))).select("kind", "vec_id", "bits")
+
+
+@query("atom_featurizers", f"WITH {ATOMS} SELECT vec_id, 'receptor' AS kind, {MASK} AS mask, {RADIUS} AS radius FROM a UNION ALL SELECT vec_id, 'ligand', {LIGAND}, {RADIUS} FROM a UNION ALL SELECT vec_id, 'carbons', (num = 6)::INT, 2.0 FROM a")
+def featurizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two of the library, and one that a user adds."""
+    G.FEATURIZERS["carbons"] = lambda n: ((n == 6).cast("int"), F.lit(2.0))
+    each = [F.struct(F.lit(k).alias("kind"), G.featurized(k, F.col("num")).alias("f")) for k in ("receptor", "ligand", "carbons")]
+    rows = atoms(spark, sf_dir).select("vec_id", "num").select("vec_id", F.inline(F.array(*each)))
+    return rows.select("vec_id", "kind", F.col("f.mask").cast("int").alias("mask"), F.col("f.radius").cast("double").alias("radius"))
+
+
+@query("featurizer_validity", "SELECT vec_id, vec_id % 4 > 0 AS valid, round(CASE WHEN vec_id % 4 > 0 THEN list_sum(embedding::DOUBLE[]) ELSE 0 END, 8) AS total FROM embeddings")
+def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", G.validated(doubles(F.col("embedding")), F.col("vec_id") % 4 > 0, 64).alias("f"))
+    return rows.select("vec_id", "f.valid", F.round(total(F.col("f.features")), 8).alias("total"))
+
+
+@query("descriptor_subset", "SELECT p_brand AS name FROM (SELECT DISTINCT p_brand FROM part) ORDER BY 1 LIMIT 7")
+def descriptor_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands stand for descriptors, of which there are few."""
+    names = [r["p_brand"] for r in read(spark, sf_dir, "part").select("p_brand").distinct().collect()]
+    return spark.createDataFrame([(n,) for n in G.descriptors(names, 7)], "name string")
+
+
+@query(
+    "examples_of_pairs",
+    f"""WITH {IDS}, n AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS nth, count(*) OVER () AS total FROM t WHERE ids IS NOT NULL), d AS (SELECT doc_id, ids[1 : doc_id % 40] AS a, ids[doc_id % 40 + 1 : doc_id % 40 + 20] AS own, {h_sql('doc_id', 1)} % 3 AS kind, (nth + 1 + {h_sql('doc_id', 2)} % (total - 1)) % total AS other FROM n),
+p AS (SELECT d.doc_id, a, kind, CASE kind WHEN 1 THEN own WHEN 2 THEN n.ids[1:20] END AS b FROM d JOIN n ON n.nth = other), v AS (SELECT *, len(a) BETWEEN 1 AND 30 AND (b IS NULL OR len(b) BETWEEN 1 AND 30) AS valid FROM p)
+SELECT doc_id, valid, CASE WHEN valid AND kind = 1 THEN 1 ELSE 0 END::INT AS same, CASE WHEN valid THEN len(a) + 2 + CASE WHEN b IS NULL THEN 0 ELSE len(b) + 1 END ELSE 0 END::BIGINT AS n, CASE WHEN valid THEN 101 + 102 * (1 + (b IS NOT NULL)::INT) + list_sum(a) + coalesce(list_sum(b), 0) ELSE 0 END::BIGINT AS total FROM v""",
+)
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text alone, with what follows in its document, or with the beginning of another one; too long or empty ones are zeros."""
+    from ..functions.tokens import portable_hash
+
+    rows = sequences.numbered(ids(spark, sf_dir).where("ids is not null"), ["doc_id"])
+    n = rows.count()
+    k = (F.col("doc_id") % 40).cast("int")
+    rows = rows.withColumn("kind", portable_hash(F.col("doc_id"), 1) % 3).withColumn("other", F.pmod(F.col("nth") + 1 + portable_hash(F.col("doc_id"), 2) % (n - 1), F.lit(n)))
+    rows = rows.join(rows.select(F.col("nth").alias("other"), F.slice("ids", 1, 20).alias("foreign")), "other")
+    b = F.when(F.col("kind") == 1, F.slice(F.col("ids"), k + 1, F.lit(20))).when(F.col("kind") == 2, F.col("foreign"))
+    rows = rows.select("doc_id", C.pair_sample(F.slice(F.col("ids"), F.lit(1), k), b, F.col("kind") == 1, 32, 101, 102).alias("s"))
+    size = F.size(F.filter("s.input_ids", lambda x: x != 0))
+    return rows.select("doc_id", "s.valid", "s.same", size.cast("bigint").alias("n"), total(doubles(F.col("s.input_ids"))).cast("bigint").alias("total"))

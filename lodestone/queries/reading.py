@@ -283,3 +283,11 @@ def offset_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = R.char_to_token(F.col("o"), F.floor(F.char_length("text") / 2).cast("int"))
     chars = R.token_to_chars(F.col("o"), F.lit(3))
     return rows.select("item_id", at.alias("token"), chars["start"].alias("start"), chars["end"].alias("end"), span["start"].alias("first"), span["end"].alias("past"))
+
+
+@query("squad_features_with_results", "SELECT vec_id // 5 AS example, (vec_id % 5)::INT AS feature, vec_id AS unique_id, round(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 8) AS null_score FROM embeddings")
+def features_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    features = rows.select(F.floor(F.col("vec_id") / 5).alias("example"), F.col("vec_id").alias("unique_id"))
+    results = rows.select(F.col("vec_id").alias("unique_id"), F.get("embedding", F.lit(0)).cast("double").alias("s"), F.get("embedding", F.lit(1)).cast("double").alias("e"))
+    return A.with_results(features, results).select("example", "feature", "unique_id", F.round(F.col("s") + F.col("e"), 8).alias("null_score"))
