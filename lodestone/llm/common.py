@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir, written
 
-__all__ = ["BROADCAST_BYTES", "arrow_rows", "crc32_of", "fits", "free_name", "new_path", "shared_dir", "sized", "table", "written"]
+__all__ = ["BROADCAST_BYTES", "arrow_rows", "crc32_of", "fits", "free_name", "new_path", "released", "shared_dir", "sized", "table", "written"]
 
 #: A side is broadcast only when its counted rows, at this many bytes each, stay under the bound.
 BROADCAST_BYTES = 64 << 20
@@ -36,6 +38,19 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def released(task):
+    """task (batches -> batches), after which its worker gives the memory that Arrow holds in reserve back."""
+
+    @functools.wraps(task)
+    def rows(batches):
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return rows
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with as many underscores behind it as it takes to be none of columns."""
     taken = {c.lower() for c in columns}

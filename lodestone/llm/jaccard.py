@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BROADCAST_BYTES, arrow_rows, free_name, sized, written
+from .common import BROADCAST_BYTES, arrow_rows, free_name, released, sized, written
 from .components import connected_components
 from .shingles import digest, mix, shingle_sets
 
@@ -71,6 +71,7 @@ def _band_keys(s: np.ndarray) -> np.ndarray:
     return keys[lowest.any(axis=1)].view(np.int64)
 
 
+@released
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with the tokens where the task meets the set first, and rows (token,
     held) for the tokens frequent in a portion of the sets."""
@@ -145,6 +146,7 @@ def _edges(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+@released
 def _leader_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of nodes with leaders of their group, one for each that connects something new.
 
@@ -194,6 +196,7 @@ def _leader_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _edges(a, b)
 
 
+@released
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of the nodes that ask with a member of each other cell of the block they open.
 
@@ -260,7 +263,7 @@ def _prefix_rows(hot):
             if held:
                 yield out()
 
-    return rows
+    return released(rows)
 
 
 def _needed(m: Column, lo: Column, hi: Column) -> Column:
@@ -331,9 +334,9 @@ def _matrix(sets: DataFrame, moved: DataFrame, count: int, order) -> tuple[DataF
     prefix = sets.select("digest", "tokens").mapInArrow(_prefix_rows(order), "token bigint, digest binary, n int, indexed boolean").repartition(F.col("token"))
     several = prefix.withColumn("lo", F.min("digest").over(of_token)).withColumn("hi", F.max("digest").over(of_token)).where("lo <> hi")
     several = several.select("token", "digest", "n", "indexed").dropDuplicates(["token", "digest"])
-    placed = several.join(sized(moved, count, 96), "digest", "left")
-    placed = placed.select("token", "digest", "n", "indexed", F.coalesce("grp", "digest").alias("grp"), F.coalesce("cell", "digest").alias("cell"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
-    placed = written(placed, "jaccard-placed")
+    # A node of no group is its own one and its own cell, which needn't be written.
+    placed = several.join(sized(moved, count, 96), "digest", "left").select("token", "digest", "n", "indexed", "grp", "cell", "lo", "hi")
+    placed = written(placed, "jaccard-placed").select("token", "digest", "n", "indexed", F.coalesce("grp", "digest").alias("grp"), F.coalesce("cell", "digest").alias("cell"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
     matrix = placed.where("indexed").groupBy("token", F.col("grp").alias("other")).agg(F.min("cell").alias("first"), F.max("cell").alias("last"), F.min("lo").alias("least"), F.max("hi").alias("most"))
     return placed.select("token", "digest", "n", "grp", "cell"), written(matrix, "jaccard-matrix")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import arrow_rows, written
+from .common import arrow_rows, released, written
 from .tokens import BYTE_LEVEL, encoder
 
 SEQ_LEN = 2048
@@ -107,7 +107,7 @@ def _pieces(path: str, seq_len: int, end_id: int):
                     a, b, k = b, b + seq_len, k + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows
+    return released(rows)
 
 
 def _assigned(places):

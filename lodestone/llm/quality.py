@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, written
+from .common import crc32_of, released, written
 
 PASSAGE = 512
 #: At most so many labelled documents of each label are learned from, of so many bytes together; all of their passages are.
@@ -174,6 +174,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(crc32_of(doc_id), F.lit(4)) == 2, F.lit(False))
 
 
+@released
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = []
@@ -238,7 +239,7 @@ def _scored(model):
             found = [model.value.forward(x, first)["p"] for x, first in encode_passages(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names[:-1], "score"])
 
-    return rows
+    return released(rows)
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
@@ -269,4 +270,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = [shared.value.forward(x, first)["p"] for x, first in encode_passages(batch.column(batch.schema.get_field_index("text")))]
             yield batch.filter(pa.array(np.concatenate(found) >= THRESHOLD if found else np.zeros(0, bool)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(released(rows), docs.schema)
