@@ -14,7 +14,7 @@ from .vectors import bit_or
 FINGERPRINTS: dict[str, Callable[[dict[str, Column]], Column]] = {
     "rdk10": lambda c: c["rdk10"],
     "rdk10_x_morgan": lambda c: bit_or(c["rdk10"], c["morgan"]),
-    "molbert": lambda c: c["molbert"],
+    "language_model": lambda c: c["language_model"],
 }
 
 #: Name -> a function from the atomic number to mask and radius.

@@ -199,12 +199,12 @@ def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(owa.choquet_symmetric(doubles(F.col("embedding")), 2.0), 8).alias("choquet"))
 
 
-@query("fingerprint_registry", """WITH e AS (SELECT vec_id, [(x > 0.5)::INT FOR x IN embedding] AS a, [(x < -0.5)::INT FOR x IN embedding] AS b FROM embeddings) SELECT 'rdk10' AS kind, vec_id, array_to_string(a, '') AS bits FROM e UNION ALL SELECT 'rdk10_x_morgan', vec_id, array_to_string(list_transform(a, lambda x, i: greatest(x, b[i])), '') FROM e UNION ALL SELECT 'molbert', vec_id, array_to_string(list_reverse(a), '') FROM e""")
+@query("fingerprint_registry", """WITH e AS (SELECT vec_id, [(x > 0.5)::INT FOR x IN embedding] AS a, [(x < -0.5)::INT FOR x IN embedding] AS b FROM embeddings) SELECT 'rdk10' AS kind, vec_id, array_to_string(a, '') AS bits FROM e UNION ALL SELECT 'rdk10_x_morgan', vec_id, array_to_string(list_transform(a, lambda x, i: greatest(x, b[i])), '') FROM e UNION ALL SELECT 'language_model', vec_id, array_to_string(list_reverse(a), '') FROM e""")
 def fingerprint_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = lambda test: F.transform("embedding", lambda x: test(x).cast("int"))
     a = bits(lambda x: x > 0.5)
-    columns = {"rdk10": a, "morgan": bits(lambda x: x < -0.5), "molbert": F.reverse(a)}
-    each = [F.struct(F.lit(k).alias("kind"), F.array_join(F.transform(G.fingerprint(k, columns), lambda x: x.cast("string")), "").alias("bits")) for k in ("rdk10", "rdk10_x_morgan", "molbert")]
+    columns = {"rdk10": a, "morgan": bits(lambda x: x < -0.5), "language_model": F.reverse(a)}
+    each = [F.struct(F.lit(k).alias("kind"), F.array_join(F.transform(G.fingerprint(k, columns), lambda x: x.cast("string")), "").alias("bits")) for k in ("rdk10", "rdk10_x_morgan", "language_model")]
     return read(spark, sf_dir, "embeddings").select("vec_id", F.inline(F.array(*each))).select("kind", "vec_id", "bits")
 
 
