@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import divergence, interaction
 from .ann import nearest
 from .chat import format_chat, read_back, with_control_strings
 from .common import new_path, table
@@ -70,6 +71,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -81,6 +90,11 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_interaction": op13_filter_interaction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_filter_interaction": interaction.ORACLE,
+}
