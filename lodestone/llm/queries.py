@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, interaction
+from . import divergence, interaction, langid
 from .ann import nearest
 from .chat import format_chat, read_back, with_control_strings
 from .common import new_path, table
@@ -71,6 +71,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_language_id": op11_language_id,
     "op12_source_divergence": op12_source_divergence,
     "op13_filter_interaction": op13_filter_interaction,
 }
