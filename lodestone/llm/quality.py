@@ -6,11 +6,12 @@ byte pairs, then a learned layer.  Gated attention ``w . (tanh(V h) * sigmoid(U
 encoded passages, and a logistic unit scores the weighted sum.  All layers are learned together.
 
 The model is fitted with numpy on the driver, on a bounded sample of labelled documents; scoring
-goes over every passage of every document in Spark.
+goes over every passage of every document in Spark, however many a document has, in bounded memory.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 from .common import crc32_of, released, written
 
 PASSAGE = 512
-#: At most so many labelled documents of each label are learned from, of so many bytes together; all of their passages are.
-TRAIN_DOCS, TRAIN_BYTES = 2000, 32 << 20
+#: At most so many labelled documents of each label are learned from, whose features take so many bytes together; all of
+#: their passages are.
+TRAIN_DOCS, TRAIN_BYTES = 2000, 64 << 20
 ENCODED, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 40, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
 #: A passage of so many bytes is drawn half way to the average one, so that a few words aren't odd.
 SHRINK = 40
 _PAIRS = 64
-_CHUNK = 1 << 18
+#: Bytes of a text, and passages, that are encoded at once.
+_CHUNK, _SLICE = 1 << 18, 4096
 
 
 def _byte_classes() -> tuple[np.ndarray, int]:
@@ -51,58 +54,68 @@ _CLASS, _CLASSES = _byte_classes()
 FEATURES = _CLASSES + _PAIRS + 2
 
 
-def _passages(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where passages begin, and each document's first passage; an empty text has one empty passage."""
-    marks = np.zeros(len(data) + 1, bool)
-    marks[np.flatnonzero(data == 10) + 1] = True
-    marks[ends] = True
-    cuts = np.flatnonzero(marks)
+def _begins(data: np.ndarray) -> np.ndarray:
+    """Where the passages of a part of a text begin that begins with one; an empty text has one empty passage."""
+    cuts = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+    cuts = cuts[:-1] if len(cuts) > 1 and cuts[-1] == len(data) else cuts
     lengths = np.diff(np.append(cuts, len(data)))
     pieces = np.maximum(1, -(-lengths // PASSAGE))
-    begins = np.repeat(cuts, pieces) + PASSAGE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    begins = begins[begins < len(data)]
-    empty = ends[:-1][ends[:-1] == ends[1:]]
-    begins = np.sort(np.concatenate([begins, empty]), kind="stable")
-    # An empty document's passage precedes one that begins at the same byte.
-    owner = np.searchsorted(begins, ends[:-1], "left")
-    first = owner + np.array(_ties(ends), np.int64)
-    return begins, first
-
-
-def _ties(ends: np.ndarray) -> list[int]:
-    """How many empty documents right before each one begin at the same byte."""
-    out, run = [], 0
-    for i in range(len(ends) - 1):
-        out.append(run)
-        run = run + 1 if ends[i] == ends[i + 1] else 0
-    return out
-
-
-def _encode_chunk(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begins, first = _passages(data, ends)
-    n = len(begins)
-    lengths = np.diff(np.append(begins, len(data)))
-    owner = np.repeat(np.arange(n), lengths)
-    kinds = np.bincount(owner * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES)
-    pair = np.zeros(len(data), np.int64)
-    pair[:-1] = (data[:-1].astype(np.int64) * 37 + data[1:].astype(np.int64) * 101) % 251 % _PAIRS
-    pair[ends[1:][ends[1:] > ends[:-1]] - 1] = 0  # a document's last byte has no other
-    pairs = np.bincount(owner * _PAIRS + pair, minlength=n * _PAIRS).reshape(n, _PAIRS)
-    size = np.maximum(lengths, 1)[:, None]
-    out = np.concatenate([np.sqrt(kinds / size), np.sqrt(pairs / size), np.log1p(lengths)[:, None] / 6, (lengths == 0)[:, None]], axis=1)
-    return out.astype(np.float32), np.append(first, n)
-
-
-def encode_passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features of all passages of some documents and where each document's begin, a chunk at a time."""
+    return np.repeat(cuts, pieces) + PASSAGE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+
+
+def _parts(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of a text of about _CHUNK bytes, cut where passages begin, and the byte after each (or none)."""
+    at = 0
+    while True:
+        end = min(len(data), at + _CHUNK)
+        if end < len(data):
+            ends = np.flatnonzero(data[at:end] == 10)
+            end = at + (int(ends[-1]) + 1 if len(ends) else _CHUNK // PASSAGE * PASSAGE)
+        yield data[at:end], data[end : end + 1]
+        at = end
+        if at >= len(data):
+            return
+
+
+def _encoded(data: np.ndarray, after: np.ndarray) -> Iterator[np.ndarray]:
+    """Features of the passages of a part of a text, _SLICE of them at a time."""
+    begins = _begins(data)
+    pair = np.zeros(len(data), np.uint8)
+    following = np.concatenate([data[1:], after]).astype(np.int32)
+    pair[: len(following)] = (data[: len(following)].astype(np.int32) * 37 + following * 101) % 251 % _PAIRS  # a text's last byte has no other
+    ends = np.append(begins[1:], len(data))
+    for i in range(0, len(begins), _SLICE):
+        a, b = begins[i], ends[min(i + _SLICE, len(begins)) - 1]
+        lengths = ends[i : i + _SLICE] - begins[i : i + _SLICE]
+        n = len(lengths)
+        owner = np.repeat(np.arange(n), lengths)
+        kinds = np.bincount(owner * _CLASSES + _CLASS[data[a:b]], minlength=n * _CLASSES).reshape(n, _CLASSES)
+        pairs = np.bincount(owner * _PAIRS + pair[a:b], minlength=n * _PAIRS).reshape(n, _PAIRS)
+        size = np.maximum(lengths, 1)[:, None]
+        yield np.concatenate([np.sqrt(kinds / size), np.sqrt(pairs / size), np.log1p(lengths)[:, None] / 6, (lengths == 0)[:, None]], axis=1).astype(np.float32)
+
+
+def _bytes_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each text; null ones are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + _CHUNK, "right")) - 1)
-        yield _encode_chunk(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-        i = j
+    return (data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
+def encode_passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of all passages of some whole documents and where each document's begin, several documents at a time."""
+    held, first, size = [], [0], 0
+    for data in _bytes_of(texts):
+        x = [x for part, after in _parts(data) for x in _encoded(part, after)]
+        held += x
+        first.append(first[-1] + sum(map(len, x)))
+        size += len(data)
+        if size >= _CHUNK or first[-1] >= _SLICE:
+            yield np.concatenate(held), np.array(first)
+            held, first, size = [], [0], 0
+    if held:
+        yield np.concatenate(held), np.array(first)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,6 +143,47 @@ class AttentionModel:
         out["p"] = _sigmoid(out["z"] @ w["c"] + w["b"])
         return out
 
+    def attention(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encoded passages, and what the softmax is taken of."""
+        w = self.weights
+        size = np.expm1(6 * x[:, -2:-1])
+        h = np.tanh(((x - self.mean) / self.scale * (size / (size + SHRINK))) @ w["E"] + w["e"])
+        return h, (np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"])) @ w["w"]
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Of each document; one of many passages is read a slice at a time, carrying the greatest attention so far and
+        the sums of the weights and of the weighted passages relative to it."""
+        found, waiting, n = [], [], 0
+
+        def together() -> np.ndarray:
+            first = np.concatenate([[0], np.cumsum([len(x) for x in waiting])])
+            return self.forward(np.concatenate(waiting), first)["p"]
+
+        for data in _bytes_of(texts):
+            slices = (x for part, after in _parts(data) for x in _encoded(part, after))
+            x = next(slices)
+            more = next(slices, None)
+            if more is None:
+                if n + len(x) > _SLICE and waiting:
+                    found.append(together())
+                    waiting, n = [], 0
+                waiting.append(x)
+                n += len(x)
+                continue
+            if waiting:
+                found.append(together())
+                waiting, n = [], 0
+            top, weight, total = -np.inf, 0.0, np.zeros(ENCODED)
+            for x in itertools.chain([x, more], slices):
+                h, a = self.attention(x)
+                new = max(top, a.max())
+                e, before = np.exp(a - new), np.exp(top - new)
+                top, weight, total = new, weight * before + e.sum(), total * before + e @ h
+            found.append(np.atleast_1d(_sigmoid(total / weight @ self.weights["c"] + self.weights["b"])))
+        if waiting:
+            found.append(together())
+        return np.concatenate(found) if found else np.zeros(0)
+
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
         w, o = self.weights, self.forward(x, first)
         d = importance * (o["p"] - y) / len(y)
@@ -185,7 +239,7 @@ def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample(docs: DataFrame, usable: DataFrame) -> DataFrame:
     """label and text of the documents that are learned from: of each label the first by a hash of doc_id,
-    as long as they are few and short enough together; one that would exceed TRAIN_BYTES is passed over."""
+    as long as they are few and their features small enough together; one that would exceed TRAIN_BYTES is passed over."""
     chosen = None
     for label in (0, 1):
         part = usable.where(F.col("label") == label).orderBy(F.xxhash64("labelled"), "labelled").limit(TRAIN_DOCS)
@@ -194,7 +248,10 @@ def _sample(docs: DataFrame, usable: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
     found = written(found.groupBy("labelled", "label").agg(F.min("text").alias("text")), "quality-sample")
     held, short = {0: 0, 1: 0}, []
-    for r in found.select("labelled", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("labelled"), "labelled").collect():
+    # A text has at most so many passages: its line feeds, those of whole PASSAGEs, and one more.
+    octets = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    lines = octets - F.coalesce(F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0))
+    for r in found.select("labelled", "label", ((lines + F.floor(octets / PASSAGE) + 1) * (4 * FEATURES)).alias("size")).orderBy(F.xxhash64("labelled"), "labelled").collect():
         if held[r["label"]] + r["size"] <= TRAIN_BYTES:
             held[r["label"]] += r["size"]
             short.append(r["labelled"])
@@ -236,8 +293,8 @@ def constant(b: float) -> AttentionModel:
 def _scored(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.forward(x, first)["p"] for x, first in encode_passages(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names[:-1], "score"])
+            found = model.value.scores(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "score"])
 
     return released(rows)
 
@@ -267,7 +324,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.forward(x, first)["p"] for x, first in encode_passages(batch.column(batch.schema.get_field_index("text")))]
-            yield batch.filter(pa.array(np.concatenate(found) >= THRESHOLD if found else np.zeros(0, bool)))
+            yield batch.filter(pa.array(shared.value.scores(batch.column(batch.schema.get_field_index("text"))) >= THRESHOLD))
 
     return docs.mapInArrow(released(rows), docs.schema)

@@ -6,6 +6,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import divergence, interaction, langid
+from lodestone.llm import divergence, interaction, langid, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,3 +233,50 @@ def test_long_texts_are_labelled_in_parts(spark, monkeypatch):
     parts = langid.label_texts(model, [text])
     for name in ("span_begin", "span_end", "span_lang", "letters"):
         assert np.array_equal(getattr(whole, name), getattr(parts, name)), name
+
+
+# Quality of very long texts
+
+
+def random_model(rng):
+    e, a, draw = quality.ENCODED, quality.ATTENTION, lambda *shape: rng.normal(size=shape)
+    return quality.AttentionModel(draw(quality.FEATURES), np.abs(draw(quality.FEATURES)) + 0.5, {"E": draw(quality.FEATURES, e) * 0.2, "e": draw(e), "V": draw(e, a), "U": draw(e, a), "w": draw(a), "c": draw(e), "b": draw(1)})
+
+
+def test_quality_of_long_texts_is_that_of_all_passages(monkeypatch):
+    rng = np.random.default_rng(3)
+    model, pick = random_model(rng), random.Random(5)
+    lines = lambda n: "\n".join("ab C1é,"[: pick.randrange(8)] * pick.randrange(200) for _ in range(n))
+    texts = ["", None, "short", lines(300), "x" * 9000, "\n" * 3000, lines(40) + "\n", "a\n" * 500, lines(2)]
+    want = np.concatenate([model.forward(x, first)["p"] for x, first in quality.encode_passages(pa.array(texts))])
+    assert np.allclose(model.scores(pa.array(texts)), want, atol=1e-12)
+    monkeypatch.setattr(quality, "_CHUNK", 2048)
+    monkeypatch.setattr(quality, "_SLICE", 16)
+    assert np.allclose(model.scores(pa.array(texts)), want, atol=1e-9)
+    assert np.allclose([model.scores(pa.array([t]))[0] for t in texts], want, atol=1e-9)
+
+
+def test_quality_of_line_feeds_in_bounded_memory():
+    """6 MB of empty lines in one text, in a process of its own."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from lodestone.llm import quality
+e, a, rng = quality.ENCODED, quality.ATTENTION, np.random.default_rng(1)
+draw = lambda *s: rng.normal(size=s)
+model = quality.AttentionModel(draw(quality.FEATURES), np.ones(quality.FEATURES), {"E": draw(quality.FEATURES, e), "e": draw(e), "V": draw(e, a), "U": draw(e, a), "w": draw(a), "c": draw(e), "b": draw(1)})
+texts = pa.array(["\\n" * (6 << 20)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model.scores(texts)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, env={**os.environ, "OMP_NUM_THREADS": "1"})
+    assert int(out.stdout) < 300
+
+
+def test_the_training_sample_is_bounded_by_passages(spark, monkeypatch):
+    rows = [(i, "\n" * 20000 if i % 3 == 0 else f"word {i} " * 30, i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    usable = frame.select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1 << 20)
+    kept = quality._sample(frame, usable).collect()
+    assert len(kept) == 40 and all(r.text[0] == "w" for r in kept)
