@@ -112,7 +112,7 @@ def normalize_tweet(s: Column) -> Column:
 def html_entities(s: Column) -> Column:
     """The named entities of HTML and the numbered ones; what is made of one isn't decoded again, unknown names stay."""
     pattern = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
-    parts = F.split(F.regexp_replace(s, f"({pattern})", "\x01$1\x01"), "\x01")
+    between, found = F.split(s, pattern), F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1))
     known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def one(p: Column) -> Column:
@@ -124,7 +124,7 @@ def html_entities(s: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
         return F.when(p.rlike("^&#[xX]?[0-9a-fA-F]+;$") & valid, char).otherwise(F.coalesce(F.try_element_at(known, p), p))
 
-    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("&")), one(p)).otherwise(p)), "")
+    return F.array_join(F.zip_with(between, F.transform(found, one), lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
 
 
 def narrow_punctuation(s: Column) -> Column:

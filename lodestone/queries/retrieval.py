@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import owa
 from ..functions.vectors import cosine, doubles, mse
-from ..operators import retrieval
+from ..operators import inner_products, retrieval
 from ._registry import query, read
 
 E = "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings)"
@@ -41,6 +41,19 @@ def inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(rows.where("id % 20 = 0"), rows, 5, "inner", digits=6, exclude_self=True)
 
 
+@query(
+    "retrieval_inner_product_cells",
+    """WITH e AS (SELECT vec_id, [x * (1 + vec_id % 3 * 0.25) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings)
+SELECT a.vec_id AS query_id, row_number() OVER w AS rank, b.vec_id AS id, round(list_dot_product(a.v, b.v), 9) AS score
+FROM e a, e b WHERE a.vec_id % 20 = 0
+WINDOW w AS (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) QUALIFY rank <= 5""",
+)
+def inner_product_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the index, of vectors of three lengths, exactly."""
+    rows = vectors(spark, sf_dir).select("id", F.transform("vector", lambda x: x * (1 + F.col("id") % 3 * 0.25)).alias("vector"))
+    return inner_products.search(inner_products.build(rows, 5), rows.where("id % 20 = 0"), 5, exact=True)
+
+
 TARGETS = f"""{E}, q AS (SELECT a.vec_id, a.v, t.v AS target FROM e a JOIN e t ON t.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
 d AS (SELECT q.vec_id AS query_id, list_cosine_similarity(q.v, b.v) AS near, list_cosine_similarity(q.v, q.target) AS wanted FROM q, e b),
 s AS (SELECT query_id, arg_min(near, (abs(near - wanted), -near)) AS snapped FROM d GROUP BY 1),

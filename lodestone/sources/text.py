@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators.sequences import numbered
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value of each line, stripped; blank ones stay."""
@@ -59,11 +60,10 @@ def tagged_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_reference(spark: SparkSession, path: str, reference: str, schema: str) -> DataFrame:
-    """Non-blank lines of one file joined by place with the JSON lines of another."""
-    number = lambda rows: rows.where(F.col("value").rlike(r"\S")).withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1)
-    text = number(ordered_lines(spark, path)).select("nth", F.col("value").alias("line"))
-    refs = number(ordered_lines(spark, reference)).select("nth", F.from_json("value", schema).alias("ref"))
-    return text.join(refs, "nth")
+    """Non-blank lines of some files, in the order of their paths, joined by place with the JSON lines of others."""
+    kept = lambda at: ordered_lines(spark, at).where(F.col("value").rlike(r"\S"))
+    lines, refs = (numbered(kept(at), ["path", "at"]) for at in (path, reference))
+    return lines.select("nth", F.col("value").alias("line")).join(refs.select("nth", F.from_json("value", schema).alias("ref")), "nth")
 
 
 def field(line: Column, start: int, stop: int) -> Column:

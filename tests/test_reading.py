@@ -138,6 +138,7 @@ def test_lines_of_several_blocks(spark, tmp_path):
 def test_text_of_other_scripts(spark):
     assert one(spark, text.basic_tokens(F.lit("Café «Où» — Ёлка…\x00 中文 5$"))) == ["cafe", "«", "ou", "»", "—", "елка", "…", "中", "文", "5", "$"]
     assert one(spark, text.html_entities(F.lit("&eacute;&#233;&#xE9; &amp;lt; &unknown; &#0; &#x1F600;"))) == "ééé &lt; &unknown; &#0; 😀"
+    assert one(spark, text.html_entities(F.lit("a\x01b &amp; c&lt;\x01"))) == "a\x01b & c<\x01" and one(spark, text.html_entities(F.lit(""))) == ""
     assert one(spark, text.remove_handles(F.lit("hi @short, x@no @" + "a" * 25))) == "hi  , x@no  " + "a" * 5
 
 

@@ -30,6 +30,17 @@ def test_reference_lines(spark, tmp_path):
     assert [(r.line, r.ref) for r in text.with_reference(spark, a, b, "array<int>").orderBy("nth").collect()] == [("x", [1]), ("y", [2, 3])]
 
 
+def test_reference_lines_of_several_files(spark, tmp_path):
+    for kind, cut in (("t", [3, 3]), ("r", [1, 4, 1])):
+        (tmp_path / kind).mkdir()
+        at = 0
+        for i, n in enumerate(cut):
+            (tmp_path / kind / f"{i}.txt").write_text("".join(f"line {k}\n\n" if kind == "t" else f"[{k}]\n" for k in range(at, at + n)))
+            at += n
+    got = text.with_reference(spark, str(tmp_path / "t"), str(tmp_path / "r"), "array<int>").orderBy("nth").collect()
+    assert [(r.nth, r.line, r.ref) for r in got] == [(k, f"line {k}", [k]) for k in range(6)]
+
+
 def test_tasks(spark, tmp_path):
     p = put(tmp_path, "cola.tsv", "﻿s\t1\t\tFirst one.\ns\t0\t\tTwo.\n")
     got = tables.task_examples(spark, p, "cola", "train").orderBy("guid").collect()
