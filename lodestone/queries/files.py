@@ -318,12 +318,27 @@ def stream_piped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last history of each conversation; nothing of it is cut."""
     path = new_path(spark, "stream-turns")
-    read(spark, sf_dir, "conversations").repartition(1).sortWithinPartitions("conv_id", "turn", "role", "text").write.parquet(path)
+    read(spark, sf_dir, "conversations").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    rows = streams.drained(streams.conversation_state(stream, 1 << 30), new_path(spark, "stream-out"), new_path(spark, "stream-state"))
+    rows = streams.drained(streams.conversation_state(stream, 1 << 30), new_path(spark, "stream-out"), new_path(spark, "stream-state"), empty_batches=False)
     return rows.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max_by("history", "n_turns").alias("history"))
 
 
+@query(
+    "stream_conversations_fitted",
+    """WITH t AS (SELECT *, coalesce(role, '') || ': ' || coalesce(text, '') || chr(10) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+    s AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY nth DESC) AS size FROM t)
+    SELECT conv_id, any_value(n) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn, string_agg(line, '' ORDER BY nth) AS history FROM s WHERE size <= 300 OR nth = n GROUP BY 1""",
+)
+def stream_conversations_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole turns at the end of each conversation that have 300 characters together."""
+    path = new_path(spark, "stream-turns")
+    read(spark, sf_dir, "conversations").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = streams.drained(streams.conversation_state(stream, 300), new_path(spark, "stream-out"), new_path(spark, "stream-state"), empty_batches=False)
+    return rows.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), *[F.max_by(c, "n_turns").alias(c) for c in ("first_turn", "last_turn", "history")])
+
+
 @query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
