@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,25 @@ def cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(ST.cdf_normalised(F.col("l_quantity"), n, p, 5, 45), 9).alias(n) for n, p in params.items()])
 
 
+# Whole shapes and even degrees of freedom have finite sums, t with 3 an arc tangent.
+_ERLANG = "1 - exp(-({x})) * ({sum})"
+_FAMILIES = {
+    "gamma": ([4.0, 1.0, 6.0], _ERLANG.format(x="(x - 1) / 6", sum=" + ".join(f"pow((x - 1) / 6, {i}) / {math.factorial(i)}" for i in range(4)))),
+    "chi2": ([24.0, 2.0, 1.5], _ERLANG.format(x="(x - 2) / 3", sum=" + ".join(f"pow((x - 2) / 3, {i}) / {math.factorial(i)}" for i in range(12)))),
+    "beta": ([3.0, 5.0, 0.0, 60.0], " + ".join(f"{math.comb(7, j)} * pow(x / 60, {j}) * pow(1 - x / 60, {7 - j})" for j in range(3, 8))),
+    "f": ([6.0, 4.0, 1.0, 20.0], " + ".join(f"{math.comb(4, j)} * pow(6 * (x - 1) / (6 * (x - 1) + 80), {j}) * pow(80 / (6 * (x - 1) + 80), {4 - j})" for j in range(3, 5))),
+    "t": ([3.0, 25.0, 5.0], "0.5 + (((x - 25) / 5 / sqrt(3)) / (1 + pow((x - 25) / 5, 2) / 3) + atan((x - 25) / 5 / sqrt(3))) / pi()"),
+    "invgamma": ([2.0, 0.0, 30.0], "exp(-30 / x) * (1 + 30 / x)"),
+    "weibull_min": ([1.5, 0.0, 20.0], "1 - exp(-pow(x / 20, 1.5))"),
+}
+
+
+@query("cdf_incomplete_functions", f"""SELECT l_orderkey, l_linenumber, {", ".join(f"round({sql}, 10) AS {name}" for name, (_, sql) in _FAMILIES.items())} FROM (SELECT l_orderkey, l_linenumber, least(45, greatest(5, l_quantity))::DOUBLE AS x FROM lineitem)""")
+def cdf_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families that need the incomplete gamma and beta functions."""
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(ST.cdf_normalised(F.col("l_quantity").cast("double"), n, p, 5, 45), 10).alias(n) for n, (p, _) in _FAMILIES.items()])
+
+
 @query("fingerprint_folded", f"WITH {IDS}, i AS (SELECT doc_id, unnest(ids) * 2654435761 % 4294967296 AS idx FROM t), c AS (SELECT doc_id, idx, count(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT doc_id, idx % 16 AS k, sum(n) AS n FROM c GROUP BY 1, 2) SELECT doc_id, array_to_string([coalesce(list_sum([x.n FOR x IN l IF x.k = j]), 0)::BIGINT FOR j IN range(16)], ',') AS counts, array_to_string([(len([1 FOR x IN l IF x.k = j]))::BIGINT FOR j IN range(16)], ',') AS bits FROM (SELECT doc_id, list({'{'}'k': k, 'n': n{'}'}) AS l FROM f GROUP BY 1)")
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse fingerprint of hashed tokens folded to 16 places, as counts and as bits."""

@@ -1,10 +1,11 @@
-"""Batches of token streams, and beam search."""
+"""Batches of token streams, permutation language models, and beam search."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import permutations as P
 from ..functions.tokens import MODULUS, MULTIPLIER
 from ..operators import beams as B
 from ..operators.sequences import numbered
@@ -91,3 +92,38 @@ def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch"), F.array((2 + F.col("c_custkey") % 10).cast("int")).alias("tokens"))
     found = B.beam_search(starts, favoured(B.table_scorer(F.broadcast(transitions(spark, sf_dir)))), 3, 7, _EOS, length_penalty=0.8, keep=2)
     return found.select("batch", "place", F.array_join("tokens", " ").alias("tokens"), F.round("score", 9).alias("score"))
+
+
+def _chance(i: str, what: int) -> str:
+    return _hashed(f"(key * 4096 + {i}) % 2147483648", 5 + what)
+
+
+@query(
+    "tokens_permuted",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE len(text) > 0),
+b AS (SELECT doc_id * 1024 + j AS key, [1] || [(length(x) * 7 + ascii(x)) % 1000 + 10 FOR x IN w[30 * j + 1:30 * j + 30]] || [2] AS ids FROM w, range(0, 700) r(j) WHERE 30 * j < len(w)),
+p AS (SELECT key, ids || [0 FOR i IN range(32 - len(ids))] AS ids FROM b),
+d AS (SELECT key, k, floor({_chance("k", 1)} * 5)::BIGINT + 1 AS size FROM p, range(0, 7) t(k)),
+c AS (SELECT key, k, size, floor(size / (1 / 6.0) + 1e-9)::BIGINT AS context FROM d),
+s AS (SELECT key, size, start + floor({_chance("k", 2)} * (context - size + 1))::BIGINT AS at FROM (SELECT *, sum(context) OVER (PARTITION BY key ORDER BY k) - context AS start FROM c) WHERE start < 32),
+e AS (SELECT key, unnest(range(0, 32)) AS i, unnest(ids) AS x FROM p),
+m AS (SELECT e.key, e.i, e.x, e.x >= 10 AND bool_or(coalesce(e.i >= s.at AND e.i < s.at + s.size, false)) AS masked FROM e JOIN s USING (key) GROUP BY key, i, x),
+o AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY {_chance("t", 3)}, t) - 1 AS slot, t FROM p, range(0, 16) y(t)),
+q AS (SELECT key, i, x, masked, CASE WHEN NOT masked AND x >= 10 THEN -1 ELSE o.t + CASE WHEN i >= 16 THEN 16 ELSE 0 END END AS place FROM m JOIN o USING (key) WHERE o.slot = i % 16),
+h AS (SELECT a.key, sum(a.i * 37 + c.i) AS hidden FROM q a JOIN q c ON a.key = c.key AND a.place <= c.place AND c.masked GROUP BY 1)
+SELECT key, sum(masked::INT)::INT AS masked, string_agg(CASE WHEN masked THEN 3 ELSE x END, ' ' ORDER BY i) AS inputs, string_agg(place, ' ' ORDER BY i) AS places, coalesce(any_value(hidden), 0)::BIGINT AS hidden
+FROM q LEFT JOIN h USING (key) GROUP BY key""",
+)
+def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 30 words between marks, padded to 32, of all documents; hidden adds up who may not see whom."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
+    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 30).cast("int"))).alias("j"))
+    ids = F.concat(F.array(F.lit(1)), F.transform(F.slice("w", F.col("j") * 30 + 1, 30), lambda x: (F.char_length(x) * 7 + F.ascii(x)) % 1000 + 10), F.array(F.lit(2)))
+    rows = rows.select((F.col("doc_id") * 1024 + F.col("j")).alias("key"), F.concat(ids, F.array_repeat(F.lit(0), 32 - F.size(ids))).alias("ids"))
+    rows = rows.select("key", P.permuted(F.col("ids"), F.col("key"), 3, [0, 1, 2], seed=5).alias("p")).select("key", "p.*")
+    rows = rows.withColumn("mask", P.permutation_mask(F.col("places"), F.col("masked")))
+    mask = F.col("mask")
+    hidden = F.aggregate(F.flatten(F.transform(mask, lambda r, i: F.transform(r, lambda x, j: x * (i * 37 + j)))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return rows.select("key", F.size(F.filter("masked", lambda m: m)).alias("masked"), joined("inputs").alias("inputs"), joined("places").alias("places"), hidden.alias("hidden"))
