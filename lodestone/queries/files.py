@@ -15,9 +15,9 @@ from .reading import NULLS, _n_best
 
 
 def _lines(rows: DataFrame, column, name: str) -> str:
-    """One file with the column's lines, in the order of the rows' k."""
-    path = new_path(rows.sparkSession, name)
-    rows.repartition(1).sortWithinPartitions("k").select(column.alias("value")).write.text(path)
+    """A folder with the column's lines: files by ranges of the rows' k, in its order."""
+    path, files = new_path(rows.sparkSession, name), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(files, "k").sortWithinPartitions("k").select(column.alias("value")).write.text(path)
     return path
 
 
@@ -117,8 +117,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, at = F.col("p_name"), F.col("nth") % 4
     plain = rows.select("k", F.when(at == 3, F.concat(name, F.lit("\n\n "))).otherwise(name).alias("line"))
     tagged = rows.select("k", F.when(at == 0, F.concat(F.lit('<doc id="1">\nTitle\n\n'), name)).when(at == 3, F.concat(name, F.lit("\n</doc>"))).otherwise(name).alias("line"))
-    a = text.blank_line_documents(spark, _lines(plain, F.col("line"), "file-docs")).select(F.lit("lines").alias("kind"), "doc", "value")
-    return a.union(text.tagged_articles(spark, _lines(tagged, F.col("line"), "file-docs")).select(F.lit("articles"), "doc", "value"))
+    a = text.blank_line_documents(spark, _lines(plain, F.col("line"), "file-docs"), whole=True).select(F.lit("lines").alias("kind"), "doc", "value")
+    return a.union(text.tagged_articles(spark, _lines(tagged, F.col("line"), "file-docs"), whole=True).select(F.lit("articles"), "doc", "value"))
 
 
 @query("file_lines_with_reference", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS nth, p_name AS line, p_size::VARCHAR || ',' || p_partkey AS ref FROM part")
@@ -163,19 +163,20 @@ def pdb_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ["ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL"]))
     rows = spark.range(600).select(F.floor(F.col("id") / 30).alias("i"), (F.col("id") % 30).alias("j"), F.col("id").alias("k"))
     line = F.format_string("ATOM  %5d  CA  %3s %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", F.col("k"), F.get(names, ((F.col("i") + F.col("j")) % 20).cast("int")), F.chr(65 + F.col("i")), F.col("j"), F.lit(1.0), F.lit(2.0), F.lit(3.0))
-    found = structures.sequences(structures.pdb_atoms(spark, _lines(rows, line, "file-pdb")))
+    found = structures.sequences(structures.pdb_atoms(spark, _lines(rows, line, "file-pdb"), whole=True))
     return found.select((F.ascii("chain") - 65).cast("bigint").alias("chain_of"), "sequence")
 
 
-@query("file_sdf", f"WITH p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, {XYZ} FROM embeddings), s AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM p WHERE i < 40) SELECT label AS mol, i::INT AS i, 'C' AS symbol, x, y, z, CASE WHEN i > 0 THEN i END::INT AS bonded, n::INT AS n_atoms, (n - 1)::INT AS n_bonds FROM s")
+@query("file_sdf", f"WITH p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, {XYZ} FROM embeddings), s AS (SELECT label * 100000 + i // 40 AS k, i % 40 AS i, x, y, z FROM p) SELECT (dense_rank() OVER (ORDER BY k) - 1)::INT AS mol, i::INT AS i, 'C' AS symbol, x, y, z, CASE WHEN i > 0 THEN i END::INT AS bonded, (count(*) OVER (PARTITION BY k))::INT AS n_atoms, (count(*) OVER (PARTITION BY k) - 1)::INT AS n_bonds FROM s")
 def sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of carbons for the first forty rows of a label, as a graph without elements: a record each, in one file."""
+    """A chain of carbons for each forty rows of a label, as graphs without elements: a record each, in several files."""
     from pyspark.sql import Window
 
-    rows = _placed(spark, sf_dir).withColumn("node", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("node < 40")
-    edges = rows.where("node > 0").select("label", (F.col("node") - 1).alias("a"), F.col("node").alias("b"))
-    blocks = writers.graph_molblock(rows, edges, "label").withColumn("k", F.col("label"))
-    found = structures.sdf(spark, _lines(blocks, F.concat("molblock", F.lit("\n$$$$")), "file-sdf"))
+    rows = _placed(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    rows = rows.withColumns({"k": (F.col("label") * 100000 + F.floor(F.col("i") / 40)).cast("bigint"), "node": F.col("i") % 40})
+    edges = rows.where("node > 0").select("k", (F.col("node") - 1).alias("a"), F.col("node").alias("b"))
+    blocks = writers.graph_molblock(rows, edges, "k")
+    found = structures.sdf(spark, _lines(blocks, F.concat("molblock", F.lit("\n$$$$")), "file-sdf"), whole=True)
     found = found.where("error is null").select(F.col("nth").alias("mol"), "n_atoms", "n_bonds", "bonds", F.posexplode("atoms").alias("i", "a"))
     bond = F.get(F.filter("bonds", lambda b: b["b"] == F.col("i") + 1), F.lit(0))["a"]
     return found.select("mol", "i", F.col("a.symbol").alias("symbol"), "a.x", "a.y", "a.z", bond.alias("bonded"), "n_atoms", "n_bonds")
@@ -320,7 +321,7 @@ def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stream-turns")
     read(spark, sf_dir, "conversations").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    rows = streams.drained(streams.conversation_state(stream, 1 << 30), new_path(spark, "stream-out"), new_path(spark, "stream-state"), empty_batches=False)
+    rows = streams.drained(streams.conversation_state(stream, 1 << 30), new_path(spark, "stream-out"), new_path(spark, "stream-state"))
     return rows.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max_by("history", "n_turns").alias("history"))
 
 
@@ -335,7 +336,7 @@ def stream_conversations_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "stream-turns")
     read(spark, sf_dir, "conversations").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    rows = streams.drained(streams.conversation_state(stream, 300), new_path(spark, "stream-out"), new_path(spark, "stream-state"), empty_batches=False)
+    rows = streams.drained(streams.conversation_state(stream, 300, idle_ms=7 * 24 * 3600 * 1000), new_path(spark, "stream-out"), new_path(spark, "stream-state"), empty_batches=False)
     return rows.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), *[F.max_by(c, "n_turns").alias(c) for c in ("first_turn", "last_turn", "history")])
 
 

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from ..operators.sequences import numbered, running
 from .text import field, ordered_lines
 
 # One-letter codes of the amino acids.
 RESIDUES = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
 
 
-def pdb_atoms(spark: SparkSession, path: str, model: int = 1) -> DataFrame:
-    """The ATOM and HETATM records of a model; files without MODEL records have one."""
-    rows = ordered_lines(spark, path)
-    upto = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("model", F.sum(F.col("value").startswith("MODEL ").cast("int")).over(upto))
+def pdb_atoms(spark: SparkSession, path: str, model: int = 1, whole: bool = False) -> DataFrame:
+    """The ATOM and HETATM records of a model; files without MODEL records have one.
+
+    A model's number is a running sum over parts by range, so a file of many models is many tasks; with whole, a folder's
+    files are one.
+    """
+    rows = ordered_lines(spark, path, whole).withColumn("_model", F.col("value").startswith("MODEL ").cast("int"))
+    rows = running(rows, ["path", "at"], {"_all": "_model"})
+    first = rows.groupBy("path").agg((F.min("_all") - F.max_by("_model", -F.col("at"))).alias("_before"))
+    rows = rows.join(first, "path").withColumn("model", F.col("_all") - F.col("_before"))
     rows = rows.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM") & F.col("model").isin(0, model))
     v = F.col("value")
     number = lambda a, b, kind: field(v, a, b).try_cast(kind)
@@ -37,13 +42,19 @@ def sequences(atoms: DataFrame) -> DataFrame:
     return rows.groupBy("path", "chain").agg(F.array_join(ordered, "").alias("sequence"))
 
 
-def sdf(spark: SparkSession, path: str) -> DataFrame:
+def sdf(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """path, nth, title, atoms and bonds of each record; a missing ``$$$$`` at the end is allowed.
 
-    Bonds are numbered from 1.  A record whose counts line can't be read has error "counts".
+    Bonds are numbered from 1.  A record's error is "counts" if its counts line can't be read, "atoms" or "bonds" if there
+    are fewer lines of them, or one of them can't be read.  Files are cut at ``$$$$`` by blocks, so a large one is many
+    tasks; with whole, a folder's files are one.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\$\$\$\$\r?\n?")).alias("nth", "record"))
-    whole = whole.where(F.col("record").rlike(r"\S")).select("path", "nth", F.split("record", "\r?\n").alias("l"))
+    records = ordered_lines(spark, path, whole, separator="$$$$").where(F.col("value").rlike(r"\S"))
+    # What is left of the line that ends a record stands before the next one.
+    records = records.select("path", "at", F.split(F.when(F.col("begins"), F.col("value")).otherwise(F.regexp_replace("value", r"^\r?\n", "")), "\r?\n").alias("l"))
+    records = numbered(records, ["path", "at"])
+    first = records.groupBy("path").agg(F.min("nth").alias("_first"))
+    whole = records.join(first, "path").select("path", (F.col("nth") - F.col("_first")).cast("int").alias("nth"), "l")
     counts = F.get("l", F.lit(3))
     n, m = field(counts, 1, 3).try_cast("int"), field(counts, 4, 6).try_cast("int")
     rows = whole.select("path", "nth", F.get("l", F.lit(0)).alias("title"), "l", n.alias("n_atoms"), m.alias("n_bonds"))
@@ -52,4 +63,15 @@ def sdf(spark: SparkSession, path: str) -> DataFrame:
     number = lambda s, a, b, kind: field(s, a, b).try_cast(kind)
     atoms = F.transform(at, lambda s, i: F.struct((i + 1).alias("idx"), field(s, 32, 34).alias("symbol"), number(s, 1, 10, "double").alias("x"), number(s, 11, 20, "double").alias("y"), number(s, 21, 30, "double").alias("z")))
     bonds = F.transform(bt, lambda s: F.struct(number(s, 1, 3, "int").alias("a"), number(s, 4, 6, "int").alias("b"), number(s, 7, 9, "int").alias("order")))
-    return rows.select("path", "nth", "title", "n_atoms", "n_bonds", atoms.alias("atoms"), bonds.alias("bonds"), F.when(F.col("n_atoms").isNull(), "counts").alias("error"))
+    rows = rows.select("path", "nth", "title", "n_atoms", "n_bonds", atoms.alias("atoms"), bonds.alias("bonds"))
+    lacking = F.exists("atoms", lambda a: a["x"].isNull() | a["y"].isNull() | a["z"].isNull() | (a["symbol"] == ""))
+    torn = F.exists("bonds", lambda b: b["a"].isNull() | b["b"].isNull() | b["order"].isNull() | ~b["a"].between(1, F.col("n_atoms")) | ~b["b"].between(1, F.col("n_atoms")))
+    error = F.when(F.col("n_atoms").isNull(), "counts").when((F.size("atoms") < F.col("n_atoms")) | lacking, "atoms").when((F.size("bonds") < F.coalesce("n_bonds", F.lit(0))) | torn, "bonds")
+    return rows.withColumn("error", error)
+
+
+def first_readable(records: DataFrame) -> DataFrame:
+    """The first record without an error of each path of sdf's; a path without one has its first record, with its error."""
+    whole = F.struct(*records.columns)
+    best = records.groupBy("path").agg(F.min_by(whole, F.struct(F.col("error").isNotNull(), F.col("nth"))).alias("r"))
+    return best.select("r.*")

@@ -42,8 +42,8 @@ MNLI_LABELS = ["contradiction", "entailment", "neutral"]
 
 
 def tsv(spark: SparkSession, path: str) -> DataFrame:
-    """at and cells of each line: tabs only, no quoting, without a byte-order mark."""
-    return ordered_lines(spark, path).select("at", F.split(F.regexp_replace("value", "^﻿", ""), "\t").alias("cells"))
+    """at and cells of each line: tabs only, no quoting, without a byte-order mark.  A folder's files are one table."""
+    return ordered_lines(spark, path, whole=True).select("at", F.split(F.regexp_replace("value", "^﻿", ""), "\t").alias("cells"))
 
 
 def task_examples(spark: SparkSession, path: str, task: str, split: str) -> DataFrame:

@@ -96,13 +96,13 @@ def _line(role: str | None, text: str | None) -> str:
     return f"{role or ''}: {text or ''}\n"
 
 
-def conversation_state(turns: DataFrame, keep: int = 4096, idle_ms: int | None = 7 * 24 * 3600 * 1000) -> DataFrame:
+def conversation_state(turns: DataFrame, keep: int = 4096, idle_ms: int | None = None) -> DataFrame:
     """A row (conv_id, first_turn, last_turn, n_turns, history) for each conversation and micro-batch with turns of it.
 
     turns has conv_id, turn, role and text.  n_turns counts all turns so far.  The history ends with the newest turn (by
     turn, role, text) and begins with a whole one: as many as have keep characters together, the newest however long it
     is.  Turns may come in any order.  So neither state nor output of a conversation grows with its length, and
-    a micro-batch takes a batch of rows at a time; after idle_ms without a turn (None: never) it is forgotten.
+    a micro-batch takes a batch of rows at a time; after idle_ms without a turn, if given, it is forgotten.
     """
     return turns.groupBy("conv_id").transformWithStateInPandas(_Conversation(keep, idle_ms), CONVERSATION, "Append", "ProcessingTime" if idle_ms is not None else "None")
 

@@ -73,6 +73,57 @@ def test_pdb_and_sdf_round_trip(spark, tmp_path):
     assert (back.title, back.n_atoms, back.n_bonds) == ("m", 2, 1) and back.atoms[1].symbol == "O" and back.bonds[0].order == 2
 
 
+def _record(title, n, bad=False):
+    atoms = [f"{i:10.4f}{0:10.4f}{'x' if bad and i == 1 else format(1, '.4f'):>10} C   0  0" for i in range(n)]
+    bonds = [f"{i:3d}{i + 1:3d}  1  0" for i in range(1, n)]
+    return "\n".join([title, "", "", f"{n:3d}{n - 1:3d}  0  0  0  0  0  0  0  0999 V2000", *atoms, *bonds, "M  END", "$$$$", ""])
+
+
+def test_structure_files_are_cut_over_blocks(spark, tmp_path):
+    """Records with and without titles, in several blocks and with both kinds of line ends; the first readable one."""
+    for i, end in enumerate(("\n", "\r\n")):
+        text = "".join(_record("" if k % 3 == 0 else f"m{k}", 2 + k % 5, bad=k % 7 == 0) for k in range(60)) + "bad\n\n\nxx\n"
+        (tmp_path / f"{i}.sdf").write_bytes(text.replace("\n", end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        records = structures.sdf(spark, str(tmp_path)).cache()
+        assert spark.read.text(str(tmp_path / "0.sdf")).rdd.getNumPartitions() > 10
+        rows = records.orderBy("path", "nth").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 2 * 61
+    for part in (rows[:61], rows[61:]):
+        assert [(r.nth, r.title, r.n_atoms, r.error) for r in part[:60]] == [(k, "" if k % 3 == 0 else f"m{k}", 2 + k % 5, "atoms" if k % 7 == 0 else None) for k in range(60)]
+        assert part[60].error == "counts" and all(len(r.atoms) == r.n_atoms and [(b.a, b.b) for b in r.bonds] == [(i, i + 1) for i in range(1, r.n_atoms)] for r in part[:60])
+    assert [(r.nth, r.title) for r in structures.first_readable(records).orderBy("path").collect()] == [(1, "m1")] * 2
+    records.unpersist()
+
+
+def test_models_are_numbered_by_file(spark, tmp_path):
+    line = "ATOM  {:5d}  CA  ALA A{:4d}      11.104   6.134  -6.504  1.00  0.00           C"
+    for name, begin in (("a", "MODEL        1"), ("b", "REMARK"), ("c", "MODEL        1")):
+        (tmp_path / f"{name}.pdb").write_text("\n".join([begin, line.format(1, 1), "ENDMDL", "MODEL        2", line.format(2, 2)]) + "\n")
+    for model, want in ((1, [("a", 1), ("b", 1), ("b", 2), ("c", 1)]), (2, [("a", 2), ("b", 1), ("c", 2)])):
+        got = structures.pdb_atoms(spark, str(tmp_path), model).collect()
+        assert sorted((r.path[-5], r.serial) for r in got) == want
+
+
+def test_documents_of_several_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\n\ny\n")
+    (tmp_path / "b.txt").write_text("z\n\n\nw\n")
+    apart = {(r.path[-5], r.doc, r.value) for r in text.blank_line_documents(spark, str(tmp_path)).collect()}
+    assert apart == {("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z"), ("b", 1, "w")}
+    assert {(r.doc, r.value) for r in text.blank_line_documents(spark, str(tmp_path), whole=True).collect()} == {(0, "x"), (1, "y"), (1, "z"), (2, "w")}
+    for name in ("c", "d"):
+        (tmp_path / name).mkdir()
+    for i, t in enumerate(('lost\n<doc id="1">\nT\n\na\n', 'b\n</doc>\n<doc id="2">\nU\nc\n</doc>\n')):
+        (tmp_path / "c" / f"{i}.txt").write_text(t)
+        (tmp_path / "d" / f"{i}.txt").write_text('<doc id="1">\nT\nfirst\n</doc>\n')
+    assert sorted((r.doc, r.value) for r in text.tagged_articles(spark, str(tmp_path / "c"), whole=True).collect()) == [(0, "a"), (0, "b"), (1, "c")]
+    assert sorted((r.path[-5], r.doc, r.value) for r in text.tagged_articles(spark, str(tmp_path / "d")).collect()) == [("0", 0, "first"), ("1", 0, "first")]
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([("CC", 0.12345)], "smiles string, similarity double")
     writers.top_k_tsv(rows, str(tmp_path / "t"))
@@ -90,7 +141,8 @@ def test_streams(spark, tmp_path):
     turns.write.mode("overwrite").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
     got = streams.drained(streams.conversation_state(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted((r.conv_id, r.turn, r.n_turns, r.history) for r in got.collect()) == [(1, 0, 1, "user: a\n"), (1, 1, 2, "user: a\nassistant: \n"), (2, 0, 1, "user: b\n")]
+    # A row a conversation and micro-batch, of which there is one.
+    assert sorted((r.conv_id, r.last_turn, r.n_turns, r.history) for r in got.collect()) == [(1, 1, 2, "user: a\nassistant: \n"), (2, 0, 1, "user: b\n")]
     (tmp_path / "txt").mkdir()
     put(tmp_path / "txt", "x.txt", "q\tc\nonly\n")
     piped = streams.piped(spark.readStream.text(str(tmp_path / "txt")), ["question", "context"])
