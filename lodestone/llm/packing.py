@@ -86,11 +86,11 @@ def _places(patterns: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...
     return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def _pieces(path: str, seq_len: int, end_id: int):
+def _pieces(path: str, seq_len: int, end_id: int, remembered: int | None):
     end = end_id.to_bytes(4, "little")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, BYTE_LEVEL)
+        enc = encoder(path, BYTE_LEVEL, remembered)
         for batch in batches:
             source, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -122,18 +122,19 @@ def _assigned(places):
     return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = 0, remembered: int | None = None) -> DataFrame:
     """Places of all documents in sequences of at most seq_len tokens.
 
     docs needs doc_id and text; further columns are ignored.  A document is its ids and end_id;
     a null or empty text is end_id alone.  Only documents longer than seq_len are cut: the first
     piece takes the remainder.  Repeated rows are packed as often as they come, a null doc_id like
-    any other; equal pieces of equal rows are interchangeable.  An empty table gives no rows.
+    any other; equal pieces of equal rows are interchangeable.  An empty table gives no rows.  remembered words a
+    worker holds at most (see tokens.encoder).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     with arrow_rows(docs.sparkSession, 1000):
-        pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, seq_len, end_id), schema), "pack-pieces")
+        pieces = written(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, seq_len, end_id, remembered), schema), "pack-pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = docs.sparkSession.sparkContext.broadcast(_places(minimum_bin_slack(histogram, seq_len)))
 

@@ -23,11 +23,11 @@ import regex
 
 BYTE_LEVEL, WORD = "byte_level", "word"
 #: Most words a worker remembers; see _Ids for what happens beyond it.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 _BARE = re.compile(r"\s (?:\s|$)")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _LETTERS = regex.compile(r" ?\p{L}+")
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str, int | None], Encoder] = {}
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -48,9 +48,10 @@ class _Ids(dict):
     missed several times its size.
     """
 
-    def __init__(self, encode, letters, lead: str):
+    def __init__(self, encode, letters, lead: str, most: int | None):
         super().__init__()
         self.encode, self.letters, self.lead, self.missed = encode, letters, lead, 0
+        self.most = REMEMBERED if most is None else most
 
     def __missing__(self, piece: str) -> bytes:
         whole = self.lead + piece
@@ -67,19 +68,19 @@ class _Ids(dict):
             found = self[piece[:cut]] + self.rest[piece[cut:]]
         else:
             found = self.encode(whole)
-        if len(self) < REMEMBERED:
+        if len(self) < self.most:
             if len(piece) < 64:
                 self[piece] = found
         else:
             self.missed += 1
-            if self.missed > 8 * REMEMBERED:
+            if self.missed > 8 * self.most:
                 self.clear()
                 self.missed = 0
         return found
 
 
 class Encoder:
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,8 +88,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.byte_level = kind == BYTE_LEVEL
         letters = self._byte_letters if self.byte_level else self._word_letters
-        self.first = _Ids(self._encode, letters, "")
-        self.after_space = _Ids(self._encode, letters, " ") if self.byte_level else self.first
+        self.first = _Ids(self._encode, letters, "", remembered)
+        self.after_space = _Ids(self._encode, letters, " ", remembered) if self.byte_level else self.first
         self.first.rest = self.after_space.rest = self.first
 
     def _encode(self, text: str) -> bytes:
@@ -118,11 +119,13 @@ class Encoder:
         return (self.first[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; its memory lasts as long as the worker."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+def encoder(path: str, kind: str, remembered: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file; its memory, of REMEMBERED words unless fewer are asked for, lasts as
+    long as the worker."""
+    key = (path, kind, remembered)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def vocabulary_path(name: str) -> str:
