@@ -22,6 +22,8 @@ from lodestone.llm.quality import accepted
 from lodestone.llm.queries import DOMAINS, SURROGATE_KEY, WEIGHTS
 from lodestone.llm.tokens import vocabulary_path
 
+#: Words that packing's workers remember: fewer than by default, since they share their executors with the other stages' workers.
+REMEMBERED = 250_000
 #: Four fifths of the words, no document more than once.
 MIX = Mix(WEIGHTS, DOMAINS, budget_share=0.8, max_epochs=1)
 
@@ -51,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece with its place; null texts are empty, repeated rows are packed as often as they come."""
-    return pack(docs, vocabulary_path("byte_bpe_50k.json"))
+    return pack(docs, vocabulary_path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
