@@ -1,4 +1,4 @@
-"""SMILES read into graphs, clusters of bit sets, and merges of byte symbols."""
+"""SMILES read into graphs, fragments, clusters of bit sets, and merges of byte symbols."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import smiles_graph as G
 from ..functions.atoms import MASSES
 from ..operators import clusters as C
+from ..operators import fragments
 from ..operators import merges as M
-from ..storage import written
+from ..sinks import writers
+from ..sources import structures
+from ..storage import new_path, written
 from ._registry import query, read
 
 #: A text for each part: chains, branches, rings, aromatic parts, charged ends, and six kinds that can't be read.
@@ -170,3 +173,35 @@ def text_merged_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All distinct words of the documents in pieces, by merges of their bytes' letters."""
     words = written(_words(spark, sf_dir).select("word", "n", M.byte_symbols(F.col("word")).alias("symbols")), "merges-words")
     return M.merged(words, _merge_table(words)).select("word", F.array_join("symbols", " ").alias("pieces"))
+
+
+#: Chains of 3 to 14 atoms; some have a ring of the first three.  The receptor is one point by each.
+_CHAIN = "CNOSC"
+_M = {e: round(MASSES[e] * 10**8) for e in set(_CHAIN)}
+_FRAGMENTS_SQL = f"""
+WITH p AS (SELECT p_partkey AS k, p_size % 12 + 3 AS n FROM part), a AS (SELECT k, n, i, substr('{_CHAIN}', ((i * 7 + k) % 5 + 1)::INT, 1) AS e FROM p, range(1, 15) r(i) WHERE i <= n),
+m AS (SELECT *, CASE e {' '.join(f"WHEN '{e}' THEN {w}" for e, w in _M.items())} END AS w FROM a),
+s AS (SELECT x.k, x.n, x.i, sum(y.w) FILTER (y.i <= x.i) AS first, sum(y.w) FILTER (y.i > x.i) AS rest FROM a x JOIN m y ON y.k = x.k WHERE x.i < x.n AND NOT (x.k % 3 = 0 AND x.i < 3) AND (x.i + x.k) % 4 > 0 GROUP BY ALL),
+f AS (SELECT s.k, s.i, m.i AS atom, m.e, m.w FROM s JOIN m ON m.k = s.k AND CASE WHEN first >= rest THEN m.i > s.i ELSE m.i <= s.i END),
+c AS (SELECT k, i, e, count(*) AS c FROM f GROUP BY ALL),
+g AS (SELECT k, i, sum(w) / 1e8 AS mass, count(*) AS heavy, min(atom) AS first_atom FROM f GROUP BY ALL HAVING sum(w) BETWEEN 2000000000 AND 15000000000 AND count(*) <= 6),
+h AS (SELECT g.*, (SELECT string_agg(e || c, '' ORDER BY e) FROM c WHERE c.k = g.k AND c.i = g.i) AS formula FROM g WHERE power(1.5 * (first_atom - 1), 2) + 16 <= 36)
+SELECT k::INT AS mol, (i - 1)::INT AS bond, round(mass, 6) AS mass, heavy::INT AS heavy, formula FROM h QUALIFY row_number() OVER (PARTITION BY formula ORDER BY k, i) <= 40"""
+
+
+@query("fragments_within_bounds", _FRAGMENTS_SQL)
+def fragments_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of structure records that are written from a table: by mass, heavy atoms, distance and repeats."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 12 + 3).alias("n"))
+    each = F.sequence(F.lit(1), F.col("n"))
+    atoms = F.transform(each, lambda i: F.struct(i.alias("idx"), F.substring(F.lit(_CHAIN), ((i * 7 + F.col("k")) % 5 + 1).cast("int"), F.lit(1)).alias("symbol"), (1.5 * (i - 1)).alias("x"), (F.col("k") % 3).cast("double").alias("y"), F.lit(0.0).alias("z")))
+    chain = F.transform(F.slice(each, F.lit(1), F.col("n") - 1), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"), F.when((i + F.col("k")) % 4 == 0, 2).otherwise(1).alias("order")))
+    ring = F.when(F.col("k") % 3 == 0, F.array(F.struct(F.lit(1).alias("a"), F.lit(3).alias("b"), F.lit(1).alias("order")))).otherwise(F.array().cast("array<struct<a: int, b: int, order: int>>"))
+    mols = p.select("k", F.col("k").cast("string").alias("title"), atoms.alias("atoms"), F.concat(chain, ring).alias("bonds"))
+    blocks = writers.molblock(mols, "k").select(F.col("k"), F.concat("molblock", F.lit("\n$$$$")).alias("value"))
+    path = new_path(spark, "file-molecules")
+    blocks.select("value").write.text(path)
+    read_back = structures.sdf(spark, path).where("error is null").select(F.col("title").cast("int").alias("mol"), "atoms", "bonds")
+    receptor = p.select(F.col("k").cast("int").alias("mol"), F.lit(0.0).alias("x"), (F.col("k") % 3).cast("double").alias("y"), F.lit(4.0).alias("z"))
+    found = fragments.fragments(read_back, "mol", fragments.Bounds(20.0, 150.0, 1, 6, 6.0, 40), receptor)
+    return found.select("mol", "bond", F.round("mass", 6).alias("mass"), "heavy", "formula")

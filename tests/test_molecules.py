@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import smiles_graph as G
-from lodestone.operators import clusters, inner_products, merges
+from lodestone.functions.atoms import MASSES
+from lodestone.operators import clusters, fragments, inner_products, merges
 
 # error, atoms, bonds, hydrogens, parts and the orders of the bonds, by hand.
 GOLDEN = {
@@ -174,3 +175,65 @@ def test_inner_product_cells(spark, monkeypatch):
     assert inner_products.rows_read(index, queries) < 0.35
     few = frame.where("id < 3")
     assert inner_products.search(inner_products.build(few, 5), queries.where("id = 20"), 5).count() == 3
+
+
+def plain_cuts(symbols, bonds, most):
+    """Each single bond without which exactly two pieces are left, by a walk for each."""
+    n, out = len(symbols), []
+
+    def reached(start, without):
+        seen, todo = {start}, [start]
+        while todo:
+            x = todo.pop()
+            for i, (a, b, _) in enumerate(bonds):
+                if i != without and x in (a, b) and (y := b if x == a else a) not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    if not n or len(reached(1, None)) < n:
+        return out
+    weigh = lambda side: sum(round(MASSES.get(symbols[x - 1], 0) * 10**8) for x in side)
+    for i, (a, b, order) in enumerate(bonds):
+        mine = reached(a, i)
+        if order != 1 or a == b or b in mine:
+            continue
+        rest = set(range(1, n + 1)) - mine
+        parent, fragment, ends = (mine, rest, (a, b)) if weigh(mine) >= weigh(rest) else (rest, mine, (b, a))
+        if any(symbols[x - 1] in ("C", "N", "O") for x in fragment) and not 0 <= most < weigh(fragment) / 10**8:
+            out.append((i, sorted(parent), sorted(fragment), *ends))
+    return out
+
+
+def test_fragments_of_random_graphs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        n = rng.choice([0, 1, 2, 5, 9, 14])
+        bonds = [(rng.randint(max(1, i - 3), i), i + 1, rng.choice([1, 1, 1, 2])) for i in range(1, n) if rng.random() > 0.02]
+        bonds += [(rng.randint(1, n), rng.randint(1, n), 1) for _ in range(rng.choice([0, 0, 1, 2])) if n]
+        rng.shuffle(bonds)
+        rows.append((k, [(i + 1, rng.choice(["C", "C", "N", "O", "H", "Xx"]), float(i), 0.0, 0.0) for i in range(n)], bonds))
+    schema = "k long, atoms array<struct<idx:int,symbol:string,x:double,y:double,z:double>>, bonds array<struct<a:int,b:int,order:int>>"
+    frame = spark.createDataFrame([*rows, (900, None, None)], schema).repartition(3)
+    monkeypatch.setattr(fragments, "_TOGETHER", 17)
+    for most in (-1, 30):
+        got = {}
+        for r in fragments.split_bonds(frame, "k", most_mass=most).collect():
+            got.setdefault(r.k, []).append((r.bond, r.parent, r.fragment, r.parent_anchor, r.fragment_anchor))
+        want = {k: found for k, atoms, bonds in rows if (found := plain_cuts([a[1] for a in atoms], bonds, most))}
+        assert {k: sorted(v) for k, v in got.items()} == want
+    assert len(want) > 100
+
+
+def test_fragments_within_bounds(spark):
+    chain = [(i + 1, s, 1.5 * i, 0.0, 0.0) for i, s in enumerate("CCCCNO")]
+    mols = spark.createDataFrame([(k, chain, [(i, i + 1, 1) for i in range(1, 6)]) for k in (1, 2, 3)], "k long, atoms array<struct<idx:int,symbol:string,x:double,y:double,z:double>>, bonds array<struct<a:int,b:int,order:int>>")
+    receptor = spark.createDataFrame([(1, 0.0, 3.0, 0.0), (2, 7.5, 3.0, 0.0)], "k long, x double, y double, z double")
+    of = lambda **b: sorted((r.k, r.bond, r.formula) for r in fragments.fragments(mols, "k", fragments.Bounds(**b), receptor).collect())
+    every = [(0, "C1"), (1, "C2"), (2, "C3"), (3, "N1O1"), (4, "O1")]
+    assert of(most_distance=None) == [(k, b, f) for k in (1, 2, 3) for b, f in every]
+    # Near the first atom, or near the last; the third has no receptor.
+    assert of(most_distance=3.2) == [(1, 0, "C1"), (1, 1, "C2"), (1, 2, "C3"), (2, 3, "N1O1"), (2, 4, "O1")]
+    assert of(most_distance=None, least_mass=13, most_mass=25, most_heavy=2) == [(k, b, f) for k in (1, 2, 3) for b, f in every if f in ("C2", "O1")]
+    assert of(most_distance=None, repeats=2) == [(k, b, f) for k in (1, 2) for b, f in every]
