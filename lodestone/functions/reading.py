@@ -162,3 +162,19 @@ def word_to_tokens(word_ids: Column, word: Column) -> Column:
     """First token of a word and the one after its last, as a struct; null if it has none."""
     first = F.array_position(word_ids, word) - 1
     return F.when(first >= 0, F.struct(first.cast("int").alias("start"), (first + F.size(F.filter(word_ids, lambda x: x == word))).cast("int").alias("end")))
+
+
+def token_to_word(word_ids: Column, token: Column) -> Column:
+    """The word that a token is of, null for marks; tokens below 0 count from the end."""
+    return F.get(word_ids, F.when(token < 0, F.size(word_ids) + token).otherwise(token))
+
+
+def word_to_chars(offsets: Column, word_ids: Column, word: Column) -> Column:
+    """From the first character of a word's first token to the end of its last, as a struct; null if it has none."""
+    span = word_to_tokens(word_ids, word)
+    return F.when(span.isNotNull(), F.struct(F.get(offsets, span["start"])["start"].alias("start"), F.get(offsets, span["end"] - 1)["end"].alias("end")))
+
+
+def char_to_word(offsets: Column, word_ids: Column, char: Column) -> Column:
+    """The word that a character is in, null between tokens."""
+    return token_to_word(word_ids, char_to_token(offsets, char))

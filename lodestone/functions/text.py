@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from html.entities import name2codepoint
 
@@ -166,3 +167,17 @@ def token_f1(pred: Column, gold: Column) -> Column:
     p, g = whitespace_tokens(normalize_answer(pred)), whitespace_tokens(normalize_answer(gold))
     same = common_tokens(p, g)
     return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
+
+
+def label_list(labels: Column) -> Column:
+    """The labels that a text lists by commas, stripped."""
+    return F.transform(F.split(labels, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+
+
+def hypotheses(labels: Column, template: str) -> Column:
+    """The template with each label in its first ``{}``; ``{{`` and ``}}`` are braces.  One without a place for it is an error."""
+    parts = re.split(r"(?<!\{)\{\}(?!\})", template)
+    if len(parts) < 2:
+        raise ValueError(f"the template {template!r} has no place for a label")
+    before, after = (x.replace("{{", "{").replace("}}", "}") for x in (parts[0], "{}".join(parts[1:])))
+    return F.transform(labels, lambda x: F.concat(F.lit(before), x, F.lit(after)))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from ..storage import written
 from .sequences import running
 
+#: Distinct values whose ranks are broadcast.
+FEW = 100_000
+
 
 def counts(pred: Column, gold: Column) -> list[Column]:
     n = lambda c, name: F.sum(c.cast("bigint")).alias(name)
@@ -35,17 +40,18 @@ def regression(rows: DataFrame, pred: str, gold: str, keys: list[str] | None = N
 def average_ranks(rows: DataFrame, value: str, name: str, keys: list[str]) -> DataFrame:
     """rows with the rank of value within keys; tied values share the mean of their ranks.
 
-    Ranks come from running counts of the distinct values of all keys together, so a key of any size
-    is dealt out by range.
+    Ranks come from running counts of the distinct values: of all keys together, dealt out by range, so that a key may be of
+    any size; or by key, if the values are at most FEW, and then they are broadcast to the rows.
     """
-    by = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = running(by, [*keys, value], {"_upto": "_n"})
+    by = written(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), "ranks")
+    few = by.count() <= FEW
+    upto = by.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))) if few else running(by, [*keys, value], {"_upto": "_n"})
     first = upto.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_first"))
     same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in keys]
     ranks = upto.alias("_l").join(first.alias("_r"), same) if keys else upto.crossJoin(F.broadcast(first)).alias("_l")
     ranks = ranks.select(*[F.col(f"_l.{c}").alias(f"_k{i}") for i, c in enumerate([*keys, value])], (F.col("_upto") - F.col("_first") - (F.col("_n") - 1) / 2).alias(name))
     match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, value])]
-    return rows.join(ranks, match).drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+    return rows.join(F.broadcast(ranks) if few else ranks, match).drop(*[f"_k{i}" for i in range(len(keys) + 1)])
 
 
 def correlations(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

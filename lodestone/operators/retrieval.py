@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -169,9 +171,9 @@ def top_k_accuracy(ranks: DataFrame, ks: list[int]) -> DataFrame:
 
 
 def mean_vector(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Elementwise mean over the rows of a key, as (keys, vector): partial sums, no vector collected."""
-    parts = rows.select(*keys, F.posexplode(vector).alias("pos", "value")).groupBy(*keys, "pos").agg(F.avg("value").alias("value"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(vector))
+    """Elementwise mean over the rows of a key, as (keys, vector): vectors are added up as they are, in each part first."""
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.groupBy(*keys).agg(mean.alias("_mean")).select(*keys, vector_to_array("_mean").alias(vector))
 
 
 def with_cached(rows: DataFrame, cache: DataFrame, key: str, value: str, compute) -> DataFrame:

@@ -18,6 +18,27 @@ def runs(rows: DataFrame, keys: list[str], order: str, value: str, starts: Colum
     return rows.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def entity_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, entity, score and word of the entities in rows (keys, index, entity, score, word, is_subword).
+
+    A token goes on with the group before it if it is next to it, of the same type (behind the mark) and not marked B;
+    a subword always does, has its type and doesn't count in the mean score.  Pieces (``##``) are put together.
+    """
+    order = Window.partitionBy(*keys).orderBy("index")
+    first = F.row_number().over(order) == 1
+    inner = F.col("is_subword") & ~first
+    kind = F.element_at(F.split("entity", "-"), -1)
+    rows = rows.withColumn("_inner", inner).withColumn("_type", F.when(~F.col("_inner"), kind))
+    rows = rows.withColumn("_type", F.last("_type", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    goes_on = (F.lag("_type").over(order) == F.col("_type")) & (F.get(F.split("entity", "-"), F.lit(0)) != "B") & (F.lag("index").over(order) == F.col("index") - 1)
+    rows = rows.withColumn("_new", F.when(F.col("_inner") | F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("index", "word"))), lambda x: x["word"])
+    word = F.trim(F.replace(F.array_join(words, " "), F.lit(" ##"), F.lit("")))
+    grouped = rows.groupBy(*keys, "_group").agg(F.min("index").alias("start"), F.min_by("_type", "index").alias("entity"), F.avg(F.when(~F.col("_inner"), F.col("score"))).alias("score"), word.alias("word"))
+    return grouped.drop("_group")
+
+
 def numbered(rows: DataFrame, order: list[str], name: str = "nth") -> DataFrame:
     """rows numbered from 0 in a total order, without one task for all: rows are dealt out by range of
     the order and sorted within their part, and that one partitioning is written; so the counts are those

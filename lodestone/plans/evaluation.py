@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
+from ..storage import written
 
 
 def label_codes(codes: str) -> list[str]:
@@ -26,7 +27,8 @@ def evaluated(predictions: DataFrame, library: DataFrame, k: int, digits: int |
     per_checkpoint = retrieval.mean_vector(predictions, ["entry", "checkpoint"], "vector")
     mean = retrieval.mean_vector(per_checkpoint, ["entry"], "vector")
     targets = predictions.groupBy("entry").agg(F.first("target").alias("target"))
-    queries = mean.select(F.col("entry").alias("id"), "vector")
+    # Both look-ups read it several times.
+    queries = written(mean.select(F.col("entry").alias("id"), "vector"), "evaluation-queries")
     matches = retrieval.top_k(queries, library, k, digits=digits)
     ranks = retrieval.target_ranks(queries.join(targets.withColumnRenamed("entry", "id"), "id"), library)
     return matches, retrieval.top_k_accuracy(ranks, list(range(1, k + 1)))

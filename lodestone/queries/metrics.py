@@ -93,9 +93,30 @@ FROM (SELECT (l_returnflag <> 'N')::INT AS has, l_linenumber % 2 AS score FROM l
 )
 def eval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").select((F.col("l_returnflag") != "N").cast("int").alias("has"), (F.col("l_linenumber") % 2).alias("score"))
-    name = F.when(F.grouping("has") == 1, "all").when(F.col("has") == 1, "HasAns").otherwise("NoAns")
-    g = rows.groupingSets([[], [F.col("has")]], F.col("has")).agg(name.alias("slice"), F.count("*").alias("total"), F.round(100 * F.avg("score"), 6).alias("exact"))
-    return g.select("slice", "total", "exact")
+    return metrics.eval_slices(rows, "has", "score", "score").select("slice", "total", F.round("exact", 6).alias("exact"))
+
+
+_CLASSED = {"cola": ["mcc"], "sst-2": ["acc"], "mrpc": ["acc", "f1", "acc_and_f1"], "qqp": ["acc", "f1", "acc_and_f1"], "mnli": ["mnli/acc"], "mnli-mm": ["mnli-mm/acc"], "qnli": ["acc"], "rte": ["acc"], "wnli": ["acc"], "hans": ["acc"]}
+_MEASURE = {"acc": "(tp + tn) / (tp + tn + fp + fn)", "f1": "2 * tp / (2 * tp + fp + fn)", "mcc": "(tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))"}
+_MEASURE["acc_and_f1"] = f"({_MEASURE['acc']} + {_MEASURE['f1']}) / 2"
+
+
+@query(
+    "metric_task_scores",
+    f"WITH {CM}, o AS (SELECT o_totalprice AS a, o_custkey AS b, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS ra, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS rb FROM orders), "
+    "k AS (SELECT corr(a, b) AS p, corr(ra, rb) AS s FROM o) "
+    + " UNION ALL ".join(f"SELECT '{t}' AS task, '{m}' AS measure, round({_MEASURE[m.split('/')[-1]]}, 8) AS value FROM c" for t, ms in _CLASSED.items() for m in ms)
+    + " UNION ALL SELECT 'sts-b', unnest(['pearson', 'spearmanr', 'corr']), unnest([round(p, 8), round(s, 8), round((p + s) / 2, 8)]) FROM k",
+)
+def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of every task: of the classes that labels gives, and of two numbers of each order."""
+    labels, orders = read(spark, sf_dir, "labels"), read(spark, sf_dir, "orders")
+    out = None
+    for task in metrics.TASKS:
+        scores = metrics.task_metrics(task, orders, "o_totalprice", "o_custkey") if task == "sts-b" else metrics.task_metrics(task, labels, "toxic", "quality")
+        long = scores.select(F.lit(task).alias("task"), F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(F.col(f"`{c}`"), 8).alias("value")) for c in scores.columns])))
+        out = long if out is None else out.union(long)
+    return out
 
 
 @query("metric_split_counts", "SELECT source AS split, count(DISTINCT lang) AS receptors, count(*) AS fragments, count(DISTINCT n_chars) AS unique_fragments FROM documents GROUP BY 1")

@@ -1,4 +1,4 @@
-"""SMILES read into graphs, fragments, clusters of bit sets, and merges of byte symbols."""
+"""SMILES read into graphs, fragments, clusters of bit sets, merges of byte symbols, and rejected rows."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from ..functions.atoms import MASSES
 from ..operators import clusters as C
 from ..operators import fragments
 from ..operators import merges as M
+from ..operators.rejects import attempted
 from ..sinks import writers
 from ..sources import structures
 from ..storage import new_path, written
@@ -205,3 +206,15 @@ def fragments_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     receptor = p.select(F.col("k").cast("int").alias("mol"), F.lit(0.0).alias("x"), (F.col("k") % 3).cast("double").alias("y"), F.lit(4.0).alias("z"))
     found = fragments.fragments(read_back, "mol", fragments.Bounds(20.0, 150.0, 1, 6, 6.0, 40), receptor)
     return found.select("mol", "bond", F.round("mass", 6).alias("mass"), "heavy", "formula")
+
+
+@query(
+    "rejected_rows",
+    """WITH p AS (SELECT p_partkey, p_size, p_size % 10 AS d FROM part)
+        SELECT p_partkey, (p_size // d)::BIGINT AS value, NULL::VARCHAR AS reason FROM p WHERE d > 0 UNION ALL SELECT p_partkey, NULL, 'ZeroDivisionError: integer division or modulo by zero' FROM p WHERE d = 0""",
+)
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all rows that have one, and reasons of the others."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    good, bad = attempted(rows, lambda b: [int(s) // (int(s) % 10) for s in b["p_size"]], "long")
+    return good.select("p_partkey", "value", F.lit(None).cast("string").alias("reason")).union(bad.select("p_partkey", F.lit(None).cast("bigint"), "reason"))

@@ -139,6 +139,32 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(rows)
 
 
+def _power(name: str, of: str, start: str, less: str) -> str:
+    """Rounds of multiplying by the covariance; the other eigenvalues are smaller by enough."""
+    return f"""{name} AS (SELECT 0 AS k, [({start})::DOUBLE FOR i IN range(width)] AS v FROM n UNION ALL
+SELECT k + 1, list_transform(w, lambda z: z / sqrt(list_dot_product(w, w))) FROM (SELECT k, {less} AS w FROM (SELECT k, list_transform(rows, lambda r: list_dot_product(r, v)) AS w FROM {name}, {of} WHERE k < 6000){", a1" if less != "w" else ""}))"""
+
+
+_LESS = "list_transform(w, lambda z, i: z - list_dot_product(w, v1) * v1[i])"
+
+
+@query(
+    "pca_magnitudes",
+    f"""WITH RECURSIVE {NUMBERS}, x AS (SELECT id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u), m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1), c AS (SELECT id, i, x - m AS x FROM x JOIN m USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (id) GROUP BY 1, 2), r AS MATERIALIZED (SELECT list(row ORDER BY i) AS rows FROM (SELECT i, list(v ORDER BY j) AS row FROM cov GROUP BY i)), n AS (SELECT count(*) AS width FROM m),
+{_power("p1", "r", "1.0 + i * 0.01", "w")}, a1 AS MATERIALIZED (SELECT v AS v1 FROM p1 WHERE k = 6000),
+{_power("p2", "r", "1.0 - i * 0.03", _LESS)}, a2 AS (SELECT v AS v2 FROM p2 WHERE k = 6000),
+l AS (SELECT id, list(x ORDER BY i) AS x FROM c GROUP BY id)
+SELECT id, 1::INT AS component, round(abs(list_dot_product(x, v1)), 6) AS magnitude FROM l, a1 UNION ALL SELECT id, 2, round(abs(list_dot_product(x, v2)), 6) FROM l, a2""",
+)
+def pca_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted projection without its signs, which are anyone's."""
+    rows = vectors(spark, sf_dir)
+    project, _ = projection.fitted(rows, 2)
+    out = project(rows).select("id", F.posexplode("components").alias("c", "value"))
+    return out.select("id", (F.col("c") + 1).alias("component"), F.round(F.abs("value"), 6).alias("magnitude"))
+
+
 EVALUATION = """e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), x AS (SELECT vec_id, -1 - vec_id // 15 AS entry, (vec_id % 15) // 5 AS ckpt, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
 c AS (SELECT entry, ckpt, pos, avg(x) AS x FROM x GROUP BY ALL), m AS (SELECT entry, pos, avg(x) AS x FROM c GROUP BY ALL), q AS (SELECT entry, list(x ORDER BY pos) AS v FROM m GROUP BY 1),
 t AS (SELECT -1 - vec_id // 15 AS entry, arg_min(v, vec_id) AS target FROM e GROUP BY 1), d AS (SELECT entry, vec_id, list_cosine_similarity(q.v, e.v) AS near FROM q, e),

@@ -285,6 +285,21 @@ def offset_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", at.alias("token"), chars["start"].alias("start"), chars["end"].alias("end"), span["start"].alias("first"), span["end"].alias("past"))
 
 
+@query(
+    "tokens_offset_words",
+    rf"""WITH w AS (SELECT item_id, text, length(text) // 2 AS c, regexp_extract_all(text, '{G}') AS t FROM benchmark), e AS (SELECT item_id, text, c, len(t) AS n, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS i FROM w),
+s AS (SELECT *, i + coalesce(sum(length(word)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
+SELECT item_id, (max(i) FILTER (start <= c AND c < start + length(word)) // 2)::INT AS word, max(start) FILTER (i = 4)::INT AS start, max(start + length(word)) FILTER (i = 5)::INT AS "end", ((max(n) - 1) // 2)::INT AS last FROM s WHERE text = array_to_string(regexp_extract_all(text, '{G}'), ' ') GROUP BY 1 HAVING count(*) > 9""",
+)
+def offset_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with single spaces, of which two tokens are a word."""
+    rows = read(spark, sf_dir, "benchmark").where(F.col("text") == F.array_join(R.context_words(F.col("text")), " ")).where(F.size(R.context_words(F.col("text"))) > 9)
+    rows = rows.select("item_id", "text", R.token_offsets(F.col("text")).alias("o")).withColumn("w", F.transform("o", lambda _, i: F.floor(i / 2).cast("int")))
+    chars = R.word_to_chars(F.col("o"), F.col("w"), F.lit(2))
+    at = R.char_to_word(F.col("o"), F.col("w"), F.floor(F.char_length("text") / 2).cast("int"))
+    return rows.select("item_id", at.alias("word"), chars["start"].alias("start"), chars["end"].alias("end"), R.token_to_word(F.col("w"), F.lit(-1)).alias("last"))
+
+
 @query("squad_features_with_results", "SELECT vec_id // 5 AS example, (vec_id % 5)::INT AS feature, vec_id AS unique_id, round(embedding[1]::DOUBLE + embedding[2]::DOUBLE, 8) AS null_score FROM embeddings")
 def features_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")

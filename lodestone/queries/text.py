@@ -121,3 +121,37 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").withColumn("i", F.row_number().over(order))
     grouped = runs(rows, ["user_id"], "i", "event_type")
     return grouped.groupBy("user_id", "run", F.col("event_type").alias("entity")).agg(F.min("i").alias("start"), F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("score")).drop("run")
+
+
+_NER = """n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id, event_type, value FROM events),
+t AS (SELECT user_id, i + i // 7 AS index, CASE WHEN event_id % 4 = 0 THEN 'B-' ELSE 'I-' END || event_type AS entity, value AS score, CASE WHEN event_id % 5 = 0 THEN '##' ELSE '' END || event_type AS word, event_id % 5 = 0 AS is_subword FROM n)"""
+
+
+@query(
+    "entity_groups_marked",
+    f"""WITH {_NER}, a AS (SELECT *, is_subword AND row_number() OVER w > 1 AS sub FROM t WINDOW w AS (PARTITION BY user_id ORDER BY index)),
+b AS (SELECT *, last_value(CASE WHEN NOT sub THEN split_part(entity, '-', 2) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY index ROWS UNBOUNDED PRECEDING) AS kind FROM a),
+c AS (SELECT *, CASE WHEN sub OR coalesce(lag(kind) OVER w = kind AND entity NOT LIKE 'B-%' AND lag(index) OVER w = index - 1, false) THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY user_id ORDER BY index)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY index ROWS UNBOUNDED PRECEDING) AS grp FROM c)
+SELECT user_id, min(index)::BIGINT AS start, arg_min(kind, index) AS entity, round(avg(score) FILTER (NOT sub), 8) AS score, trim(replace(string_agg(word, ' ' ORDER BY index), ' ##', '')) AS word FROM g GROUP BY user_id, grp""",
+)
+def entities_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by the marks B and I, with subwords and gaps."""
+    from ..operators.sequences import entity_groups
+
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = read(spark, sf_dir, "events").withColumn("i", i)
+    sub = F.col("event_id") % 5 == 0
+    rows = rows.select(
+        "user_id", (F.col("i") + F.floor(F.col("i") / 7)).alias("index"), F.concat(F.when(F.col("event_id") % 4 == 0, "B-").otherwise("I-"), "event_type").alias("entity"),
+        F.col("value").alias("score"), F.concat(F.when(sub, "##").otherwise(""), "event_type").alias("word"), sub.alias("is_subword"),
+    )
+    found = entity_groups(rows, ["user_id"])
+    return found.select("user_id", F.col("start").cast("bigint").alias("start"), "entity", F.round("score", 8).alias("score"), "word")
+
+
+@query("zero_shot_pairs", "SELECT p_partkey, p_name AS premise, 'A ' || trim(unnest([p_brand, p_type, 'none'])) || ' thing, {}.' AS hypothesis FROM part")
+def zero_shot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name with a hypothesis for each of its labels, which stand in one text."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_brand", F.lit(" ,  "), "p_type", F.lit(",none")).alias("labels"))
+    return rows.select("p_partkey", F.col("p_name").alias("premise"), F.explode(X.hypotheses(X.label_list(F.col("labels")), "A {} thing, {{}}.")).alias("hypothesis"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import atoms as A
 from ..operators import voxels as V
+from ..sinks import writers
+from ..sources import structures
+from ..storage import new_path
 from ._registry import query, read
 
 ATOMS = """a AS (SELECT label AS item, vec_id, 8 * embedding[1]::DOUBLE AS x, 8 * embedding[2]::DOUBLE AS y, 8 * embedding[3]::DOUBLE AS z,
@@ -83,6 +86,16 @@ for _shape in A.SHAPES:
 query("voxel_exp_rotated", _sql("exp", "sum", True))(_voxels("exp", "sum", True))
 
 
+@query("sink_voxel_atoms", f"SELECT item::BIGINT AS item, channel, (1 + count(*) FILTER (density > 0.5))::BIGINT AS atoms, round(coalesce(sum((x - {W / 2}) * {RES}) FILTER (density > 0.5), 0), 3) AS x FROM ({_sql('exp', 'sum', False)}) GROUP BY 1, 2")
+def voxel_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a grid as the atoms of structure files, one a channel, read back; each has one at the centre too."""
+    path = new_path(spark, "sink-voxels")
+    grid = V.voxelize(atoms(spark, sf_dir), V.VoxelParams(W, RES, "exp", "sum", SCALE), rotation=False).withColumn("density", F.round("density", 8))
+    writers.voxel_pdb(grid, W, RES).select(F.col("pdb").alias("value"), "item", "channel").repartition("item", "channel").write.partitionBy("item", "channel").text(path)
+    found = structures.pdb_atoms(spark, path).select(F.regexp_extract("path", r"item=(-?\d+)", 1).cast("bigint").alias("item"), F.regexp_extract("path", r"channel=(\d+)", 1).cast("int").alias("channel"), "x")
+    return found.groupBy("item", "channel").agg(F.count("*").alias("atoms"), F.round(F.sum("x"), 3).alias("x"))
+
+
 @query(
     "atoms_near_ligand",
     f"""WITH {ATOMS} SELECT a.vec_id FROM a WHERE num > 1 AND vec_id % 7 <> 0 AND EXISTS (SELECT 1 FROM a b WHERE b.item = a.item AND b.vec_id % 7 = 0 AND b.num > 1

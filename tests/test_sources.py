@@ -148,3 +148,12 @@ def test_streams(spark, tmp_path):
     piped = streams.piped(spark.readStream.text(str(tmp_path / "txt")), ["question", "context"])
     got = streams.drained(piped, str(tmp_path / "p"), str(tmp_path / "pc"))
     assert sorted((r.question, r.context) for r in got.collect()) == [("only", None), ("q", "c")]
+
+
+def test_structure_families(spark, tmp_path):
+    meta = put(tmp_path, "m.csv", "family,pdb_id,ligand,valid,smiles\n1,1ABC,LIG,valid,CC\n1,2xyz,X,invalid,O\n2,3nof,Y,valid,N\n")
+    (tmp_path / "s").mkdir()
+    for name in ("1abc.bio1", "1abc.bio2", "2XYZ.bio1", "1abc.txt"):
+        (tmp_path / "s" / name).write_text("END\n")
+    got = sorted((r.family, r.pdb_id, r.ligand, r.valid, r.smiles, r.path.split("/")[-1]) for r in tables.structure_families(spark, meta, str(tmp_path / "s")).collect())
+    assert got == [("1", "1ABC", "LIG", True, "CC", "1abc.bio1"), ("1", "1ABC", "LIG", True, "CC", "1abc.bio2"), ("1", "2xyz", "X", False, "O", "2XYZ.bio1")]
