@@ -208,16 +208,18 @@ def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tokens_trimmed_batches",
-    f"""WITH {IDS}, p AS (SELECT doc_id, doc_id // 8 AS batch, [101] || ids[1:60] || [102] AS ids FROM t), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS width FROM p)
-SELECT doc_id, array_to_string((ids || list_transform(range(64 - len(ids)), lambda i: 0))[1:width], ',') AS input_ids, width::INT AS width, len(list_filter((ids || list_transform(range(64 - len(ids)), lambda i: 0))[1:width], lambda x: x IN (0, 101, 102)))::BIGINT AS n_special FROM w""",
+    f"""WITH {IDS}, p AS (SELECT doc_id, piece::INT AS piece, doc_id // 8 AS batch, [101] || ids[60 * piece + 1:60 * piece + 60] || [102] AS ids FROM t, range(0, greatest(1, (len(ids) + 59) // 60)) r(piece)), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch, piece) AS width FROM p)
+SELECT doc_id, piece, array_to_string((ids || list_transform(range(64 - len(ids)), lambda i: 0))[1:width], ',') AS input_ids, width::INT AS width, len(list_filter((ids || list_transform(range(64 - len(ids)), lambda i: 0))[1:width], lambda x: x IN (0, 101, 102)))::BIGINT AS n_special FROM w""",
 )
 def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows padded to 64 tokens, cut to the last attended place of their batch of eight."""
-    rows = ids(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.concat(F.array(F.lit(101)), F.slice("ids", 1, 60), F.array(F.lit(102))).alias("ids"))
-    rows = rows.select("doc_id", "batch", C.padded(F.col("ids"), F.lit(64)).alias("p"))
+    """Documents in pieces of 60 tokens, padded to 64, cut to the last attended place of their batch of eight."""
+    pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("ids") - 1) / 60).cast("int"))))
+    rows = ids(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), "ids", pieces.alias("piece"))
+    rows = rows.withColumn("ids", F.concat(F.array(F.lit(101)), F.slice("ids", 60 * F.col("piece") + 1, F.lit(60)), F.array(F.lit(102))))
+    rows = rows.select("doc_id", "piece", "batch", C.padded(F.col("ids"), F.lit(64)).alias("p"))
     last = F.array_max(F.transform("p.attention_mask", lambda x, i: x * (i + 1)))
-    rows = rows.withColumn("width", F.max(last).over(Window.partitionBy("batch"))).withColumn("cut", F.slice("p.input_ids", F.lit(1), F.col("width")))
-    return rows.select("doc_id", flat(F.col("cut")).alias("input_ids"), "width", V.total(V.doubles(C.special_mask(F.col("cut"), [0, 101, 102]))).cast("bigint").alias("n_special"))
+    rows = rows.withColumn("width", F.max(last).over(Window.partitionBy("batch", "piece"))).withColumn("cut", F.slice("p.input_ids", F.lit(1), F.col("width")))
+    return rows.select("doc_id", "piece", flat(F.col("cut")).alias("input_ids"), "width", V.total(V.doubles(C.special_mask(F.col("cut"), [0, 101, 102]))).cast("bigint").alias("n_special"))
 
 
 @query(

@@ -253,19 +253,20 @@ def truncated_with_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tokens_padded_batches",
-    f"""WITH {IDS}, b AS (SELECT doc_id, doc_id // 8 AS batch, ids[1:200] AS ids FROM t), w AS (SELECT *, ceil(max(len(ids)) OVER (PARTITION BY batch) / 8)::INT * 8 AS width FROM b)
-SELECT doc_id, array_to_string(CASE WHEN batch % 2 = 0 THEN ids || list_transform(range(width - len(ids)), lambda i: 0) ELSE list_transform(range(width - len(ids)), lambda i: 0) || ids END, ',') AS input_ids, len(ids)::BIGINT AS attended, (width - len(ids))::BIGINT AS special, CASE WHEN batch % 2 = 0 OR width = len(ids) THEN 1 ELSE 0 END AS first_attended FROM w WHERE len(ids) > 0""",
+    f"""WITH {IDS}, b AS (SELECT doc_id, piece::INT AS piece, doc_id // 8 AS batch, ids[200 * piece + 1:200 * piece + 200] AS ids FROM t, range(0, (len(ids) + 199) // 200) r(piece)), w AS (SELECT *, ceil(max(len(ids)) OVER (PARTITION BY batch, piece) / 8)::INT * 8 AS width FROM b)
+SELECT doc_id, piece, array_to_string(CASE WHEN batch % 2 = 0 THEN ids || list_transform(range(width - len(ids)), lambda i: 0) ELSE list_transform(range(width - len(ids)), lambda i: 0) || ids END, ',') AS input_ids, len(ids)::BIGINT AS attended, (width - len(ids))::BIGINT AS special, CASE WHEN batch % 2 = 0 OR width = len(ids) THEN 1 ELSE 0 END AS first_attended FROM w WHERE len(ids) > 0""",
 )
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 200 tokens of a document (the model's length), padded to the longest of a batch of eight and a multiple of eight."""
+    """Documents in pieces of 200 tokens (the model's length), padded to the longest of a batch of eight and a multiple of eight."""
     from pyspark.sql import Window
 
     batch = F.floor(F.col("doc_id") / 8)
-    rows = ids(spark, sf_dir).select("doc_id", batch.alias("batch"), F.slice("ids", 1, 200).alias("ids"))
-    rows = rows.withColumn("width", F.max(F.size("ids")).over(Window.partitionBy("batch"))).where(F.size("ids") > 0)
+    rows = ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", batch.alias("batch"), "ids", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / 200).cast("int"))).alias("piece"))
+    rows = rows.withColumn("ids", F.slice("ids", 200 * F.col("piece") + 1, F.lit(200)))
+    rows = rows.withColumn("width", F.max(F.size("ids")).over(Window.partitionBy("batch", "piece")))
     p = F.when(F.col("batch") % 2 == 0, R.padded(F.col("ids"), F.col("width"), multiple=8)).otherwise(R.padded(F.col("ids"), F.col("width"), left=True, multiple=8))
     total = lambda c: V.total(V.doubles(F.col(c))).cast("bigint")
-    return rows.select("doc_id", p.alias("p")).select("doc_id", flat(F.col("p.input_ids")).alias("input_ids"), total("p.attention_mask").alias("attended"), total("p.special_tokens_mask").alias("special"), F.get("p.attention_mask", F.lit(0)).alias("first_attended"))
+    return rows.select("doc_id", "piece", p.alias("p")).select("doc_id", "piece", flat(F.col("p.input_ids")).alias("input_ids"), total("p.attention_mask").alias("attended"), total("p.special_tokens_mask").alias("special"), F.get("p.attention_mask", F.lit(0)).alias("first_attended"))
 
 
 @query(

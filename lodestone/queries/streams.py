@@ -101,7 +101,7 @@ def _chance(i: str, what: int) -> str:
 @query(
     "tokens_permuted",
     f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE len(text) > 0),
-b AS (SELECT doc_id * 1024 + j AS key, [1] || [(length(x) * 7 + ascii(x)) % 1000 + 10 FOR x IN w[30 * j + 1:30 * j + 30]] || [2] AS ids FROM w, range(0, 700) r(j) WHERE 30 * j < len(w)),
+b AS (SELECT doc_id * 1024 + j AS key, [1] || [(length(x) * 7 + ascii(x)) % 1000 + 10 FOR x IN w[30 * j + 1:30 * j + 30]] || [2] AS ids FROM w, range(0, (len(w) + 29) // 30) r(j)),
 p AS (SELECT key, ids || [0 FOR i IN range(32 - len(ids))] AS ids FROM b),
 d AS (SELECT key, k, floor({_chance("k", 1)} * 5)::BIGINT + 1 AS size FROM p, range(0, 7) t(k)),
 c AS (SELECT key, k, size, floor(size / (1 / 6.0) + 1e-9)::BIGINT AS context FROM d),
