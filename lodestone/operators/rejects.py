@@ -15,26 +15,28 @@ _REASON, _VALUE = "reason", "value"
 
 
 def _attempts(f: Callable[[pd.DataFrame], pd.Series], names: list[str]):
-    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """The batch with values or, halved until it is a row, with the reason of the failure."""
-        if not len(batch):
-            return
+    def attempt(part: pd.DataFrame, at: int, values: list, reasons: list) -> None:
+        """Values of the rows from at or, the part halved until it is a row, the reason of the failure."""
         try:
-            found = list(f(batch[names]))
-            if len(found) != len(batch):
-                raise ValueError(f"{len(found)} values for {len(batch)} rows")
-            yield batch.assign(**{_VALUE: found, _REASON: None})
+            found = list(f(part))
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} values for {len(part)} rows")
+            values[at : at + len(part)] = found
         except Exception as e:  # noqa: BLE001  whatever it is, it is the row's reason
-            if len(batch) == 1:
-                yield batch.assign(**{_VALUE: None, _REASON: f"{type(e).__name__}: {e}"})
+            if len(part) == 1:
+                reasons[at] = f"{type(e).__name__}: {e}"
             else:
-                yield from attempt(batch.iloc[: len(batch) // 2])
-                yield from attempt(batch.iloc[len(batch) // 2 :])
+                half = len(part) // 2
+                attempt(part.iloc[:half], at, values, reasons)
+                attempt(part.iloc[half:], at + half, values, reasons)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in attempt(batch):
-                yield part[[*batch.columns, _VALUE, _REASON]]
+            if len(batch):
+                values, reasons = [None] * len(batch), [None] * len(batch)
+                attempt(batch[names], 0, values, reasons)
+                # A batch goes on whole, however many of its rows fail; an object column keeps whole numbers beside nulls whole.
+                yield batch.assign(**{_VALUE: pd.Series(values, batch.index, object), _REASON: pd.Series(reasons, batch.index, object)})
 
     return rows
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.operators.rejects import attempted, rejected_counts
+from lodestone.operators.rejects import _attempts, attempted, rejected_counts
 
 
 def test_one_bad_row_in_a_thousand(spark):
@@ -21,3 +21,14 @@ def test_all_rows_bad_or_none(spark):
     assert good.count() == bad.count() == 0
     # Too few values are a failure of the rows.
     assert attempted(rows, lambda b: b["id"].iloc[:-1], "long")[1].count() == 20
+
+
+def test_a_batch_with_many_bad_rows_goes_on_whole(spark):
+    rows = spark.range(1000).repartition(1)
+    parts = []
+    for batch in _attempts(lambda b: [1 // (i % 10) for i in b["id"]], ["id"])(iter([rows.toPandas()])):
+        parts.append(batch)
+    assert len(parts) == 1 and len(parts[0]) == 1000
+    good, bad = attempted(rows, lambda b: [(1 << 60) + 1 // (i % 10) for i in b["id"]], "long")
+    assert {r.id: r.value for r in good.collect()} == {i: (1 << 60) + 1 // (i % 10) for i in range(1000) if i % 10}
+    assert bad.count() == 100
