@@ -1,6 +1,7 @@
 """SMILES graphs, clusters, merges and the inner-product index against golden values and plain loops."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,16 @@ def test_smiles_graphs(spark):
     assert none.g is None and none.v is False
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    n = 20_000
+    texts = ["C" * n, "C1" + "C" * n + "C1", "C(" * n + "C" + ")" * n]
+    started = time.monotonic()
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(G.graph(F.col("s")).alias("g")).select("g.*")
+    got = rows.select(F.size("atoms"), F.size("bonds"), G.hydrogens(F.col("atoms")), G.components(F.col("atoms"), F.col("bonds"))).collect()
+    assert sorted(map(tuple, got)) == [(n, n - 1, 2 * n + 2, 1), (n + 1, n, 2 * n + 4, 1), (n + 2, n + 2, 2 * n + 4, 1)]
+    assert time.monotonic() - started < 60
+
+
 def test_masses_have_implicit_hydrogens(spark):
     # Monoisotopic masses as published.
     known = {"CC(=O)Oc1ccccc1C(=O)O": 180.04225873, "Cn1cnc2c1c(=O)n(C)c(=O)n2C": 194.08037556, "CC(C)Cc1ccc(cc1)C(C)C(=O)O": 206.13067982, "[2H]O[2H]": 20.0231181752, "[13CH4]": 17.03465496}
