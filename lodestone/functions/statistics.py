@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,41 +17,51 @@ from .vectors import erf, softmax
 _TINY = 1e-300
 
 
-def _once(f: Callable[[Column], Column], x: Column) -> Column:
-    """f(x), where x is computed once however often f's folds read it."""
-    return F.transform(F.array(x), f)[0]
-
+def _fraction(first: np.ndarray | float, steps: int, step: Callable[[int], tuple[np.ndarray | float, np.ndarray | float]]) -> np.ndarray:
+    """Lentz's way through a continued fraction 1 / (b0 + a1 / (b1 + ...)) of many values at once: step gives a and b of a
+    number, first is 1 / b0."""
+    d, c = first, 1 / _TINY
+    h = d
+    for i in range(1, steps + 1):
+        a, b = step(i)
+        d, c = 1 / (a * d + b + _TINY), b + a / c + _TINY
+        h = h * (d * c)
+    return h
 
-def _fraction(first: Column, steps: int, step: Callable[[Column], tuple[Column, Column | float]]) -> Column:
-    """Lentz's way through a continued fraction 1 / (b0 + a1 / (b1 + ...)): step gives a and b of a number, first is 1 / b0.
 
-    A step's ratios go into the product one step later, so that nothing is computed twice.
-    """
+def _by_value(f: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
+    """f(x) of doubles, batch by batch, each distinct value of a batch once; null stays null, NaN NaN."""
 
-    def narrow(acc: Column, i: Column) -> Column:
-        a, b = step(i)
-        return F.struct((1 / (a * acc["d"] + b + _TINY)).alias("d"), (b + a / acc["c"] + _TINY).alias("c"), (acc["h"] * acc["d"] * acc["c"]).alias("h"))
+    def of(values: pa.Array) -> pa.Array:
+        v, at = np.unique(values.fill_null(0.0).to_numpy(zero_copy_only=False), return_inverse=True)
+        out, known = np.full(len(v), np.nan), ~np.isnan(v)
+        with np.errstate(all="ignore"):
+            out[known] = f(v[known])
+        return pa.array(out[at], mask=values.is_null().to_numpy(zero_copy_only=False))
 
-    # The product begins with d alone.
-    start = F.struct(first.alias("d"), F.lit(1 / _TINY).alias("c"), F.lit(_TINY).alias("h"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, narrow, lambda acc: acc["h"] * acc["d"] * acc["c"])
+    return F.arrow_udf(of, "double")(x.cast("double"))
 
 
 def gamma_p(a: float, x: Column) -> Column:
     """The regularised lower incomplete gamma function for a above 0: by its series up to a + 1, beyond as 1 less a
     continued fraction.  The terms are as many as the slowest place, around a + 1, needs for 12 digits."""
     terms = int(40 + 10 * math.sqrt(a))
+    front = lambda z: np.exp(a * np.log(z) - z - math.lgamma(a))
 
-    def at(v: Column) -> Column:
-        front = lambda z: F.exp(a * F.log(z) - z - math.lgamma(a))
-        low, high = F.least(F.greatest(v, F.lit(0.0)), F.lit(a + 1.0)), F.greatest(v, F.lit(a + 1.0))
-        start = F.struct(F.lit(1.0 / a).alias("term"), F.lit(0.0).alias("sum"))
-        add = lambda acc, n: F.struct((acc["term"] * low / (a + n)).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
-        series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, add, lambda acc: acc["sum"])
-        fraction = _fraction(1 / (high + 1 - a), terms, lambda i: (i * (a - i), high + 1 - a + 2 * i))
-        return F.when(v <= 0, 0.0).when(v < a + 1, front(low) * series).otherwise(1 - front(high) * fraction)
+    def at(v: np.ndarray) -> np.ndarray:
+        out = np.where(v <= 0, 0.0, 1.0)
+        inside, beyond = (v > 0) & (v < a + 1), (v >= a + 1) & np.isfinite(v)
+        low, high = v[inside], v[beyond]
+        term = np.full(len(low), 1.0 / a)
+        total = term.copy()
+        for n in range(1, terms):
+            term = term * low / (a + n)
+            total += term
+        out[inside] = front(low) * total
+        out[beyond] = 1 - front(high) * _fraction(1 / (high + 1 - a), terms, lambda i: (i * (a - i), high + 1 - a + 2 * i))
+        return out
 
-    return _once(at, x)
+    return _by_value(at, x)
 
 
 def beta_i(a: float, b: float, x: Column) -> Column:
@@ -57,28 +69,34 @@ def beta_i(a: float, b: float, x: Column) -> Column:
     terms = 2 * int(24 + 5 * math.sqrt(max(a, b)))
     front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     turn = (a + 1) / (a + b + 2)
+    power = lambda z: np.exp(front + a * np.log(z) + b * np.log(1 - z))
 
-    def fraction(p: float, q: float, v: Column) -> Column:
+    def fraction(p: float, q: float, v: np.ndarray) -> np.ndarray:
         # The first step is odd, with m = 0.
-        def step(i: Column) -> tuple[Column, float]:
-            m = F.floor(i / 2)
+        def step(i: int) -> tuple[np.ndarray, float]:
+            m = i // 2
             odd, even = -(p + m) * (p + q + m) / ((p + i - 1) * (p + i)), m * (q - m) / ((p + i - 1) * (p + i))
-            return F.when(i % 2 == 1, odd).otherwise(even) * v, 1.0
+            return (odd if i % 2 else even) * v, 1.0
 
-        return _fraction(F.lit(1.0), terms, step)
+        return _fraction(1.0, terms, step)
 
-    def at(v: Column) -> Column:
-        low, high = F.least(F.greatest(v, F.lit(0.0)), F.lit(turn)), F.greatest(F.least(v, F.lit(1.0)), F.lit(turn))
-        power = lambda z: F.exp(front + a * F.log(z) + b * F.log(1 - z))
-        return F.when(v <= 0, 0.0).when(v >= 1, 1.0).when(v < turn, power(low) * fraction(a, b, low) / a).otherwise(1 - power(high) * fraction(b, a, 1 - high) / b)
+    def at(v: np.ndarray) -> np.ndarray:
+        out = np.where(v <= 0, 0.0, 1.0)
+        inside, beyond = (v > 0) & (v < turn), (v >= turn) & (v < 1)
+        low, high = v[inside], v[beyond]
+        out[inside] = power(low) * fraction(a, b, low) / a
+        out[beyond] = 1 - power(high) * fraction(b, a, 1 - high) / b
+        return out
 
-    return _once(at, x)
+    return _by_value(at, x)
 
 
 def cdf(distribution: str, x: Column, params: list[float]) -> Column:
     """The distribution function at x; the last two parameters are location and scale."""
     *_, loc, scale = params
     z = (x - loc) / scale
+    # Tasks get the arguments of all rows, also of those that another branch is for.
+    above = F.when(z > 0, z)
     known = {
         "norm": lambda: 0.5 * (1 + erf(z / 2**0.5)),
         "uniform": lambda: F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)),
@@ -93,11 +111,11 @@ def cdf(distribution: str, x: Column, params: list[float]) -> Column:
         "weibull_min": lambda: F.when(z > 0, 1 - F.exp(-F.pow(z, F.lit(float(params[0]))))).otherwise(0.0),
         "lognorm": lambda: F.when(z > 0, 0.5 * (1 + erf(F.log(z) / (params[0] * 2**0.5)))).otherwise(0.0),
         "gamma": lambda: gamma_p(params[0], z),
-        "invgamma": lambda: F.when(z > 0, 1 - gamma_p(params[0], 1 / z)).otherwise(0.0),
+        "invgamma": lambda: F.when(z > 0, 1 - gamma_p(params[0], 1 / above)).otherwise(0.0),
         "chi2": lambda: gamma_p(params[0] / 2, z / 2),
         "beta": lambda: beta_i(params[0], params[1], z),
-        "betaprime": lambda: F.when(z > 0, beta_i(params[0], params[1], z / (1 + z))).otherwise(0.0),
-        "f": lambda: F.when(z > 0, beta_i(params[0] / 2, params[1] / 2, params[0] * z / (params[0] * z + params[1]))).otherwise(0.0),
+        "betaprime": lambda: F.when(z > 0, beta_i(params[0], params[1], above / (1 + above))).otherwise(0.0),
+        "f": lambda: F.when(z > 0, beta_i(params[0] / 2, params[1] / 2, params[0] * above / (params[0] * above + params[1]))).otherwise(0.0),
         "t": lambda: F.when(z > 0, 1 - 0.5 * beta_i(params[0] / 2, 0.5, params[0] / (params[0] + z * z))).otherwise(0.5 * beta_i(params[0] / 2, 0.5, params[0] / (params[0] + z * z))),
     }
     if distribution not in known:

@@ -15,7 +15,7 @@ from ..functions import statistics as ST
 from ..functions.vectors import doubles, total
 from ..operators import retrieval, sequences
 from ..operators import voxels as V
-from ._registry import query, read
+from ._registry import query, read, spread
 from .collating import SMILES, _smiles
 from .retrieval import E, vectors
 from .tokens import IDS, h_sql, ids
@@ -121,7 +121,7 @@ SELECT l_orderkey, l_linenumber, round(least(1, greatest(0, (x - 1) / 49)), 9) A
 )
 def cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"uniform": [1.0, 49.0], "expon": [2.0, 10.0], "logistic": [25.0, 7.0], "laplace": [25.0, 9.0], "gumbel_r": [20.0, 8.0]}
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(ST.cdf_normalised(F.col("l_quantity"), n, p, 5, 45), 9).alias(n) for n, p in params.items()])
+    return spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", *[F.round(ST.cdf_normalised(F.col("l_quantity"), n, p, 5, 45), 9).alias(n) for n, p in params.items()])
 
 
 # Whole shapes and even degrees of freedom have finite sums, t with 3 an arc tangent.
@@ -140,7 +140,7 @@ _FAMILIES = {
 @query("cdf_incomplete_functions", f"""SELECT l_orderkey, l_linenumber, {", ".join(f"round({sql}, 10) AS {name}" for name, (_, sql) in _FAMILIES.items())} FROM (SELECT l_orderkey, l_linenumber, least(45, greatest(5, l_quantity))::DOUBLE AS x FROM lineitem)""")
 def cdf_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families that need the incomplete gamma and beta functions."""
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(ST.cdf_normalised(F.col("l_quantity").cast("double"), n, p, 5, 45), 10).alias(n) for n, (p, _) in _FAMILIES.items()])
+    return spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")).select("l_orderkey", "l_linenumber", *[F.round(ST.cdf_normalised(F.col("l_quantity").cast("double"), n, p, 5, 45), 10).alias(n) for n, (p, _) in _FAMILIES.items()])
 
 
 @query("fingerprint_folded", f"WITH {IDS}, i AS (SELECT doc_id, unnest(ids) * 2654435761 % 4294967296 AS idx FROM t), c AS (SELECT doc_id, idx, count(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT doc_id, idx % 16 AS k, sum(n) AS n FROM c GROUP BY 1, 2) SELECT doc_id, array_to_string([coalesce(list_sum([x.n FOR x IN l IF x.k = j]), 0)::BIGINT FOR j IN range(16)], ',') AS counts, array_to_string([(len([1 FOR x IN l IF x.k = j]))::BIGINT FOR j IN range(16)], ',') AS bits FROM (SELECT doc_id, list({'{'}'k': k, 'n': n{'}'}) AS l FROM f GROUP BY 1)")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,16 @@ def test_families_that_follow(spark):
         values(spark, "none", [0.0, 1.0], xs)
 
 
+def test_incomplete_functions_of_many_values(spark):
+    rows = spark.range(400_000).select((F.col("id") / 20_000).alias("x"))
+    started = time.monotonic()
+    got = rows.select(*[F.avg(statistics.cdf(n, F.col("x"), p)).alias(n) for n, p in (("gamma", [2.0, 0.0, 1.0]), ("beta", [2.0, 1.0, 0.0, 20.0]), ("invgamma", [1.0, 0.0, 1.0]))]).first()
+    assert time.monotonic() - started < 40
+    assert abs(got.gamma - (18 + 22 * math.exp(-20)) / 20) < 1e-4 and abs(got.beta - 1 / 3) < 1e-4
+    odd = values(spark, "gamma", [2.0, 0.0, 1.0], [math.inf, -math.inf])
+    assert odd == {math.inf: 1.0, -math.inf: 0.0}
+
+
 def chance(key, seed):
     first = ((key + seed) * tokens.MULTIPLIER) % tokens.MODULUS
     return ((first >> 7) * (2246822519 % (1 << 31)) + first) % tokens.MODULUS / tokens.MODULUS
