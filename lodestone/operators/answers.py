@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -12,9 +14,33 @@ from ..functions.text import exact_match, normalize_answer, token_f1
 def max_context(spans: DataFrame, key: str) -> DataFrame:
     """(key, pos, start): for each token, of the spans (key, start, n) that hold it the one with most context:
     the lesser number of tokens to its left or right, plus a hundredth of the length; the first of equals."""
-    rows = spans.select(key, "start", "n", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"))
-    score = F.least(F.col("pos") - F.col("start"), F.col("start") + F.col("n") - 1 - F.col("pos")) + 0.01 * F.col("n")
-    return rows.groupBy(key, "pos").agg(F.max_by("start", F.struct(score, -F.col("start"))).alias("start"))
+    of = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n")))).alias("spans"))
+    best = of.select(key, F.arrow_udf(_most_context, "array<struct<pos: int, start: int>>")("spans").alias("best"))
+    return best.select(key, F.explode_outer("best").alias("x")).where("x IS NOT NULL").select(key, F.col("x.pos").alias("pos"), F.col("x.start").cast(spans.schema["start"].dataType).alias("start"))
+
+
+def _most_context(rows: pa.Array) -> pa.Array:
+    """pos and start of each token of each row's spans, which are looked at one behind the other; the first start of equals stays."""
+    sizes, places, starts = [], [], []
+    n, flat = rows.value_lengths().to_numpy(zero_copy_only=False), rows.flatten()
+    begin, size, at = flat.field("start").to_numpy(), flat.field("n").to_numpy(), 0
+    for k in n:
+        b, m = begin[at : at + k], size[at : at + k]
+        at += k
+        low, high = (b.min(), (b + m).max()) if k else (0, 0)
+        best, start = np.full(high - low, -np.inf), np.zeros(high - low, np.int32)
+        for s, w in zip(b, m, strict=True):
+            i = np.arange(w)
+            score = np.minimum(i, w - 1 - i) + 0.01 * w
+            part = slice(s - low, s - low + w)
+            better = score > best[part]
+            best[part][better], start[part][better] = score[better], s
+        held = np.flatnonzero(best > -np.inf)
+        sizes.append(len(held))
+        places.append(held + low)
+        starts.append(start[held])
+    values = [pa.array((np.concatenate(v) if v else np.zeros(0)).astype(np.int32)) for v in (places, starts)]
+    return pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32), pa.StructArray.from_arrays(values, ["pos", "start"]))
 
 
 def with_results(features: DataFrame, results: DataFrame) -> DataFrame:
