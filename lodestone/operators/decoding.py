@@ -55,14 +55,13 @@ def min_length(rows: DataFrame, length: str, least: int, eos: int) -> DataFrame:
 def banned_ngrams(sequences: DataFrame, key: str, n: int) -> DataFrame:
     """(key, token) that would repeat an n-gram of the sequence (key, pos, token)."""
     w = Window.partitionBy(key).orderBy("pos")
-    ahead = [F.lead("token", i).over(w).alias(f"t{i}") for i in range(n)]
-    grams = sequences.select(key, "pos", *ahead)
-    last = sequences.groupBy(key).agg(F.max("pos").alias("_last"))
-    tail = grams.join(last, key).where(F.col("pos") == F.col("_last") - (n - 2)).select(key, *[F.col(f"t{i}").alias(f"s{i}") for i in range(n - 1)])
-    match = tail.join(grams.where(F.col(f"t{n - 1}").isNotNull()), key)
-    for i in range(n - 1):
-        match = match.where(F.col(f"s{i}") == F.col(f"t{i}"))
-    return match.select(key, F.col(f"t{n - 1}").alias("token")).distinct()
+    # All in one order of one shuffle: the n - 1 tokens before a place are compared with the sequence's last ones.
+    before = sequences.select(key, "pos", "token", *[F.lag("token", i).over(w).alias(f"t{i}") for i in range(1, n)])
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = before.select(key, "token", *[f"t{i}" for i in range(1, n)], *[F.last("token" if i == 1 else f"t{i - 1}").over(whole).alias(f"s{i}") for i in range(1, n)])
+    for i in range(1, n):
+        ends = ends.where(F.col(f"t{i}") == F.col(f"s{i}"))
+    return ends.select(key, "token").distinct()
 
 
 def banned(rows: DataFrame, bans: DataFrame, key: str) -> DataFrame:
