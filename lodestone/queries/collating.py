@@ -15,7 +15,7 @@ from ..operators import decoding as D
 from ..operators.masking import whole_words
 from ..operators.subwords import word_pieces
 from ..operators.vocabulary import vocabulary
-from ._registry import query, read
+from ._registry import query, read, spread
 from .tokens import IDS, L, M, _drawn, flat, h_sql, ids, logits
 
 VOCAB = r"""b AS (SELECT token FROM (SELECT unnest(regexp_extract_all(lower(text), '[^ \t-\r]+')) AS token FROM benchmark) GROUP BY 1 HAVING count(*) >= 3),
@@ -279,7 +279,7 @@ SMILES = """m AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'CC(=O)NC1=CC
 def _smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 7
     head = F.when(k == 0, "CC(=O)NC1=CC=C(O)C=C1").when(k == 1, "ClC1=CC=C(Br)C=C1").when(k == 2, "C[Si](C)(C)C#N").when(k == 3, "[Na+].[Cl-]").when(k == 4, "C[C@@H](N)C(=O)O").when(k == 5, "C[Se]C").otherwise("c1ccccc1")
-    return read(spark, sf_dir, "part").select("p_partkey", F.concat(head, F.repeat(F.lit("C"), (F.col("p_size") % 30).cast("int"))).alias("smiles"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.concat(head, F.repeat(F.lit("C"), (F.col("p_size") % 30).cast("int"))).alias("smiles"))
 
 
 _LETTERS = "replace(replace(replace(replace(replace(replace(smiles, 'Br', 'R'), 'Cl', 'L'), 'Si', 'X'), 'Se', 'E'), 'se', 'e'), '@@', '&')"

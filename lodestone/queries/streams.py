@@ -10,7 +10,7 @@ from ..functions.tokens import MODULUS, MULTIPLIER
 from ..operators import beams as B
 from ..operators.sequences import numbered
 from ..operators.streams_of_tokens import fixed_batches, shuffled_streams, stream_batches, variable_batches
-from ._registry import query, read
+from ._registry import query, read, spread
 
 _TOKENS = """t AS (SELECT l_partkey AS token, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS nth, count(*) OVER () // 8 AS len FROM lineitem),
 r AS (SELECT nth // len AS stream, nth % len AS place, token FROM t WHERE nth < 8 * len), n AS (SELECT count(*) // 8 AS len FROM lineitem)"""
@@ -117,7 +117,7 @@ FROM q LEFT JOIN h USING (key) GROUP BY key""",
 def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of 30 words between marks, padded to 32, of all documents; hidden adds up who may not see whom."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("w")).where("size(w) > 0")
     rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 30).cast("int"))).alias("j"))
     ids = F.concat(F.array(F.lit(1)), F.transform(F.slice("w", F.col("j") * 30 + 1, 30), lambda x: (F.char_length(x) * 7 + F.ascii(x)) % 1000 + 10), F.array(F.lit(2)))
     rows = rows.select((F.col("doc_id") * 1024 + F.col("j")).alias("key"), F.concat(ids, F.array_repeat(F.lit(0), 32 - F.size(ids))).alias("ids"))

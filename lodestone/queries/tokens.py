@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..functions.text import whitespace_tokens
 from ..operators import decoding as D
 from ..operators import splits as S
-from ._registry import query, read
+from ._registry import query, read, spread
 
 M = 4294967296
 # Token ids: the length of each word, up to 99.
@@ -24,7 +24,7 @@ def h_sql(key: str, seed: int = 0) -> str:
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = whitespace_tokens(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.least(F.char_length(w), F.lit(99))).alias("ids"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(words, lambda w: F.least(F.char_length(w), F.lit(99))).alias("ids"))
 
 
 def flat(column):
