@@ -174,7 +174,7 @@ def fragments(mols: DataFrame, key: str, bounds: Bounds, receptor: DataFrame | N
     receptor has key, x, y and z of the atoms that a molecule's fragments are to be near to.  Of the fragments of a kind
     (a column of the result; formula by default), the first by key and bond are taken.
     """
-    split = split_bonds(mols, key, only_single).join(mols.select(key, "atoms"), key)
+    split = split_bonds(mols, key, only_single).join(mols.select(key, "atoms").hint("merge"), key)
     own = F.transform("fragment", lambda i: F.get("atoms", i - 1))
     split = split.withColumn("own", own).withColumn("symbols", F.array_sort(F.transform("own", lambda a: a["symbol"])))
     counted = F.transform(F.array_distinct("symbols"), lambda e: F.concat(e, F.size(F.filter("symbols", lambda x: x == e)).cast("string")))
