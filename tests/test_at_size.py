@@ -101,3 +101,10 @@ def test_what_grows_from_a_small_file_is_not_broadcast(spark):
         last = [line for line in text.splitlines() if "Join" in line][0]
         assert "SortMergeJoin" in last, (hinted, text)
     assert voxels.near_any(points, points, 2.0).count() == 1000
+
+
+def test_work_on_few_bytes_is_dealt_to_all_cores(spark):
+    from lodestone.queries import collating, tokens
+
+    for rows in (tokens.ids(spark, "/root/testdata/sf0.001"), collating._smiles(spark, "/root/testdata/sf0.001")):
+        assert rows.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
