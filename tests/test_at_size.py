@@ -1,12 +1,15 @@
 """Steps whose work or shuffles once grew faster than their input, against plain loops."""
 
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import answers, clusters, decoding, masking, streams_of_tokens, voxels
+from lodestone.operators import answers, clusters, decoding, masking, merges, streams_of_tokens, voxels
 
 
 def plan(df):
@@ -108,3 +111,69 @@ def test_work_on_few_bytes_is_dealt_to_all_cores(spark):
 
     for rows in (tokens.ids(spark, "/root/testdata/sf0.001"), collating._smiles(spark, "/root/testdata/sf0.001")):
         assert rows.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_merges_in_one_pass_over_the_words(spark, monkeypatch):
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(0, 30))) for _ in range(300)})
+    pairs, pool = [], ["a", "b", "c"]
+    while len(pairs) < 40:
+        p = (r.choice(pool), r.choice(pool))
+        if p not in pairs:
+            pairs.append(p)
+            pool.append(p[0] + p[1])
+    # Later pairs first too, so that a pair can come up that is of lower rank than the one that made it.
+    r.shuffle(pairs)
+
+    def plain(out):
+        while known := [pairs.index(p) for p in zip(out, out[1:], strict=False) if p in pairs]:
+            (a, b), old, out = pairs[min(known)], out, []
+            while old:
+                n = 2 if tuple(old[:2]) == (a, b) else 1
+                out, old = [*out, "".join(old[:n])], old[n:]
+        return out
+
+    want = {w: plain(list(w)) for w in words}
+    frame = spark.createDataFrame([(w, list(w)) for w in words] + [("null", None)], "word string, symbols array<string>")
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "rank int, left string, right string")
+    names, written = [], merges.written
+    monkeypatch.setattr(merges, "written", lambda df, name: names.append(name) or written(df, name))
+    for most in (1 << 19, 0):
+        monkeypatch.setattr(merges, "BROADCAST_MERGES", most)
+        assert {x.word: x.symbols for x in merges.merged(frame, table).collect()} == want | {"null": None}
+        assert {x.word: x.symbols for x in merges.merged(frame, table.limit(0)).collect()} == {x.word: x.symbols for x in frame.collect()}
+    # Nothing is written for a round of merges.
+    assert set(names) == {"merges"}
+
+
+def test_merges_of_a_long_word_take_the_work_of_its_symbols():
+    pairs = [(a + b, c + d) for a in "abcd" for b in ("", "a") for c in "abcd" for d in ("", "b")]
+    ranks = {p: i for i, p in enumerate(pairs)}
+    long = random.Random(9).choices("abcd", k=300_000)
+    begin = time.perf_counter()
+    assert "".join(merges._joined(long, ranks)) == "".join(long)
+    assert time.perf_counter() - begin < 30
+
+
+def test_words_are_counted_before_they_are_shuffled(spark, tmp_path, monkeypatch):
+    from lodestone.queries import molecules
+
+    monkeypatch.setattr(molecules, "COUNTED", 3)
+    texts = ["a b\ta c\n", None, "", " \x0b\x0c\r a\x1cb é é é ", "a b c d e f g a"]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter(w for t in texts for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w)
+    found = molecules._words(spark, str(tmp_path))
+    assert {x.word: x.n for x in found.collect()} == want
+    assert "Generate" not in plan(found)
+    # Bytes of words, 0 and those over 127 included, as merges.
+    words = spark.createDataFrame([("\x00\x00aé字\x00\x00", 30), ("aé", 19), ("é", 1)], "word string, n long")
+    letters = merges.byte_letters()
+    sums = Counter()
+    for w, n in (("\x00\x00aé字\x00\x00", 30), ("aé", 19), ("é", 1)):
+        x = [letters[b] for b in w.encode()]
+        for level, (a, b) in enumerate([(1, 1), (2, 1), (2, 2)]):
+            for i in range(len(x) - a - b + 1):
+                sums[level, "".join(x[i : i + a]), "".join(x[i + a : i + a + b])] += n
+    got = molecules._merge_table(words).collect()
+    assert {(x.rank.level, x.left, x.right): -x.rank.n for x in got} == {k: n for k, n in sums.items() if n >= 20}
+    assert all((x.rank.left, x.rank.right) == (x.left, x.right) for x in got)
